@@ -1,12 +1,18 @@
 """Queries of this subpackage and, where SQL can express one, its DuckDB form."""
 
+from .bpe import op4_bpe
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .packing import op8_packing
 from .sharding import op7_sharding
 from .simhash import op3_simhash
+from .substring_dedup import op6_substring_dedup
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_bpe": op4_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES = {"op9_exact_dedup": OP9_SQL}
