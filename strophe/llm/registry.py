@@ -2,17 +2,25 @@
 
 from .bpe import op4_bpe
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .language_id import op2_language_id
 from .packing import op8_packing
+from .quality_cnn import op10_quality_cnn
+from .quality_rules import op5_quality_rules
 from .sharding import op7_sharding
 from .simhash import op3_simhash
 from .substring_dedup import op6_substring_dedup
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_cnn": op10_quality_cnn,
 }
-ORACLES = {"op9_exact_dedup": OP9_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op9_exact_dedup": OP9_SQL}

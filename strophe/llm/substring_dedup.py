@@ -28,7 +28,7 @@ from .common import load, materialise
 
 UNIT_WORDS = 4
 RUN_WORDS = 20
-_UNIT = re.compile(r"[^\n]*?(?:[.,;:!?|](?=\s)|\n|$)", re.S)
+_UNIT = re.compile(r"[^\n]*?(?:[.,;:?](?=\s)|\n|$)", re.S)
 
 
 def units(text: str) -> list[tuple[int, int]]:
