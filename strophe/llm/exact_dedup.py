@@ -133,6 +133,17 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH)
     )
 
 
+def keep_last(docs: DataFrame) -> DataFrame:
+    """The input's rows that stay, in its columns; of rows that repeat doc_id and text one stays."""
+    seen = materialise(dedup(docs).select("doc_id", "kept", F.unhex("text_sha256").alias("sha")), "exact-duplicates")
+    drop = seen.filter(~F.col("kept")).select(F.col("doc_id").alias("__doc_id"), F.col("sha").alias("__sha")).distinct()
+    sha = F.unhex(F.sha2(normalised(), 256))
+    out = docs.join(drop, (sha == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_anti")
+    if not seen.filter("kept").groupBy("doc_id", "sha").count().filter("count > 1").isEmpty():
+        out = out.withColumn("__sha", sha).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    return out
+
+
 def op9_exact_dedup(spark, sf_dir):
     return dedup(load(spark, sf_dir, "documents"))
 

@@ -24,6 +24,8 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 400
 #: FTRL: learning rate, its smoothing, L1, L2; passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.01, 4
+#: Probability of the best language below which a document is rejected.
+MIN_SCORE = 0.5
 _LETTER: list[np.ndarray] = []
 
 
@@ -187,6 +189,26 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_predict_batches(model), f"doc_id {kind}, lang_pred string, score double")
 
 
+def _accepting_batches(model: Model | None, least: float):
+    def run(batches):
+        for b in batches:
+            keep = []
+            for t in b.column("text"):
+                c = ngram_counts(t.as_py())
+                keep.append(c is not None and (model is None or float(model.probabilities(c[None]).max()) >= least))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def keep_known(docs: DataFrame, model: Model | None, least: float = MIN_SCORE) -> DataFrame:
+    """The input's rows, in its columns, that have a letter and a language with at least this probability.
+
+    Without a model (no labelled row) every row with a letter stays.
+    """
+    return docs.mapInArrow(_accepting_batches(model, least), docs.schema)
+
+
 def remainder(column: str, n: int):
     """crc32 of an id's decimal text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(n)).cast("int")

@@ -58,14 +58,15 @@ def _fingerprint_batches(shingle):
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches(shingle), f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(_fingerprint_batches(shingle), f"doc_id {kind}, text_hash long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -258,7 +259,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint, component_id``.
+    """One row per input row: ``doc_id, fingerprint, component_id, text_hash`` (Spark's xxhash64 of the text).
 
     A null text, or one without a word, has fingerprint zero and links like any other. Repeated rows and
     ties share a fingerprint, hence a component. component_id is the smallest doc_id of the component,
@@ -270,7 +271,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = DISTAN
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(least, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The input's rows whose doc_id is the smallest of their component; rows with null doc_ids only stay."""
+    seen = materialise(near_duplicates(docs), "near-duplicates")
+    drop = seen.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash")).distinct()
+    same = (F.xxhash64("text") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))
+    return docs.join(drop, same, "left_anti")
 
 
 def op3_simhash(spark, sf_dir):
