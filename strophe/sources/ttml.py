@@ -76,15 +76,18 @@ def parse_ttml(raw: str | None) -> dict | None:
     return out
 
 
-@pandas_udf(PARSED)
-def parse(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Arrow-batched :func:`parse_ttml`; an unreadable file gives a struct of nulls."""
+def _parse_batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = ["lines", "title", "artist", "album", "author_ids", "author_names"]
     for s in texts:
         rows = [parse_ttml(t) or {} for t in s]
         yield pd.DataFrame({n: [r.get(n) for r in rows] for n in names}, columns=names)
 
 
+def parse(raw: str | Column) -> Column:
+    """Arrow-batched :func:`parse_ttml`; an unreadable file gives a struct of nulls."""
+    return pandas_udf(_parse_batches, PARSED)(raw)
+
+
 def build_catalogue(files: DataFrame) -> DataFrame:
     """Catalogue rows of ``filename, content``; unreadable files are dropped."""
     parsed = files.select("filename", "content", parse("content").alias("p")).filter("p.lines is not null")
