@@ -84,7 +84,9 @@ def removed_spans(text: str, removable: list[int]) -> list[tuple[int, int]]:
     return result
 
 
-@pandas_udf("text string, removed array<struct<start:long,end:long>>")
+_CUT = "text string, removed array<struct<start:long,end:long>>"
+
+
 def _cut(text: pd.Series, numbers: pd.Series) -> pd.DataFrame:
     texts, removed = [], []
     for t, n in zip(text, numbers, strict=True):
@@ -120,7 +122,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     joined = docs.withColumn("__key", key).join(
         removable, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left"
     )
-    cut = joined.withColumn("__cut", _cut("text", "__units"))
+    cut = joined.withColumn("__cut", pandas_udf(_cut, _CUT)("text", "__units"))
     columns = [F.col("__cut.text").alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "removed"]
     return cut.select(*columns, F.col("__cut.removed").alias("removed"))
 
