@@ -42,8 +42,8 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     if not letter.any():
         return None
     points = np.where(letter, points, 32).astype(np.uint64)
-    keep = letter | np.concatenate(([True], letter[:-1]))
-    points = np.concatenate(([32], points[keep], [32])).astype(np.uint64)
+    keep = letter | np.concatenate(([False], letter[:-1]))  # of other characters the first after a letter
+    points = np.concatenate(([32], points[keep], [32] if letter[-1] else [])).astype(np.uint64)
     total = np.zeros(DIM, np.int64)
     for n in ORDERS:
         if len(points) < n:

@@ -140,14 +140,12 @@ class Packer:
     def _head(self, left: np.ndarray) -> tuple | None:
         """Cut off a waiting piece what fills the rest of a sequence; the remainder waits."""
         pool, m = self.pool, len(self.pool.stacks)
-        longer = np.flatnonzero((pool.n[:m] > 0) & (pool.size[:m, 0] > left[0]))
-        if not len(longer):
+        over = (pool.size[:m, 0] > left[0]) | (pool.size[:m, 2] > left[2])
+        large = np.flatnonzero((pool.n[:m] > 0) & over)
+        if not len(large):
             return None
-        doc, a, b, loss_from = pool.pop(int(longer[np.argmax(pool.size[longer, 0])]))
-        cut = a + int(left[0])
-        over = cut - max(a, loss_from) - int(left[2])
-        if over > 0:
-            cut -= over
+        doc, a, b, loss_from = pool.pop(int(large[np.argmax(pool.size[large, 0])]))
+        cut = min(a + int(left[0]), max(a, loss_from) + int(left[2]))
         if cut > a:
             pool.add(doc, cut, b, loss_from)
             return doc, a, cut, loss_from

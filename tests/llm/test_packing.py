@@ -1,0 +1,94 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from data import SCHEMA, rows, table
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from strophe.llm import packing
+from strophe.llm.packing import Packer, WordBpe, pack, tokenizer_path
+
+
+def library_ids(text, coder=[]):
+    from tokenizers import Tokenizer
+
+    if not coder:
+        coder.append(Tokenizer.from_file(tokenizer_path()))
+        coder[0].encode_special_tokens = True
+    return coder[0].encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_are_the_library_s(monkeypatch):
+    coder = WordBpe(tokenizer_path())
+    for _ in range(2):  # cold and from the cache
+        for _, t, _ in rows():
+            assert np.frombuffer(coder.encode(t or ""), "<u4").tolist() == library_ids(t)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    for _, t, _ in rows()[:9]:
+        assert np.frombuffer(coder.encode(t or ""), "<u4").tolist() == library_ids(t)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 90), st.integers(0, 90)), max_size=40), st.sampled_from([(16, 4, None), (16, 3, 9), (32, 64, 32), (8, 1, 3)]), st.integers(0, 39))
+def test_packer(docs, limits, flush):
+    tokens, segments, loss = limits
+    p, out = Packer(tokens, segments, loss), []
+    for i, (n, loss_from) in enumerate(docs):
+        p.add(i, n, loss_from)
+        if i == flush:
+            out += p.run(False)
+    out += p.run(True)
+    seen = defaultdict(list)
+    for parts in out:
+        assert 0 < len(parts) <= segments and (total := sum(b - a for _, a, b in parts)) <= tokens
+        assert total & (total - 1) == 0  # full or a power of two: nothing is padded
+        assert sum(max(0, b - max(a, docs[d][1])) for d, a, b in parts) <= (tokens if loss is None else loss)
+        for d, a, b in parts:
+            seen[d].append((a, b))
+    for i, (n, _) in enumerate(docs):
+        spans = sorted(seen[i])
+        assert spans[0][0] == 0 and spans[-1][1] == n and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_dot_product_prefers_aligned_pieces():
+    p = Packer(16, 4, 16)
+    for i, n in enumerate((9, 5, 2, 7)):
+        p.add(i, n)
+    first = p.run(False)[0]
+    assert [d for d, _, _ in first][:2] == [0, 3]  # the largest that fits, then the one that fills it
+
+
+@pytest.mark.parametrize("block", [4_000_000, 300])
+def test_operator(spark, monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", block)
+    data = rows()
+    got = pack(table(spark), tokenizer_path(), with_ids=True).collect()
+    want = sorted(repr((i, [*library_ids(t), 1])) for i, t, _ in data)
+    sequences, docs = defaultdict(list), defaultdict(list)
+    for r in got:
+        assert r["ids_crc32"] == zlib.crc32(r["ids"]) and len(r["ids"]) == 4 * r["length"]
+        sequences[r["sequence_id"]].append(r)
+        docs[r["doc_id"], r["doc_tokens"]].append(r)
+    for s in sequences.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048 and at & (at - 1) == 0 and len(s) <= packing.SEGMENTS
+    pieces = []
+    for (i, n), rs in docs.items():
+        copies = sum(r["length"] for r in rs) // n
+        rs.sort(key=lambda r: r["start"])
+        if copies == 1:
+            pieces.append(repr((i, np.frombuffer(b"".join(r["ids"] for r in rs), "<u4").tolist())))
+        else:
+            pieces += [repr((i, [*library_ids(next(t for j, t, _ in data if j == i and len(library_ids(t)) + 1 == n)), 1]))] * copies
+    assert sorted(pieces) == want
+
+
+def test_empty(spark):
+    assert pack(spark.createDataFrame([], SCHEMA), tokenizer_path()).collect() == []
+    with pytest.raises(ValueError):
+        Packer(0)

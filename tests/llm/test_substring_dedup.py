@@ -1,0 +1,83 @@
+import random
+from collections import defaultdict
+
+from data import SCHEMA, prose, rows, sentence, table
+
+from strophe.llm.substring_dedup import RUN_WORDS, UNIT_WORDS, dedup_substrings, removed_spans, units
+
+
+def brute(data):
+    """Removed spans by comparing normalised units of all documents pairwise through one dictionary."""
+    from pyspark.sql import functions as F  # noqa: F401
+
+    first = {}
+    keys = []
+    for i, t, k in data:
+        for u, (a, b) in enumerate(units(t or "")):
+            words = t[a:b].lower().split()
+            if len(words) >= UNIT_WORDS:
+                rank = ((i is not None, i or 0), k, u)
+                keys.append((" ".join(words), rank))
+                first[keys[-1][0]] = min(first.get(keys[-1][0], rank), rank)
+    gone = defaultdict(list)
+    for w, rank in keys:
+        if rank > first[w]:
+            gone[rank[0], rank[1]].append(rank[2])
+    return {((i is not None, i or 0), k): removed_spans(t or "", gone[(i is not None, i or 0), k]) for i, t, k in data}
+
+
+def with_hash(spark, data):
+    from pyspark.sql import functions as F
+
+    df = table(spark, data)
+    return df, [(r["doc_id"], r["text"], r["k"]) for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()]
+
+
+def test_units_cover_the_text():
+    for _, t, _ in rows():
+        spans = units(t or "")
+        assert [a for a, _ in spans] == [0, *[b for _, b in spans]][: len(spans)] and (not spans or spans[-1][1] == len(t))
+
+
+def test_against_brute_force(spark):
+    data = rows()
+    df, hashed = with_hash(spark, data)
+    want = defaultdict(list)
+    for (i, k), spans in brute(hashed).items():
+        want[i].append(spans)
+    out = dedup_substrings(df)
+    assert out.columns == [c for c in df.columns if c != "removed"] + ["removed"]
+    source = defaultdict(list)
+    for i, t, _ in data:
+        source[i].append(t)
+    for r in out.collect():
+        spans = [(s["start"], s["end"]) for s in r["removed"]]
+        assert spans in want[r["doc_id"] is not None, r["doc_id"] or 0]
+        cut = []
+        for t in source[r["doc_id"]]:
+            if t is None or not spans or spans[-1][1] <= len(t):
+                cut.append(t if t is None else "".join(t[a:b] for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(t)])))
+        assert r["text"] in cut
+
+
+def test_planted_passage(spark):
+    """A passage of over 50 words inside other text goes from all documents but the first."""
+    rng = random.Random(3)
+    passage = " ".join(sentence(rng, "en", 11) for _ in range(6))
+    data = [(i, f"{prose(rng, 'de', 4)} {sentence(rng, 'de')} {passage} {prose(rng, 'de', 4)}", "de") for i in range(6)]
+    clean = [(10 + i, prose(rng, "fr", 9), "fr") for i in range(6)]
+    got = {r["doc_id"]: r for r in dedup_substrings(table(spark, data + clean)).collect()}
+    assert passage in got[0]["text"] and not got[0]["removed"]
+    for i, t, _ in data[1:]:
+        assert passage not in got[i]["text"] and len(got[i]["text"]) <= len(t) - len(passage)
+    assert all(not got[i]["removed"] and got[i]["text"] == t for i, t, _ in clean)
+
+
+def test_repeats_within_and_short_lines(spark):
+    line = " ".join(f"word{i}" for i in range(RUN_WORDS + 2))
+    got = {r["doc_id"]: r["text"] for r in dedup_substrings(table(spark, [(1, f"{line}\n{line}\nShort line here.", "en"), (2, "Short line here.\nother", "en"), (3, None, None)])).collect()}
+    assert got == {1: f"{line}\nShort line here.", 2: "Short line here.\nother", 3: None}
+
+
+def test_empty(spark):
+    assert dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
