@@ -73,3 +73,10 @@ def contains_ascii_ci(haystack: Column, needle: Column) -> Column:
 
 def any_contains(names: Column, needle: Column) -> Column:
     return F.exists(names, lambda n: contains_ascii_ci(n, needle))
+
+
+def decode_names(json: Column) -> Column:
+    """Strings of a JSON array; empty for null and for anything else, an array with other values included."""
+    items = F.from_json(json, "array<string>")
+    kind = F.schema_of_variant(F.try_parse_json(json))
+    return F.coalesce(F.when((kind == "ARRAY<STRING>") & F.forall(items, lambda x: x.isNotNull()), items), F.array().cast("array<string>"))

@@ -70,8 +70,10 @@ def search(docs: DataFrame, keyword: str, limit: int, exact: bool = False) -> Da
 def trigram_index(docs: DataFrame) -> DataFrame:
     """Extension: ``gram, id``, each distinct trigram of a song's texts, for a stored posting table."""
     text = F.lower(F.concat_ws("\n\n\n", "lyric_text", "bg_vocal_text"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("t") - 2, F.lit(1))), lambda i: F.substr(F.col("t"), i, F.lit(3)))
-    return docs.select("id", text.alias("t")).filter(F.char_length("t") >= 3).select(F.explode(F.array_distinct(grams)).alias("gram"), "id")
+    c = F.col("c")  # characters as an array: a position in a string would be searched from its start
+    grams = F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+    chars = docs.select("id", F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)).alias("c")).filter(F.size("c") >= 3)
+    return chars.select(F.explode(F.array_distinct(grams)).alias("gram"), "id")
 
 
 def candidates(index: DataFrame, keyword: str) -> DataFrame:

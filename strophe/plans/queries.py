@@ -258,10 +258,10 @@ def _merged(hits: DataFrame) -> DataFrame:
     return ranking.ordered(hits).select("id", "timestamp", _long("score"), F.round("rank", 6).alias("rank"), "field", "snippet", _long("priority"))
 
 
-def _both(cat: DataFrame, explicit: bool) -> DataFrame:
+def _both(cat: DataFrame, explicit: bool, page: Pagination = Pagination()) -> DataFrame:  # noqa: B008
     songs = _songs(cat)
     meta = metadata.search_hits(songs, SearchQuery(track="red plate"))
-    lyric = fulltext.search(cat, _PHRASE, Pagination().lyric_window)
+    lyric = fulltext.search(cat, _PHRASE, page.lyric_window)
     return ranking.merge(songs, meta, lyric, explicit)
 
 
@@ -273,9 +273,9 @@ def hybrid_implicit(cat):
     return _merged(_both(cat, False))
 
 
-@query(f"{_TRACK_SQL}, {_LYRIC_SQL} SELECT h.id, h.timestamp, score::BIGINT AS score, round(rank, 6) AS rank, field, snippet, {_PRIORITY} AS priority FROM hits h JOIN lyric l ON h.id = l.id")
+@query(f"{_TRACK_SQL}, {_LYRIC_SQL.replace('LIMIT 150', 'LIMIT 500')} SELECT h.id, h.timestamp, score::BIGINT AS score, round(rank, 6) AS rank, field, snippet, {_PRIORITY} AS priority FROM hits h JOIN lyric l ON h.id = l.id")
 def hybrid_explicit(cat):
-    return _merged(_both(cat, True))
+    return _merged(_both(cat, True, Pagination(4, 50)))
 
 
 @query(f"{_LYRIC_SQL}, united AS (SELECT id, timestamp, 7 AS score, rank, field, snippet FROM lyric) {_MERGED} FROM united")

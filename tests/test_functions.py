@@ -148,3 +148,9 @@ def test_lrc_and_highlight(spark):
         assert r["j"] == r["p"] == lyrics.snippet_of(r["t"], "key"), r["t"]
     assert lyrics.snippet_of(texts[0], "key") == "one\ntwo <mark>KEY</mark>\nthree"
     assert one(spark, lyrics.snippet(F.lit("a(b\\E$1"), "(b\\E$")) == "a<mark>(b\\E$</mark>1"
+
+
+def test_decode_names(spark):
+    cases = {'["a","b"]': ["a", "b"], "[]": [], "broken": [], '{"a":1}': [], "[1,2]": [], '["a",1]': [], '["a",null]': [], '"a"': [], '["a","a"]': ["a", "a"], "": []}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "s string").select("s", text.decode_names(F.col("s")).alias("v"))
+    assert {r["s"]: r["v"] for r in df.collect()} == {**cases, None: []}
