@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
+from .text import let, lit
 
 #: Additions after which a title still counts as the same; fixed values.
 EDITION_MARKS = ("(deluxe", "(explicit", "(special edition", "(bonus track", "(feat", "(with")
@@ -23,8 +21,8 @@ def text_same(a: Column, b: Column) -> Column:
     return F.when(worth, (1.0 - F.levenshtein(a, b) / longest) * 100.0).otherwise(F.lit(0.0))
 
 
-def _base(name: Column, mark: str) -> Column:
-    return F.trim(F.substring_index(name, mark, 1))
+def _base(name: Column, mark: str | Column) -> Column:
+    return F.trim(F.call_function("substring_index", name, lit(mark), F.lit(1)))
 
 
 def dash_equals_paren(dashed: Column, bracketed: Column) -> Column:
@@ -40,9 +38,9 @@ def dash_equals_paren(dashed: Column, bracketed: Column) -> Column:
     )
 
 
-def _plain_of(a: Column, b: Column, mark: str) -> Column:
+def _plain_of(a: Column, b: Column, mark: str | Column) -> Column:
     """Exactly one of the names has the mark, and the other is what stands before it."""
-    in_a, in_b = F.contains(a, F.lit(mark)), F.contains(b, F.lit(mark))
+    in_a, in_b = F.contains(a, lit(mark)), F.contains(b, lit(mark))
     return (in_a & ~in_b & (b == _base(a, mark))) | (in_b & ~in_a & (a == _base(b, mark)))
 
 
@@ -66,7 +64,7 @@ def compare_name(a: Column, b: Column) -> Column:
         F.when(a.isNull() | b.isNull(), 0)
         .when(F.trim(a) == F.trim(b), 10)
         .when(dash_equals_paren(a, b) | dash_equals_paren(b, a), 8)
-        .when(reduce(lambda x, y: x | y, [_plain_of(a, b, m) for m in EDITION_MARKS]), 8)
+        .when(F.exists(F.array(*map(F.lit, EDITION_MARKS)), lambda m: _plain_of(a, b, m)), 8)
         .when(both_bracketed & (_base(a, "(") == _base(b, "(")), 6)
         .when(_plain_of(a, b, "("), 6)
         .when(placed, 6)
@@ -80,7 +78,7 @@ def best_name(query: Column, names: Column) -> Column:
 
 
 def _various(names: Column) -> Column:
-    return F.exists(names, lambda n: reduce(lambda x, y: x | y, [F.contains(n, F.lit(v)) for v in VARIOUS]))
+    return F.exists(names, lambda n: F.regexp_like(n, F.lit("|".join(VARIOUS))))
 
 
 def _same_artist(a: Column, b: Column) -> Column:
