@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import load
+from .common import in_batches, load
 from .packing import _per_worker
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded binary" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(_digest_batches(path, pattern, with_ids), schema)
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(_digest_batches(path, pattern, with_ids), schema)
 
 
 def op4_bpe(spark, sf_dir):

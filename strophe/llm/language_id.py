@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import in_batches, load
 
 DIM = 1 << 14
 ORDERS = (1, 2, 3)
@@ -138,7 +138,7 @@ def _count_batches(batches):
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from ``doc_id, text, lang`` rows; null texts and langs are left out. None if nothing is left."""
-    rows = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
+    rows = in_batches(labelled).filter("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
@@ -186,7 +186,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     Without a model (no labelled row) everything is ``und``.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_predict_batches(model), f"doc_id {kind}, lang_pred string, score double")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(_predict_batches(model), f"doc_id {kind}, lang_pred string, score double")
 
 
 def _accepting_batches(model: Model | None, least: float):
@@ -206,7 +206,7 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = MIN_SCORE) -
 
     Without a model (no labelled row) every row with a letter stays.
     """
-    return docs.mapInArrow(_accepting_batches(model, least), docs.schema)
+    return in_batches(docs).mapInArrow(_accepting_batches(model, least), docs.schema)
 
 
 def remainder(column: str, n: int):

@@ -22,7 +22,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import load
+from .common import in_batches, load
 
 TOKENS = 2048
 SEGMENTS = 64
@@ -30,7 +30,7 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Tokens that a partition gathers before it packs them, and entries of a worker's word cache.
 BLOCK_TOKENS = 4_000_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Characters outside these, a "<|" or text that is not in NFC takes the library's own whole path.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įĲ-ňŊ-ž]|<\|")
 _ASCII = b"\t\n\r" + bytes(range(0x20, 0x7F))
@@ -253,7 +253,7 @@ def pack(docs: DataFrame, path: str, tokens=TOKENS, segments=SEGMENTS, loss=None
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     run = _pack_batches(path, end_id, tokens, segments, loss, with_ids)
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", ids binary" if with_ids else ""))
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, schema + (", ids binary" if with_ids else ""))
 
 
 def tokenizer_path() -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import in_batches, load
 from .language_id import remainder
 
 CHUNK, OVERLAP = 1024, 64
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     unit = F.shiftrightunsigned(seed, 11) / F.lit(float(1 << 53))
     thin = lambda df: df.filter(unit < F.lit(min(1.0, sample / n)))
     got = (
-        thin(docs.select("doc_id", "text")).join(thin(known), "doc_id").select(seed.alias("seed"), "text", F.col("quality").cast("int").alias("quality"))
+        thin(in_batches(docs).select("doc_id", "text")).join(thin(known), "doc_id").select(seed.alias("seed"), "text", F.col("quality").cast("int").alias("quality"))
         .mapInArrow(_sample_batches, "seed long, quality int, rows binary").toArrow()
     )
     rows = sorted(zip(*[got.column(c).to_pylist() for c in ("seed", "quality", "rows")], strict=True))
@@ -173,7 +173,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     Repeated rows get equal scores, other columns are ignored, an empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_score_batches(net), f"doc_id {kind}, score double")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(_score_batches(net), f"doc_id {kind}, score double")
 
 
 def op10_quality_cnn(spark, sf_dir):

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, materialise
+from .common import in_batches, load, materialise
 
 SYMBOLS = "#*$%&|<>"
 COMMON_SHARE = 0.002
@@ -166,7 +166,7 @@ class References:
 
 def references(docs: DataFrame, share: float = COMMON_SHARE) -> References:
     """Corpus references, from every row; only classes and common words of each language are collected."""
-    counted = docs.select("lang", "text").mapInArrow(_reference_batches, "lang string, kind string, key string, n long")
+    counted = in_batches(docs).select("lang", "text").mapInArrow(_reference_batches, "lang string, kind string, key string, n long")
     per = materialise(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "word-counts")
     every = per.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "kind", "key", "n")
     per = per.filter(F.col("lang") != ALL).unionByName(every)
@@ -224,7 +224,7 @@ def judge(docs: DataFrame, ref: References) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return docs.select("doc_id", "lang", "text").mapInArrow(_judge_batches(ref), schema)
+    return in_batches(docs.select("doc_id", "lang", "text")).mapInArrow(_judge_batches(ref), schema)
 
 
 def op5_quality_rules(spark, sf_dir):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, materialise, shuffle_width
+from .common import in_batches, load, materialise, shuffle_width
 
 SEED = 42
 SHINGLE = 4
@@ -65,7 +65,7 @@ def _fingerprint_batches(shingle):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = in_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
     return rows.mapInArrow(_fingerprint_batches(shingle), f"doc_id {kind}, text_hash long, fp long")
 
 

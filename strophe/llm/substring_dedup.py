@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import load, materialise
+from .common import in_batches, load, materialise
 
 UNIT_WORDS = 4
 RUN_WORDS = 20
@@ -111,7 +111,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     replaced; an empty table gives an empty result.
     """
     key = F.xxhash64("doc_id", "text")
-    found = materialise(docs.select("doc_id", key.alias("k"), "text").mapInArrow(_unit_batches, _unit_schema(docs)), "units")
+    found = materialise(in_batches(docs).select("doc_id", key.alias("k"), "text").mapInArrow(_unit_batches, _unit_schema(docs)), "units")
     rank = F.struct("doc_id", "k", "unit")
     firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first < last").select("digest", "first")
     removable = (
