@@ -21,7 +21,7 @@ from .common import in_batches, load, materialise
 SYMBOLS = "#*$%&|<>"
 COMMON_SHARE = 0.002
 #: Largest distances that pass, and the least characters and words for them to count.
-MAX_CLASS_DISTANCE, MIN_CHARS = 0.25, 300
+MAX_CLASS_DISTANCE, MIN_CHARS = 0.28, 300
 MAX_WORD_DISTANCE, MIN_WORDS = 0.36, 100
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: The key of the reference over all documents, for those without a language.
