@@ -4,8 +4,10 @@ Every text is cut into units at line ends and after clause punctuation. Units of
 ``UNIT_WORDS`` words are normalised (lower case, single spaces) and hashed. Digests are grouped over the
 whole corpus; the occurrence with the smallest rank (doc_id, text hash, unit number) is kept, others may
 go. Shorter units have no digest and follow their neighbours. A run of such units in a document goes if
-it has at least ``RUN_WORDS`` words, so whole repeated lines and passages are found even where they
-stand inside other text, while short stock phrases stay. Offsets of all removed runs are returned.
+it has at least ``RUN_WORDS`` words, so repeated passages are found even where they stand inside other
+text, while short stock phrases stay. Whole lines of ``UNIT_WORDS`` words or more have digests of their
+own, and each later occurrence of such a line goes, whatever stands beside it. Offsets of all that is
+removed are returned.
 
 Counting pre-aggregates before its shuffle; the join that brings the first occurrence back to the units
 is an ordinary sort-merge join whose hot digests adaptive execution may split. One document's unit
@@ -28,6 +30,8 @@ from .common import in_batches, load, materialise
 
 UNIT_WORDS = 4
 RUN_WORDS = 20
+#: Added to the number of a line's first unit, the number of the line; longer lines go by the run rule.
+LINE = 1 << 30
 _UNIT = re.compile(r"[^\n]*?(?:[.,;:?](?=\s)|\n|$)", re.S)
 
 
@@ -36,13 +40,24 @@ def units(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _UNIT.finditer(text) if m.end() > m.start()]
 
 
+def _digest(words: list[str], seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), seed)
+
+
 def _hashed(text: str) -> tuple[list[int], list[int]]:
-    numbers, digests = [], []
-    for i, (a, b) in enumerate(units(text)):
+    numbers, digests, line, begin = [], [], [], 0
+    spans = units(text)
+    for i, (a, b) in enumerate(spans):
         words = text[a:b].lower().split()
         if len(words) >= UNIT_WORDS:
             numbers.append(i)
-            digests.append(xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))
+            digests.append(_digest(words))
+        line += words
+        if text[b - 1] == "\n" or i == len(spans) - 1:
+            if UNIT_WORDS <= len(line) < RUN_WORDS:
+                numbers.append(LINE + begin)
+                digests.append(_digest(line, 1))
+            line, begin = [], i + 1
     return numbers, digests
 
 
@@ -62,12 +77,17 @@ def _unit_batches(batches):
 
 
 def removed_spans(text: str, removable: list[int]) -> list[tuple[int, int]]:
-    """Spans of the runs of removable units that are long enough."""
+    """Spans of the runs of removable units that are long enough, and of removable lines outside them."""
     spans, gone = units(text), set(removable)
+    whole, inside = [], False
+    for i, (a, b) in enumerate(spans):
+        inside = inside or LINE + i in gone
+        whole.append(inside)
+        inside = inside and text[b - 1] != "\n"
     out, run, words = [], [], 0
     for i, (a, b) in enumerate(spans):
         n = len(text[a:b].split())
-        if i in gone or (run and n < UNIT_WORDS):
+        if i in gone or whole[i] or (run and n < UNIT_WORDS):
             run.append(i)
             words += n
         elif run:
@@ -77,10 +97,17 @@ def removed_spans(text: str, removable: list[int]) -> list[tuple[int, int]]:
         out.append((run, words))
     result = []
     for run, words in out:
-        while run[-1] not in gone:  # short units at the end belong to what follows
+        while run[-1] not in gone and not whole[run[-1]]:  # short units at the end belong to what follows
             words -= len(text[slice(*spans[run.pop()])].split())
         if words >= RUN_WORDS:
             result.append((spans[run[0]][0], spans[run[-1]][1]))
+            continue
+        before = None
+        for i in run:
+            if whole[i]:
+                at = result.pop()[0] if before == i - 1 else spans[i][0]
+                result.append((at, spans[i][1]))
+                before = i
     return result
 
 

@@ -79,5 +79,20 @@ def test_repeats_within_and_short_lines(spark):
     assert got == {1: f"{line}\nShort line here.", 2: "Short line here.\nother", 3: None}
 
 
+def test_repeated_lines_go_whatever_their_length(spark):
+    """Later copies of a whole line of 4 to 19 words go; the same words as a clause inside a line stay."""
+    data = [
+        (1, "alpha one two three.\nAll rights are reserved here.\nfirst body, of its own kind", "en"),
+        (2, "beta one two three.\nAll rights  are RESERVED here.\nsecond body, of its own sort\nshare this page now, with friends", "en"),
+        (3, "share this page now, with friends\nsays that All rights are reserved here. And more", "en"),
+        (4, "gamma one two three\n\nAll rights are reserved here.\nAll rights are reserved here.\nAll rights are reserved here.", "en"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in dedup_substrings(table(spark, data)).collect()}
+    assert got == {
+        1: data[0][1], 2: "beta one two three.\nsecond body, of its own sort\nshare this page now, with friends",
+        3: "says that All rights are reserved here. And more", 4: "gamma one two three\n\n",
+    }
+
+
 def test_empty(spark):
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
