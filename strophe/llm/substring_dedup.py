@@ -32,12 +32,59 @@ UNIT_WORDS = 4
 RUN_WORDS = 20
 #: Added to the number of a line's first unit, the number of the line; longer lines go by the run rule.
 LINE = 1 << 30
-_UNIT = re.compile(r"[^\n]*?(?:[.,;:?](?=\s)|\n|$)", re.S)
+#: A clause of more words is cut at anchors too: before a word whose hash with the word before it is the
+#: least of the REACH on either side. Where none comes for GAP words, every STEP words.
+ANCHORED, REACH, GAP, STEP = 12, 3, 24, 16
+_CLOSE = "[\"'”’»)\\]」』）】]*"
+_UNIT = re.compile(
+    rf"(?:[^\n.,;:?!。，、；：？！．｡､…]+|[.,;:?!](?!{_CLOSE}\s))*+(?:[.,;:?!]{_CLOSE}(?=\s)|[。，、；：？！．｡､…]+{_CLOSE}|\n|\Z)"
+)
+#: Scripts that are written without spaces; each of their characters counts as a word.
+_SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_IS_SPACELESS = re.compile(f"[{_SPACELESS}]")
+_WORD, _TOKEN = re.compile(r"\S+"), re.compile(rf"[{_SPACELESS}]|[^\s{_SPACELESS}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Words between white space; in scripts without spaces, characters."""
+    return _TOKEN.findall(text) if not text.isascii() and _IS_SPACELESS.search(text) else text.split()
+
+
+def anchors(words: list[str]) -> list[int]:
+    """Numbers of the words before which a clause is cut; what is near a word alone decides, save in a gap."""
+    n = len(words)
+    if n <= ANCHORED:
+        return []
+    digest = xxhash.xxh32_intdigest
+    h = [0, *[digest(f"{v} {w}".encode("utf-8", "surrogatepass")) for v, w in zip(words, words[1:])]]
+    out, last = [], 0
+    for i in range(UNIT_WORDS, n - UNIT_WORDS + 1):
+        x = h[i]
+        if x < h[i - 1] and x < min(h[max(1, i - REACH) : i]) and x < min(h[i + 1 : i + 1 + REACH], default=x + 1):
+            if i - last > GAP:
+                out += range(last + STEP, i - UNIT_WORDS + 1, STEP)
+            out.append(i)
+            last = i
+    if n - last > GAP:
+        out += range(last + STEP, n - UNIT_WORDS + 1, STEP)
+    return out
 
 
 def units(text: str) -> list[tuple[int, int]]:
-    """Spans that cover the text: each ends after a line end or after clause punctuation before a space."""
-    return [m.span() for m in _UNIT.finditer(text) if m.end() > m.start()]
+    """Spans that cover the text: each ends after a line end, after clause punctuation, or at an anchor."""
+    out, spaceless = [], not text.isascii() and _IS_SPACELESS.search(text)
+    token, least = (_TOKEN, ANCHORED) if spaceless else (_WORD, 2 * ANCHORED)  # fewer characters can't hold so many words
+    for m in _UNIT.finditer(text):
+        a, b = m.span()
+        if b - a > least:
+            starts = [w.start() for w in token.finditer(text, a, b)]
+            if len(starts) > ANCHORED:
+                for i in anchors(token.findall(text[a:b].lower())):
+                    out.append((a, starts[i]))
+                    a = starts[i]
+        if b > a:
+            out.append((a, b))
+    return out
 
 
 def _digest(words: list[str], seed: int = 0) -> int:
@@ -48,7 +95,7 @@ def _hashed(text: str) -> tuple[list[int], list[int]]:
     numbers, digests, line, begin = [], [], [], 0
     spans = units(text)
     for i, (a, b) in enumerate(spans):
-        words = text[a:b].lower().split()
+        words = words_of(text[a:b].lower())
         if len(words) >= UNIT_WORDS:
             numbers.append(i)
             digests.append(_digest(words))
@@ -86,7 +133,7 @@ def removed_spans(text: str, removable: list[int]) -> list[tuple[int, int]]:
         inside = inside and text[b - 1] != "\n"
     out, run, words = [], [], 0
     for i, (a, b) in enumerate(spans):
-        n = len(text[a:b].split())
+        n = len(words_of(text[a:b]))
         if i in gone or whole[i] or (run and n < UNIT_WORDS):
             run.append(i)
             words += n
@@ -98,7 +145,7 @@ def removed_spans(text: str, removable: list[int]) -> list[tuple[int, int]]:
     result = []
     for run, words in out:
         while run[-1] not in gone and not whole[run[-1]]:  # short units at the end belong to what follows
-            words -= len(text[slice(*spans[run.pop()])].split())
+            words -= len(words_of(text[slice(*spans[run.pop()])]))
         if words >= RUN_WORDS:
             result.append((spans[run[0]][0], spans[run[-1]][1]))
             continue

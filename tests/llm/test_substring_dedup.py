@@ -94,5 +94,39 @@ def test_repeated_lines_go_whatever_their_length(spark):
     }
 
 
+def planted(rng, passage):
+    """The passage inside a clause of other words, which differ from call to call."""
+    return f"{sentence(rng, 'en', rng.randint(5, 25))[:-1]} {passage} {sentence(rng, 'en', rng.randint(5, 25))}"
+
+
+def test_passage_inside_long_clauses(spark):
+    """Passages that end in '!', in a closing quote, in CJK marks or in no mark at all, between words of their hosts."""
+    rng = random.Random(11)
+    bare = lambda n: sentence(rng, "fr", n)[:-1]
+    letters = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passages = [
+        f"{bare(60)}!", " ".join(f"{bare(20)}!" for _ in range(3)), bare(60), " ".join(f"«{bare(17)}.»" for _ in range(4)),
+        " | ".join(bare(1) for _ in range(60)), "。".join(letters(30) for _ in range(4)), letters(120),
+    ]
+    data = [(10 * k + i, planted(rng, p), "en") for k, p in enumerate(passages) for i in range(3)]
+    got = {r["doc_id"]: r for r in dedup_substrings(table(spark, data)).collect()}
+    for k, p in enumerate(passages):
+        assert not got[10 * k]["removed"]
+        for i in (1, 2):
+            text, host = got[10 * k + i]["text"], data[3 * k + i][1]
+            at = host.index(p)
+            assert len(host) - len(text) > 0.6 * len(p) and text.startswith(host[:at]) and text.endswith(host[at + len(p) + 1 :]), (k, text)
+
+
+def test_any_shared_run_of_fifty_words():
+    rng = random.Random(5)
+    for _ in range(300):
+        passage = sentence(rng, "de", 50)[:-1]
+        first, second = planted(rng, passage), planted(rng, passage)
+        pieces = lambda t: [" ".join(t[a:b].lower().split()) for a, b in units(t)]
+        have = set(pieces(first))
+        assert removed_spans(second, [i for i, p in enumerate(pieces(second)) if p in have])
+
+
 def test_empty(spark):
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
