@@ -1,13 +1,14 @@
 """Substring deduplication by hashing lines and the clauses within them.
 
-Every text is cut into units at line ends and after clause punctuation. Units of at least
-``UNIT_WORDS`` words are normalised (lower case, single spaces) and hashed. Digests are grouped over the
-whole corpus; the occurrence with the smallest rank (doc_id, text hash, unit number) is kept, others may
-go. Shorter units have no digest and follow their neighbours. A run of such units in a document goes if
-it has at least ``RUN_WORDS`` words, so repeated passages are found even where they stand inside other
-text, while short stock phrases stay. Whole lines of ``UNIT_WORDS`` words or more have digests of their
-own, and each later occurrence of such a line goes, whatever stands beside it. Offsets of all that is
-removed are returned.
+Every text is cut into units at line ends, after clause punctuation and, in long clauses, at anchors that
+the words near them decide, so that a passage is cut alike wherever it begins. Marks that end fewer than
+``UNIT_WORDS`` words since the last don't cut. Every unit with a word is normalised (lower case, single
+spaces) and hashed. Digests are grouped over the whole corpus; the occurrence with the smallest rank
+(doc_id, text hash, unit number) is kept, others may go. A run of such units in a document goes, with the
+empty lines in it, if it has at least ``RUN_WORDS`` words, so repeated passages are found even where they
+stand inside other text, while short stock phrases stay. Whole lines of ``UNIT_WORDS`` words or more have
+digests of their own, and each later occurrence of such a line goes, whatever stands beside it. Characters
+of scripts without spaces count as words. Offsets of all that is removed are returned.
 
 Counting pre-aggregates before its shuffle; the join that brings the first occurrence back to the units
 is an ordinary sort-merge join whose hot digests adaptive execution may split. One document's unit
@@ -70,20 +71,37 @@ def anchors(words: list[str]) -> list[int]:
     return out
 
 
+def _clauses(text: str) -> list[tuple[int, int]]:
+    """Spans that end after a line end, or after a mark that ends ``UNIT_WORDS`` words since the mark before it."""
+    out, at, begin = [], 0, 0  # begin: of the line
+    for m in _UNIT.finditer(text):
+        a, b = m.span()
+        if a == b:
+            break
+        ends = text[b - 1] == "\n"
+        if not ends and b < len(text) and (b - a < UNIT_WORDS or len(words_of(text[a:b])) < UNIT_WORDS):
+            continue
+        if (ends or b == len(text)) and at > begin and len(words_of(text[at:b])) < UNIT_WORDS:
+            at = out.pop()[0]  # a short end of a line belongs to what stands before it
+        out.append((at, b))
+        at = b
+        if ends:
+            begin = b
+    return out
+
+
 def units(text: str) -> list[tuple[int, int]]:
-    """Spans that cover the text: each ends after a line end, after clause punctuation, or at an anchor."""
+    """Spans that cover the text: clauses, cut at anchors; only lines of their own have under ``UNIT_WORDS`` words."""
     out, spaceless = [], not text.isascii() and _IS_SPACELESS.search(text)
     token, least = (_TOKEN, ANCHORED) if spaceless else (_WORD, 2 * ANCHORED)  # fewer characters can't hold so many words
-    for m in _UNIT.finditer(text):
-        a, b = m.span()
+    for a, b in _clauses(text):
         if b - a > least:
             starts = [w.start() for w in token.finditer(text, a, b)]
             if len(starts) > ANCHORED:
                 for i in anchors(token.findall(text[a:b].lower())):
                     out.append((a, starts[i]))
                     a = starts[i]
-        if b > a:
-            out.append((a, b))
+        out.append((a, b))
     return out
 
 
@@ -96,7 +114,7 @@ def _hashed(text: str) -> tuple[list[int], list[int]]:
     spans = units(text)
     for i, (a, b) in enumerate(spans):
         words = words_of(text[a:b].lower())
-        if len(words) >= UNIT_WORDS:
+        if words:
             numbers.append(i)
             digests.append(_digest(words))
         line += words
@@ -134,7 +152,7 @@ def removed_spans(text: str, removable: list[int]) -> list[tuple[int, int]]:
     out, run, words = [], [], 0
     for i, (a, b) in enumerate(spans):
         n = len(words_of(text[a:b]))
-        if i in gone or whole[i] or (run and n < UNIT_WORDS):
+        if i in gone or whole[i] or (run and not n):
             run.append(i)
             words += n
         elif run:
@@ -144,8 +162,8 @@ def removed_spans(text: str, removable: list[int]) -> list[tuple[int, int]]:
         out.append((run, words))
     result = []
     for run, words in out:
-        while run[-1] not in gone and not whole[run[-1]]:  # short units at the end belong to what follows
-            words -= len(words_of(text[slice(*spans[run.pop()])]))
+        while run[-1] not in gone and not whole[run[-1]]:  # empty lines at the end belong to what follows
+            run.pop()
         if words >= RUN_WORDS:
             result.append((spans[run[0]][0], spans[run[-1]][1]))
             continue

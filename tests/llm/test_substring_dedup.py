@@ -128,5 +128,21 @@ def test_any_shared_run_of_fifty_words():
         assert removed_spans(second, [i for i, p in enumerate(pieces(second)) if p in have])
 
 
+def test_unique_short_lines_stay(spark):
+    """A repeated header and footer don't take a list of short lines with them; repeated short lines go with a run."""
+    line = lambda w, n: " ".join(f"{w}{i}" for i in range(n))
+    head, foot = line("head", 15), line("foot", 15)
+    data = [(i, f"{head}, in short\n{'\n'.join(f'item {i} {j}' for j in range(9))}\nBack to top\n{foot}", "en") for i in range(3)]
+    poem = "\n".join(f"short verse {j}" for j in range(12))
+    data += [(10 + i, f"opening {i}\n{poem}\nclosing {i}", "en") for i in range(2)]
+    data += [(20 + i, f"第{i}章\n今天天气很好\n{'甲乙丙丁'[i] * 2}", "zh") for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in dedup_substrings(table(spark, data)).collect()}
+    assert got[0] == data[0][1]
+    for i in (1, 2):
+        assert "head" not in got[i] and "foot" not in got[i] and all(f"item {i} {j}\n" in got[i] for j in range(9))
+    assert got[10] == data[3][1] and got[11] == "opening 1\nclosing 1"
+    assert got[20] == data[5][1] and got[21] == "第1章\n乙乙" and got[22] == "第2章\n丙丙"
+
+
 def test_empty(spark):
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
