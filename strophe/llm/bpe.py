@@ -2,7 +2,9 @@
 
 A document is cut by the tokenizer's pattern. Words that a worker has not seen are encoded together:
 their single-byte tokens become rows (word, position, token), and a recursive query joins neighbours to
-the merge table and contracts each word's leftmost pair of minimum rank until no pair is left. Decoding
+the merge table and contracts each word's leftmost pair of minimum rank until no pair is left. The recursion
+keeps every round's rows, which grow with the square of a word's length, so a query takes as many words as
+``QUERY_ROWS`` allows, and words of over ``LONG`` bytes are contracted in the same order with a heap. Decoding
 joins ids to the vocabulary and aggregates bytes in order of position. Both results are kept per
 worker, up to ``CACHE_WORDS`` entries, so a document is a concatenation of what its words gave.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 CACHE_WORDS = 1_000_000
 #: Words of a recursive query, and characters of text gathered before new words are encoded.
 QUERY_WORDS, GATHER = 40_000, 8_000_000
+#: Most squared bytes of a recursive query's words together, and bytes beyond which a word is no part of one.
+QUERY_ROWS, LONG = 8_000_000, 512
 
 _ENCODE = """
 WITH RECURSIVE step(i, w, pos, tok) AS (
@@ -82,19 +87,51 @@ class DuckBpe:
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each non-empty word, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for lo in range(0, len(words), QUERY_WORDS):
-            part = words[lo : lo + QUERY_WORDS]
-            w, pos = self._rows(np.fromiter(map(len, part), np.int64, len(part)))
-            if len(pos) and pos.max() >= 1 << 20:
-                raise ValueError("a word of more than a million bytes")
-            tok = self.byte[np.frombuffer(b"".join(part), np.uint8)]
-            self.db.register("start", pa.table({"w": w, "pos": pos, "tok": tok}))
-            got = self.db.execute(_ENCODE).fetchnumpy()
-            self.db.unregister("start")
-            ids = got["tok"].astype("<u4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(got["w"], minlength=len(part)))
-            out += [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        return out
+        part, rows = [], 0
+        for word in words:
+            if part and (len(part) == QUERY_WORDS or rows + len(word) ** 2 > QUERY_ROWS or len(word) > LONG):
+                out += self._merge_part(part)
+                part, rows = [], 0
+            if len(word) > LONG:
+                out.append(self._merge_long(word))
+            else:
+                part.append(word)
+                rows += len(word) ** 2
+        return out + self._merge_part(part) if part else out
+
+    def _merge_part(self, part: list[bytes]) -> list[bytes]:
+        w, pos = self._rows(np.fromiter(map(len, part), np.int64, len(part)))
+        tok = self.byte[np.frombuffer(b"".join(part), np.uint8)]
+        self.db.register("start", pa.table({"w": w, "pos": pos, "tok": tok}))
+        got = self.db.execute(_ENCODE).fetchnumpy()
+        self.db.unregister("start")
+        ids = got["tok"].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(got["w"], minlength=len(part)))
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _merge_long(self, word: bytes) -> bytes:
+        """The same contractions, leftmost pair of least rank first, in memory that grows with the length."""
+        n, ranks = len(word), self.ranks
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))  # starts of the neighbouring tokens; n ends the word
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or j >= n or after[j] != end:  # a token of the pair has changed
+                continue
+            after[i], after[j] = end, -1
+            if end < n:
+                before[end] = i
+                if (r := ranks.get(word[i : after[end]])) is not None:
+                    heapq.heappush(heap, (r, i, after[end]))
+            if (h := before[i]) >= 0 and (r := ranks.get(word[h:end])) is not None:
+                heapq.heappush(heap, (r, h, end))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[word[i : after[i]]])
+            i = after[i]
+        return np.array(out, "<u4").tobytes()
 
     def decode(self, sequences: list[bytes]) -> list[bytes]:
         """Bytes of each sequence of ids (little-endian unsigned 32-bit integers)."""
@@ -176,7 +213,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
 
     A null or empty text has no token and the digests of no bytes. Strings of special tokens are ordinary
     text. Repeated rows give repeated results, other columns are ignored, an empty table gives an empty
-    result. A run of over a million letters, digits, signs or spaces is refused with an error.
+    result. Words may be of any length.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded binary" if with_ids else "")

@@ -43,6 +43,23 @@ def test_merge_and_decode(coder, library):
     assert coder.decode(raw) == [library.decode_bytes(ids), b"", library.decode_bytes(ids[:3])] and coder.decode([]) == [] == coder.merge([])
 
 
+def test_long_words(coder, library):
+    """Unbroken runs of 7,000 to over a million bytes, and many middling words in one batch, give the library's ids."""
+    rng = random.Random(8)
+    word = lambda n, low, high: "".join(chr(rng.randrange(low, high)) for _ in range(n))
+    long = [word(7000, 97, 123), word(3000, 0x4E00, 0x9FA0), word(100_000, 97, 123), word(3000, 0xE01, 0xE2F), "=" * 20_000, " " * 9000 + "a", word(1_100_000, 97, 123)]
+    long += [" ".join(word(500, 97, 123) for _ in range(300))]
+    for t, parts in zip(long, coder.encode_batch(long), strict=True):
+        ids = np.frombuffer(b"".join(parts), "<u4").tolist()
+        assert b"".join(coder.bytes[p] for p in parts) == t.encode()
+        assert ids == library.encode_ordinary(t), t[:40]
+
+
+def test_merges_agree(coder):
+    words = sorted({w.encode() for t in texts() for w in coder.find(t)})
+    assert [coder._merge_long(w) for w in words] == coder.merge(words)
+
+
 def test_operator(spark, library):
     want = []
     for i, t, _ in rows():
