@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import in_batches, load
 
@@ -195,7 +196,7 @@ class Packer:
         return out
 
 
-def _pack_batches(path, end_id, tokens, segments, loss, with_ids):
+def _pack_batches(path, end_id, tokens, segments, loss, with_ids, loss_start=None):
     def run(batches):
         kept = _per_worker()
         coder = kept.get(("word", path)) or kept.setdefault(("word", path), WordBpe(path))
@@ -228,10 +229,11 @@ def _pack_batches(path, end_id, tokens, segments, loss, with_ids):
 
         for b in batches:
             kind = b.column("doc_id").type
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            starts = [0] * len(b) if loss_start is None else b.column("loss_start").to_pylist()
+            for doc_id, text, loss_from in zip(b.column("doc_id").to_pylist(), b.column("text"), starts, strict=True):
                 ids = coder.encode(text.as_py() or "") + end
                 docs[number] = (doc_id, ids)
-                packer.add(number, len(ids) // 4)
+                packer.add(number, len(ids) // 4, loss_from or 0)
                 number += 1
                 gathered += len(ids) // 4
                 if gathered >= BLOCK_TOKENS:
@@ -243,17 +245,19 @@ def _pack_batches(path, end_id, tokens, segments, loss, with_ids):
     return run
 
 
-def pack(docs: DataFrame, path: str, tokens=TOKENS, segments=SEGMENTS, loss=None, end_id=END_ID, with_ids=False) -> DataFrame:
+def pack(docs: DataFrame, path: str, tokens=TOKENS, segments=SEGMENTS, loss=None, end_id=END_ID, with_ids=False, loss_start=None) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
 
-    Each document's ids end with ``end_id``; a null or empty text is that id alone. Every token of a
-    document bears loss. Repeated rows are packed each for itself, a null doc_id is carried along, other
+    Each document's ids end with ``end_id``; a null or empty text is that id alone. ``loss_start``
+    names a column with the number of a document's first token that bears loss, as after a prompt; without
+    it, or where it is null, every token does. Repeated rows are packed each for itself, a null doc_id is carried along, other
     columns are ignored, an empty table gives an empty result. Sequence ids are unique, not gapless.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    run = _pack_batches(path, end_id, tokens, segments, loss, with_ids)
-    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, schema + (", ids binary" if with_ids else ""))
+    run = _pack_batches(path, end_id, tokens, segments, loss, with_ids, loss_start)
+    columns = ["doc_id", "text"] + ([] if loss_start is None else [F.col(loss_start).cast("long").alias("loss_start")])
+    return in_batches(docs.select(*columns)).mapInArrow(run, schema + (", ids binary" if with_ids else ""))
 
 
 def tokenizer_path() -> str:

@@ -92,3 +92,18 @@ def test_empty(spark):
     assert pack(spark.createDataFrame([], SCHEMA), tokenizer_path()).collect() == []
     with pytest.raises(ValueError):
         Packer(0)
+
+
+def test_loss_column(spark):
+    """The limit of loss-bearing tokens binds, and prompts don't count towards it."""
+    data = [(i, " ".join(["word"] * (20 + i % 9)), (i % 4) * 6 if i % 5 else None) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, prompt int").repartition(2)
+    start = {i: s or 0 for i, _, s in data}
+    got = pack(docs, tokenizer_path(), tokens=64, segments=8, loss=32, loss_start="prompt").collect()
+    total, loss, covered = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in got:
+        total[r["sequence_id"]] += r["length"]
+        loss[r["sequence_id"]] += max(0, r["start"] + r["length"] - max(r["start"], start[r["doc_id"]]))
+        covered[r["doc_id"]] += r["length"]
+    assert covered == {i: len(library_ids(t)) + 1 for i, t, _ in data}
+    assert max(loss.values()) <= 32 < max(total.values()) <= 64
