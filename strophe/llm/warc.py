@@ -159,8 +159,13 @@ def _record(fields: dict[str, str], http: dict[str, str]) -> dict:
 
 
 def records(f, size: int, start: int, end: int, wanted, with_payload: bool):
-    """(head fields, payload or None) of the wanted records that begin in [start, end)."""
+    """(head fields, payload or None) of the wanted records that begin in [start, end).
+
+    Each record must be a gzip member of its own; other archives are refused with an error.
+    """
     w = _Window(f, size)
+    if start == 0 and size and w.get(0, min(2, size)) != b"\x1f\x8b":
+        raise ValueError("not a gzip archive: uncompressed WARC files are not read")
     pos = _first(w, start, end)
     while pos is not None and pos < end:
         at = pos
@@ -187,6 +192,8 @@ def records(f, size: int, start: int, end: int, wanted, with_payload: bool):
                 fed += 0 if z.unconsumed_tail else len(tail)
                 parts.append(z.decompress(tail, 1 << 22))
             raw = b"".join(parts)
+            if not known and b"WARC/" in raw[len(head) + 4 + int(fields.get("content-length", 0)) :][:16]:
+                raise ValueError("a gzip member of several records: such WARC files are not read")
         pos = at + skip if known else fed - len(z.unused_data)
         if take:
             payload = None

@@ -111,3 +111,20 @@ def test_query_and_sql(spark, tmp_path):
 def test_empty(spark, tmp_path):
     write_warc(table(spark).limit(0), str(tmp_path / "e"))
     assert read_warc(spark, str(tmp_path / "e")).collect() == []
+
+
+def test_other_forms_are_refused():
+    """Uncompressed archives, and members of several records, raise an error instead of losing records."""
+    import gzip
+    import io
+
+    import pytest
+
+    from strophe.llm.warc import records
+
+    one = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody\r\n\r\n"
+    read = lambda data: list(records(io.BytesIO(data), len(data), 0, len(data), lambda r: True, True))
+    assert [p for _, p in read(gzip.compress(one) * 3)] == [b"body"] * 3
+    for data in (one * 2, gzip.compress(one * 2)):
+        with pytest.raises(ValueError, match="not read"):
+            read(data)
