@@ -1,72 +1,113 @@
 """SimHash near-duplicate detection with a Gray-order hierarchical index.
 
-Fingerprints are made in Arrow batches, whole texts at a time. Equal fingerprints are one node. Two
-fingerprints that differ in at most four of 64 bits agree in at least one of five blocks, so each node
-is sent to five routes (block, block value). A route with more than ``HOT`` nodes is cut once more by
-the same argument over five parts of its other bits, which loses nothing.
-
-Within a route the nodes are sorted by Gray rank and a tree is built over them. A tree node keeps the
-bits that all its members share, less those its parent already holds. A search adds up the differences
-to these shared patterns from the root down and drops a whole group once they exceed the limit; it
-accepts a whole group once even its free bits could not exceed it. Links are reduced to one edge per
-member and route, and components come from alternating large-star and small-star rounds.
+Fingerprints are made in Arrow batches, whole texts in slices. Equal fingerprints are one node. The index
+holds every node under several lead keys, and rows are dealt to tasks by lead key. A task sorts its rows by
+the Gray ranks of lead key and fingerprint and builds a tree over all of them: a tree node keeps the bits of
+both that its members share, less those its parent already holds. A search carries all queries down the tree
+together, adds up their differences to the shared patterns, and drops a whole group once a lead bit differs,
+once more fingerprint bits differ than the limit allows, or once the group lies in the query's component
+already. Every link comes from this search.
+
+``near_duplicates`` links fingerprints within a limit of L bits. Its lead keys are the L + 1 blocks of the
+fingerprint: two fingerprints within the limit agree in at least one. Lead keys with over ``HOT`` nodes are
+cut once more by the same argument over parts of the other bits, so no link is lost.
+
+``near_copies`` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which
+differ in about ten of 64 bits, too many for blocks. There the lead keys are bands of minima of the shingle
+hashes, the search joins fingerprints at growing distances, which gives a minimum spanning forest of each
+lead key, and the edges of the forests are confirmed with the texts. Two texts at 0.8 share a band with a
+probability of 0.99997.
+
+Components come from alternating large-star and small-star rounds.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, load, materialise, shuffle_width
+from .common import in_batches, load, materialise, shuffle_width, sieved, unused, without
 
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
-#: Bit ranges (low, width) of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Nodes in a route beyond which it is cut into finer routes.
+#: Nodes under a lead key beyond which it is cut into finer ones.
 HOT = 20_000
-LEAF, FAN, CHUNK = 16, 8, 2048
+#: Members of a leaf, children of a node, queries that descend together, and the most pairs of query and node held at a time.
+LEAF, FAN, CHUNK, FRONTIER = 16, 8, 2048, 1 << 20
+#: Times a crowded lead key is cut in near_edges.
+CUTS = 4
+#: Rows of a task that are indexed together; a lead key is never cut.
+SEGMENT = 1 << 17
+#: near_copies: words of a shingle, least similarity, bands and their rows, distances at which fingerprints are joined.
+COPY_SHINGLE, SIMILARITY, BANDS, ROWS, RADII = 5, 0.8, 20, 4, (0, 2, 4, 6, 8, 10, 12, 14, 16, 20)
+#: near_copies: bands that are combined with a crowded one, and members of a crowded key that all its parts hold.
+SECOND, PIVOTS = 5, 64
+#: Bytes of a text whose words are held at a time.
+SLICE = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_slices(raw: bytes):
+    """Lists of the words, in order, of about SLICE bytes each."""
+    at = 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + SLICE)
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
+def shingle_hashes(text: str | None, shingle: int):
+    """Arrays of the XXH64 of the lower-cased text's shingles; of fewer words the whole sequence, of none nothing."""
+    digest, tail, some = xxhash.xxh64_intdigest, [], False
+    for words in word_slices((text or "").encode("utf-8", "surrogatepass").lower()):
+        words = tail + words
+        n = len(words)
+        if n >= shingle:
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, n)) + np.arange(n)
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+            yield np.array(hashes, "<u8")
+            some = True
+        tail = words[max(0, n - shingle + 1) :]
+    if tail and not some:
+        yield np.array([digest(b" ".join(tail), SEED)], "<u8")
+
+
+def majority(hashes) -> int:
+    """Bits that more than half of the hashes, given in arrays, have."""
+    total, m = np.zeros(64, np.int64), 0
+    for raw in hashes:
+        m += len(raw)
+        for at in range(0, len(raw), 1 << 16):
+            part = np.ascontiguousarray(raw[at : at + (1 << 16)])
+            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > m, bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = len(words)
-    if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n)) + np.arange(n)
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    m = len(hashes)
-    total = np.zeros(64, np.int64)
-    raw = np.array(hashes, "<u8")
-    for at in range(0, m, 1 << 16):
-        part = raw[at : at + (1 << 16)]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > m, bitorder="little").view("<u8")[0])
+    return majority(shingle_hashes(text, shingle))
 
 
 def _fingerprint_batches(shingle):
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = in_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
-    return rows.mapInArrow(_fingerprint_batches(shingle), f"doc_id {kind}, text_hash long, fp long")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(_fingerprint_batches(shingle), f"doc_id {kind}, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -77,156 +118,198 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class GrayTree:
-    """Hierarchy over fingerprints in Gray order; ``links`` gives edges that join what is within reach."""
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the edges a-b of a minimum spanning forest between components; ``label`` is updated.
 
-    def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        self.fps = fps[self.order]
-        n, width = len(fps), LEAF
-        starts = np.arange(0, n, width)
-        ors, ands = np.bitwise_or.reduceat(self.fps, starts), np.bitwise_and.reduceat(self.fps, starts)
-        levels = [(starts, ors, ands)]
+    Every component takes its lightest edge, and those joined so are one, until no edge is left.
+    """
+    taken = []
+    order = np.argsort(weight, kind="stable")
+    a, b = a[order], b[order]
+    live = np.arange(len(a))
+    while True:
+        la, lb = label[a[live]], label[b[live]]
+        live, la, lb = live[la != lb], la[la != lb], lb[la != lb]
+        if not len(live):
+            return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
+        names, at = np.unique(np.concatenate((la, lb)), return_inverse=True)
+        la, lb = at[: len(live)], at[len(live) :]
+        best = np.full(len(names), len(live))
+        np.minimum.at(best, la, np.arange(len(live)))
+        np.minimum.at(best, lb, np.arange(len(live)))
+        taken.append(live[np.unique(best)])
+        to = np.where(la[best] == np.arange(len(names)), lb[best], la[best])
+        mutual = to[to] == np.arange(len(names))
+        to = np.where(mutual & (np.arange(len(names)) < to), np.arange(len(names)), to)
+        while (to[to] != to).any():
+            to = to[to]
+        root = np.arange(len(label))
+        root[names] = names[to]
+        label[:] = root[label]
+
+
+class GrayIndex:
+    """Hierarchy over (lead key, fingerprint) rows in Gray order."""
+
+    def __init__(self, keys: np.ndarray, fps: np.ndarray):
+        self.order = np.lexsort((gray_rank(fps), gray_rank(keys)))
+        self.keys, self.fps = keys[self.order], fps[self.order]
+        n = len(fps)
+        self.label = np.arange(n)
+        starts = np.arange(0, n, LEAF)
+        levels = [(starts, *[f.reduceat(x, starts) for x in (self.keys, self.fps) for f in (np.bitwise_or, np.bitwise_and)])]
         while len(levels[-1][0]) > 1:
             up = np.arange(0, len(levels[-1][0]), FAN)
-            levels.append((levels[-1][0][up], np.bitwise_or.reduceat(levels[-1][1], up), np.bitwise_and.reduceat(levels[-1][2], up)))
-        self.levels = []
-        parent_mask = None
-        for starts, ors, ands in reversed(levels):  # from the root down
-            mask = ~(ors ^ ands)
-            own = mask if parent_mask is None else mask & ~np.repeat(parent_mask, FAN)[: len(mask)]
-            ends = np.append(starts[1:], n)
-            self.levels.append((starts, ends, ands & own, own, np.bitwise_count(~mask).astype(np.int64)))
-            parent_mask = mask
-
-    def links(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Edges (positions in the input) whose components are those of all pairs within ``limit``."""
-        n, out_a, out_b = len(self.fps), [], []
-        for starts, ends, _, _, free in self.levels:  # groups so tight that all members link
-            for i in np.flatnonzero((free <= limit) & (ends - starts > 1)):
-                out_a.append(np.full(ends[i] - starts[i] - 1, starts[i]))
-                out_b.append(np.arange(starts[i] + 1, ends[i]))
+            s, ko, ka, fo, fa = levels[-1]
+            levels.append((s[up], np.bitwise_or.reduceat(ko, up), np.bitwise_and.reduceat(ka, up), np.bitwise_or.reduceat(fo, up), np.bitwise_and.reduceat(fa, up)))
+        self.levels, above = [], (np.uint64(0), np.uint64(0))
+        for s, ko, ka, fo, fa in reversed(levels):  # from the root down
+            shared = ~(ko ^ ka), ~(fo ^ fa)
+            own = [m & ~(np.repeat(p, FAN)[: len(m)] if np.ndim(p) else p) for m, p in zip(shared, above, strict=True)]
+            self.levels.append((s, np.append(s[1:], n), ka & own[0], own[0], fa & own[1], own[1]))
+            above = shared
+
+    def _settled(self) -> list[np.ndarray]:
+        """For each level the component that holds all of a group, or -1."""
+        out = []
+        for starts, *_ in self.levels:
+            low, high = np.minimum.reduceat(self.label, starts), np.maximum.reduceat(self.label, starts)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def join(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Edges (positions in the input) that join the components of rows with equal keys within ``limit`` bits."""
+        n, out = len(self.fps), []
+        settled, found, held = self._settled(), [], 0
+
+        def merge():
+            nonlocal settled, found, held
+            if held:
+                a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+                pick = forest(self.label, a, b, d)
+                out.append((a[pick], b[pick]))
+                settled, found, held = self._settled(), [], 0
+
         for lo in range(0, n, CHUNK):
             q = np.arange(lo, min(n, lo + CHUNK))
-            node, diff = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
-            for depth, (starts, ends, pattern, own, free) in enumerate(self.levels):
-                diff = diff + np.bitwise_count((self.fps[q] ^ pattern[node]) & own[node])
-                live = (diff <= limit) & (ends[node] > q + 1)  # a pair is found from its earlier member
+            todo = [(0, q, np.zeros(len(q), np.int64), np.zeros(len(q), np.int64))]
+            while todo:
+                depth, q, node, diff = todo.pop()
+                if depth == len(self.levels):
+                    near = (node > q) & (self.keys[q] == self.keys[node])
+                    q, node = q[near], node[near]
+                    diff = np.bitwise_count(self.fps[q] ^ self.fps[node])
+                    near = (diff <= limit) & (self.label[q] != self.label[node])
+                    found.append((q[near], node[near], diff[near]))
+                    held += int(near.sum())
+                    if held > FRONTIER:
+                        merge()
+                    continue
+                _, ends, key, key_own, fp, fp_own = self.levels[depth]
+                live = (ends[node] > q + 1) & (settled[depth][node] != self.label[q])  # a pair is found from its earlier row
+                live &= (self.keys[q] ^ key[node]) & key_own[node] == 0
                 q, node, diff = q[live], node[live], diff[live]
-                sure = (diff + free[node] <= limit) & (free[node] <= limit)
-                if sure.any():
-                    out_a.append(q[sure])
-                    out_b.append(starts[node[sure]])
-                    q, node, diff = q[~sure], node[~sure], diff[~sure]
-                if depth < len(self.levels) - 1:
-                    width, below = FAN, len(self.levels[depth + 1][0])
-                else:
-                    width, below = LEAF, n
-                child = (node[:, None] * width + np.arange(width)).ravel()
-                q, diff = np.repeat(q, width), np.repeat(diff, width)
-                ok = child < below
-                q, node, diff = q[ok], child[ok], diff[ok]
-            near = (node > q) & (np.bitwise_count(self.fps[q] ^ self.fps[np.minimum(node, n - 1)]) <= limit)
-            out_a.append(q[near])
-            out_b.append(node[near])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
+                diff = diff + np.bitwise_count((self.fps[q] ^ fp[node]) & fp_own[node])
+                live = diff <= limit
+                q, node, diff = q[live], node[live], diff[live]
+                last = depth == len(self.levels) - 1
+                width, below = (LEAF, n) if last else (FAN, len(self.levels[depth + 1][0]))
+                step = max(1, FRONTIER // width)
+                for at in range(0, len(q), step):
+                    child = (node[at : at + step, None] * width + np.arange(width)).ravel()
+                    ok = child < below
+                    todo.append((depth + 1, np.repeat(q[at : at + step], width)[ok], child[ok], np.repeat(diff[at : at + step], width)[ok]))
+            merge()
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
         return self.order[a], self.order[b]
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Component label of 0..n-1 under edges a-b: the member of the smallest rank."""
-    label = np.argsort(np.argsort(rank))
-    by_rank = np.argsort(rank)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[by_rank[new]])
-        if (new == label).all():
-            return by_rank[label]
-        label = new
-
-
-def route_edges(fps: np.ndarray, limit: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct fingerprints of one route: (member, smallest member of its component in this route)."""
-    n = len(fps)
-    if n <= 48:
-        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= limit, 1))
-    else:
-        a, b = GrayTree(fps).links(limit)
-    if not len(a):
-        return fps[:0], fps[:0]
-    signed = fps.view(np.int64)
-    roots = _roots(n, a, b, signed)
-    moved = roots != np.arange(n)
-    return fps[moved], fps[roots[moved]]
-
-
-def _route_batches(limit):
-    """Routes arrive sorted and whole within a partition; one route at a time is in memory."""
+def segments(batches, *names):
+    """Arrays of the columns of whole lead keys (``route``), which arrive sorted, of about SEGMENT rows together."""
+    held, rows = [], 0
+    for batch in batches:
+        part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("route", *names)]
+        if not batch.num_rows:
+            continue
+        if rows >= SEGMENT:
+            cut = int(np.searchsorted(part[0] != held[-1][0][-1], True))  # rows of the key that is still open
+            held.append([c[:cut] for c in part])
+            rows += cut
+            if cut == batch.num_rows:
+                continue
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, rows, part = [], 0, [c[cut:] for c in part]
+        held.append(part)
+        rows += len(part[0])
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
-    def search(key, parts):
-        fps = np.unique(np.concatenate(parts)).view(np.uint64)
-        if len(fps) > 1:
-            a, b = route_edges(fps, limit)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
+def _link_batches(limit):
     def run(batches):
-        key, parts = None, []
-        for batch in batches:
-            keys, fps = batch.column("route").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False)
-            if not len(keys):
-                continue
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            for k, part in zip(keys[np.concatenate(([0], cuts))], np.split(fps, cuts), strict=True):
-                if k != key and parts:
-                    yield from search(key, parts)
-                    parts = []
-                key = k
-                parts.append(part)
-        if parts:
-            yield from search(key, parts)
+        for keys, fps in segments(batches, "fp"):
+            index = GrayIndex(keys.view(np.uint64), fps.view(np.uint64))
+            for radius in sorted({min(1, limit), min(2, limit), limit}):  # dense groups join early and are passed over later
+                a, b = index.join(radius)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], names=["u", "v"])
 
     return run
 
 
-def _block(low: int, width: int):
-    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
+def _cuts(limit: int, levels: int) -> list[tuple[int, int, int, int, int]]:
+    """Rows (level, cut, part, next cut, bits): a cut has some bits settled, its parts take turns over the others."""
+    whole = (1 << 64) - 1
+    rows, open_cuts, number = [], [(0, whole)], 1
+    for level in range(levels):
+        below = []
+        for cut, free in open_cuts:
+            bits = [b for b in range(64) if free >> b & 1]
+            for part in range(limit + 1):
+                own = sum(1 << b for b in (bits[len(bits) * part // (limit + 1) : len(bits) * (part + 1) // (limit + 1)] if level == 0 else bits[part :: limit + 1]))
+                rows.append((level, cut, part, number, own - (1 << 64) if own >> 63 else own))
+                below.append((number, free & ~own))
+                number += 1
+        open_cuts = below
+    return rows
 
 
 def near_edges(nodes: DataFrame, limit: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """Edges ``u, v`` whose components are those of all fingerprint pairs within ``limit`` bits."""
-    if limit >= len(BLOCKS):
-        raise ValueError(f"{len(BLOCKS)} blocks find up to {len(BLOCKS) - 1} differing bits")
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(i), _block(*b)).alias("route")) for i, b in enumerate(BLOCKS)])
-    routed = nodes.select("fp", F.inline(keys))
-    crowded = routed.groupBy("route").count().filter(F.col("count") > hot).select("route", F.lit(True).alias("crowded"))
-    routed = routed.join(crowded, "route", "left")
-    finer = []
-    for part in range(len(BLOCKS)):  # of the bits outside block i, every fifth: part 0..4
-        bits = [F.lit(0).cast("long")] * len(BLOCKS)
-        for i, (low, width) in enumerate(BLOCKS):
-            rest = [b for b in range(64) if not low <= b < low + width]
-            mask = sum(1 << b for b in rest[part :: len(BLOCKS)])
-            bits[i] = F.when(F.col("i") == i, F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)))
-        finer.append(F.xxhash64("route", F.lit(part), F.coalesce(*bits)))
-    routes = F.when(F.col("crowded"), F.array(*finer)).otherwise(F.array("route"))
-    width = shuffle_width(nodes.sparkSession)
-    return (
-        routed.select("fp", F.explode(routes).alias("route"))
-        .repartition(width, "route").sortWithinPartitions("route")
-        .select("route", "fp").mapInArrow(_route_batches(limit), "u long, v long")
-        .distinct()
-    )
+    """Edges ``u, v`` whose components are those of all fingerprint pairs within ``limit`` bits.
+
+    Of the limit + 1 parts of the bits two such fingerprints agree in one, whatever bits they are known to
+    share before, so a lead key that holds over ``hot`` nodes is cut again, up to CUTS times. What shares a
+    key after that differs only in the bits never used (21 of 64 for a limit of 4).
+    """
+    if not 0 <= limit < 64:
+        raise ValueError("a fingerprint has 64 bits")
+    spark = nodes.sparkSession
+    # Each cut multiplies the table by limit + 1, and each needs limit + 1 free bits.
+    levels = max(n for n in range(1, CUTS + 1) if n == 1 or ((limit + 1) ** n <= 4096 and n * (limit + 1) <= 48))
+    cuts = spark.createDataFrame(_cuts(limit, levels), "level int, cut int, part int, next_cut int, bits long")
+    rows, done = nodes.select("fp", F.lit(0).alias("cut"), F.lit(0).cast("long").alias("route")), None
+    for level in range(levels):
+        step = F.broadcast(cuts.filter(F.col("level") == level).select("cut", "part", "next_cut", "bits"))
+        rows = rows.join(step, "cut").select("fp", F.col("next_cut").alias("cut"), F.xxhash64("route", "part", F.col("fp").bitwiseAND(F.col("bits"))).alias("route"))
+        crowded = materialise(rows.groupBy("route").count().filter(F.col("count") > hot).select("route"), "crowded") if level + 1 < levels else None
+        if crowded is None or crowded.isEmpty():
+            done = rows if done is None else done.unionByName(rows)
+            break
+        rest = rows.join(crowded, "route", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        rows = materialise(rows.join(crowded, "route", "left_semi"), "crowded-rows")
+    return _by_route(done.select("fp", "route"), "fp").mapInArrow(_link_batches(limit), "u long, v long").distinct()
+
+
+def _by_route(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.repartition(shuffle_width(rows.sparkSession), "route").sortWithinPartitions("route").select("route", *columns)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root`` for each node of an edge; root is the smallest node of its component.
 
     Alternates large-star and small-star until the edges no longer change; each round is written to the
-    shared folder.
+    shared folder. Rounds grow with the logarithm of a component; an error is raised if they don't suffice.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -259,11 +342,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint, component_id, text_hash`` (Spark's xxhash64 of the text).
+    """One row per input row: ``doc_id, fingerprint, component_id``.
 
     A null text, or one without a word, has fingerprint zero and links like any other. Repeated rows and
     ties share a fingerprint, hence a component. component_id is the smallest doc_id of the component,
-    null only if all its doc_ids are. Other columns are ignored; an empty table gives an empty result.
+    null only if all its doc_ids are. Other columns are ignored; an empty table gives an empty result. A
+    chain of links so long that ``components`` does not settle in 60 rounds raises an error.
     """
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
@@ -271,15 +355,149 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = DISTAN
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(least, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct shingle hashes, sorted."""
+    parts = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+
+
+def minima(hashes: np.ndarray, count: int) -> np.ndarray:
+    """The least value of each of ``count`` permutations of the hashes."""
+    rng = np.random.default_rng(SEED)
+    flip, times = rng.integers(0, 1 << 63, (2, count), np.uint64)
+    times |= np.uint64(1)
+    out = np.full(count, ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        x = (hashes[at : at + 4096, None] ^ flip) * times
+        x ^= x >> np.uint64(32)
+        out = np.minimum(out, (x * times).min(0))
+    return out
+
+
+def _sketch_batches(shingle, bands, rows):
+    def run(batches):
+        for b in batches:
+            fps, keys = [], []
+            for t in b.column("text"):
+                hashes = shingle_set(t.as_py(), shingle)
+                fps.append(majority([hashes]))
+                low = minima(hashes, bands * rows).reshape(bands, rows)
+                keys.append([xxhash.xxh3_64_intdigest(low[i].tobytes(), i) for i in range(bands)])
+            fps = np.array(fps, np.uint64).view(np.int64)
+            keys = np.array(keys, np.uint64).view(np.int64).reshape(len(fps), bands)
+            at = np.repeat(np.arange(len(fps)), bands)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node").take(pa.array(at)), pa.array(fps[at]), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(fps))), pa.array(keys.ravel())],
+                names=["node", "fp", "band", "route"],
+            )
+
+    return run
+
+
+def _candidate_batches(radii):
+    def run(batches):
+        for keys, fps, nodes in segments(batches, "fp", "node"):
+            index = GrayIndex(keys.view(np.uint64), fps.view(np.uint64))
+            for radius in radii:
+                a, b = index.join(radius)
+                if len(a):
+                    u, v = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
 
+def _confirmed_batches(shingle, least):
+    """Edges arrive sorted by u, so the set of one text serves its whole run."""
+
+    def run(batches):
+        known, mine = None, None
+        for b in batches:
+            keep = []
+            for u, a, c in zip(b.column("u").to_pylist(), b.column("a"), b.column("b"), strict=True):
+                if u != known or mine is None:
+                    known, mine = u, shingle_set(a.as_py(), shingle)
+                other = shingle_set(c.as_py(), shingle)
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                keep.append(both >= least * (len(mine) + len(other) - both))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The input's rows whose doc_id is the smallest of their component; rows with null doc_ids only stay."""
-    seen = materialise(near_duplicates(docs), "near-duplicates")
-    drop = seen.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash")).distinct()
-    same = (F.xxhash64("text") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))
-    return docs.join(drop, same, "left_anti")
+
+def _shared(sketches: DataFrame, hot: int, bands: int) -> DataFrame:
+    """``node, fp, route`` rows of the lead keys that several nodes have.
+
+    A band's key with over ``hot`` nodes is combined with the keys of the next SECOND bands: two texts that
+    share five of 20 bands share a pair of these. Combined keys that are still crowded hold texts that are
+    nearly all alike; they are dealt into parts, which are tied together by PIVOTS common members.
+    """
+    sizes = materialise(sketches.groupBy("route").count().filter("count > 1"), "route-sizes")
+    shared = sketches.join(sizes, "route")
+    out = shared.filter(F.col("count") <= hot).select("node", "fp", "route")
+    if sizes.filter(F.col("count") > hot).isEmpty():
+        return out
+    first = shared.filter(F.col("count") > hot).select("node", "fp", "band", "route")
+    second = sketches.select("node", F.col("band").alias("band2"), F.col("route").alias("route2"))
+    step = F.pmod(F.col("band2") - F.col("band"), F.lit(bands))
+    pairs = materialise(first.join(second, "node").filter((step > 0) & (step <= SECOND)).select("node", "fp", F.xxhash64("route", "route2").alias("route")), "route-pairs")
+    sizes = pairs.groupBy("route").count().filter("count > 1")
+    parts = F.ceil(F.col("count") / hot).cast("int")
+    unit = F.shiftrightunsigned(F.xxhash64("node", "route"), 11) / F.lit(float(1 << 53))
+    everywhere = (F.col("count") > hot) & (unit < F.lit(float(PIVOTS)) / F.col("count"))
+    part = F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("route", "node"), parts).cast("int")))
+    dealt = pairs.join(sizes, "route").select("node", "fp", "route", F.explode(part).alias("part"))
+    return out.unionByName(dealt.select("node", "fp", F.xxhash64("route", "part").alias("route")))
+
+
+def copy_edges(texts: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:
+    """Edges ``u, v`` between nodes of ``node, text`` rows (distinct nodes) whose similarity is ``least`` or more.
+
+    They connect what all such pairs would connect, but for pairs that share no band and for those joined in
+    each of their forests only over texts that are less alike than themselves.
+    """
+    sketches = materialise(in_batches(texts.select("node", "text")).mapInArrow(_sketch_batches(shingle, bands, rows), "node long, fp long, band int, route long"), "sketches")
+    shared = _shared(sketches, hot, bands)
+    found = materialise(_by_route(shared, "fp", "node").mapInArrow(_candidate_batches(RADII), "u long, v long").distinct(), "candidates")
+    ends = found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).distinct()
+    wanted = materialise(sieved(texts, "node", materialise(ends, "ends")).select("node", "text"), "candidate-texts")
+    pairs = (
+        found.join(wanted.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+        .join(wanted.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    )
+    return in_batches(pairs.select("u", "v", "a", "b")).mapInArrow(_confirmed_batches(shingle, least), "u long, v long")
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:
+    """``node, component_id`` of each text that has a near copy or several rows; node is Spark's xxhash64 of the text.
+
+    Texts without a word, null ones included, are alike. component_id is the smallest doc_id of the rows of
+    linked texts, null only if all are. Other columns are ignored; an empty table gives an empty result.
+    """
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    owners = materialise(keyed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "owners")
+    roots = materialise(components(copy_edges(keyed.select("node", "text"), shingle, least, bands, rows, hot)), "roots")
+    linked = roots.join(owners, "node")
+    low = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    alone = owners.filter("n > 1").join(roots, "node", "left_anti").select("node", F.col("least").alias("component_id"))
+    return linked.join(low, "root").select("node", "component_id").unionByName(alone)
+
+
+def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """The input's rows, in its columns, but of each group of near copies only the document of the smallest doc_id.
+
+    Copies of a text are near copies too. Null doc_ids rank last; if a group has no other, its rows stay. Rows
+    that repeat a doc_id are one document.
+    """
+    node, lost_id = unused(docs, "node", "lost_id")
+    hashed = docs.withColumn(node, F.xxhash64(F.coalesce("text", F.lit(""))))
+    groups = materialise(near_copies(docs, shingle, least).withColumnRenamed("node", node), "near-copies")
+    lost = sieved(hashed.select("doc_id", node), node, groups.select(node)).join(groups, node).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    lost = materialise(lost.select(node, F.col("doc_id").alias(lost_id)).distinct(), "lost-copies")
+    return without(hashed, node, lost, lambda a, b: (a[node] == b[node]) & F.col("doc_id").eqNullSafe(F.col(lost_id))).drop(node)
 
 
 def op3_simhash(spark, sf_dir):

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -7,7 +9,7 @@ import xxhash
 from data import SCHEMA, rows, table
 
 from strophe.llm import simhash
-from strophe.llm.simhash import GrayTree, components, fingerprint, gray_rank, keep_one, near_duplicates, near_edges
+from strophe.llm.simhash import GrayIndex, components, copy_edges, fingerprint, gray_rank, keep_one, near_copies, near_duplicates, near_edges, shingle_set
 
 
 def brute_fingerprint(text):
@@ -17,19 +19,36 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(fps):
-    parent = list(range(len(fps)))
+def joined(n, pairs):
+    parent = list(range(n))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(len(fps)):
-        for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 4:
-                parent[find(i)] = find(j)
-    return [find(i) for i in range(len(fps))]
+    for i, j in pairs:
+        parent[find(i)] = find(j)
+    return [find(i) for i in range(n)]
+
+
+def brute_components(fps, limit=4):
+    return joined(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= limit])
+
+
+def brute_shingles(text, n=5):
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def alike(a, b):
+    a, b = brute_shingles(a), brute_shingles(b)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def brute_copies(texts):
+    """Component numbers of all pairs of texts with a Jaccard similarity of 0.8 or more over five-word shingles."""
+    return joined(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(texts[i], texts[j])])
 
 
 def same_partition(a, b):
@@ -61,30 +80,73 @@ def test_gray_rank():
     assert (gray_rank(codes ^ (codes >> np.uint64(1))) == codes).all()
 
 
-@pytest.mark.parametrize("n", [2, 17, 100, 3000])
-def test_tree_links(n):
+@pytest.mark.parametrize("n", [1, 2, 17, 100, 3000])
+@pytest.mark.parametrize("radii", [(4,), (1, 2, 4), (0, 3, 9)])
+def test_index_joins(n, radii):
+    """The index's edges are a forest whose trees are the components of all pairs."""
     fps = clustered(random.Random(n), n)
     random.Random(0).shuffle(fps)
-    a, b = GrayTree(np.array(fps, np.uint64)).links(4)
-    parent = list(range(len(fps)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        parent[find(x)] = find(y)
-    assert same_partition([find(i) for i in range(len(fps))], brute_components(fps))
-
-
-@pytest.mark.parametrize("hot", [20_000, 30])
-def test_edges_and_components(spark, hot):
+    index = GrayIndex(np.zeros(len(fps), np.uint64), np.array(fps, np.uint64))
+    pairs = [p for r in radii for p in zip(*(x.tolist() for x in index.join(r)))]
+    got = joined(len(fps), pairs)
+    assert len(pairs) == len(fps) - len(set(got)) and same_partition(got, brute_components(fps, radii[-1]))
+
+
+def test_lead_keys_part_the_index():
+    """Fingerprints under different lead keys don't join, however near they are."""
+    rng = random.Random(4)
+    fps = clustered(rng, 300)
+    keys = [rng.choice([3, 1 << 63, 5]) for _ in fps]
+    index = GrayIndex(np.array(keys, np.uint64), np.array(fps, np.uint64))
+    a, b = index.join(4)
+    assert all(keys[x] == keys[y] for x, y in zip(a, b))
+    got = joined(len(fps), zip(a.tolist(), b.tolist()))
+    for k in set(keys):
+        own = [i for i, x in enumerate(keys) if x == k]
+        assert same_partition([got[i] for i in own], brute_components([fps[i] for i in own]))
+
+
+DENSE = """
+import random, resource
+import numpy as np
+from strophe.llm.simhash import GrayIndex
+rng = random.Random(1)
+base, fps = rng.getrandbits(64), set()
+while len(fps) < 200_000:
+    f = base
+    for _ in range(rng.randint(1, 5)):
+        f ^= 1 << rng.randrange(64)
+    fps.add(f)
+index = GrayIndex(np.zeros(len(fps), np.uint64), np.array(sorted(fps), np.uint64))
+n = sum(len(index.join(r)[0]) for r in (1, 2, 4))
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_dense_family_in_bounded_memory():
+    """200,000 fingerprints around one become a single component in far less than an executor's memory."""
+    n, mb = map(int, subprocess.run([sys.executable, "-c", DENSE], check=True, capture_output=True, text=True).stdout.split())
+    assert n == 199_999 and mb < 1000
+
+
+def test_every_link_comes_from_the_index(spark, monkeypatch):
+    """Without the index's joins nothing is linked."""
+    data = [(i, t, g) for i, (_, t, g) in enumerate(rows())]
+    linked = lambda: {r["doc_id"] for r in near_duplicates(table(spark, data)).collect() if r["doc_id"] != r["component_id"]}
+    assert linked()
+    monkeypatch.setattr(GrayIndex, "join", lambda self, limit: (np.zeros(0, np.int64),) * 2)
+    fps = {}
+    same_fp = {i for i, t, _ in data if fps.setdefault(brute_fingerprint(t), i) != i}
+    assert linked() == same_fp
+
+
+@pytest.mark.parametrize(("limit", "hot"), [(4, 20_000), (4, 30), (4, 3), (7, 20_000), (0, 20_000), (1, 5)])
+def test_edges_and_components(spark, limit, hot):
     fps = clustered(random.Random(5), 1200)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
-    roots = {r["node"]: r["root"] for r in components(near_edges(nodes, hot=hot)).collect()}
-    assert same_partition([roots.get(f, f) for f in signed], brute_components(fps))
+    roots = {r["node"]: r["root"] for r in components(near_edges(nodes, limit, hot)).collect()}
+    assert same_partition([roots.get(f, f) for f in signed], brute_components(fps, limit))
     groups = defaultdict(list)
     for f in signed:
         groups[roots.get(f, f)].append(f)
@@ -110,13 +172,60 @@ def test_operator(spark):
     assert sorted(repr((r["doc_id"], r["fingerprint"], r["component_id"])) for r in got) == want
 
 
+def family(rng, n, words=120, edits=4):
+    """Texts that each change a few words of an earlier one."""
+    out = [[f"w{rng.randrange(500)}" for _ in range(words)]]
+    while len(out) < n:
+        t = list(rng.choice(out[-8:]))
+        for _ in range(rng.randint(1, edits)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(5000)}"
+        out.append(t)
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize("hot", [20_000, 12])
+def test_near_copies(spark, hot):
+    """Families of texts that drift apart, and the awkward rows: groups equal those of all pairs."""
+    rng = random.Random(6)
+    texts = list(dict.fromkeys([t or "" for _, t, _ in rows()] + [t for k in range(12) for t in family(rng, 14, rng.choice([9, 40, 120, 300]), 1 + k % 5)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_copies(texts)
+    least = {}
+    for i, c in enumerate(want):
+        least.setdefault(c, i)
+    ids = {r["node"]: r["doc_id"] for r in docs.selectExpr("xxhash64(text) as node", "doc_id").collect()}
+    got = {ids[r["node"]]: r["component_id"] for r in near_copies(docs, hot=hot).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == [least[c] for c in want]
+
+
+def test_confirmed_by_the_texts(spark):
+    """Two texts with equal band keys stay apart if they are not alike."""
+    a = " ".join(f"w{i}" for i in range(60))
+    b = " ".join(f"w{i}" for i in range(12, 72))  # similarity 44 / 68
+    docs = spark.createDataFrame([(1, a), (2, b)], "node long, text string")
+    assert copy_edges(docs, rows=1, bands=40).collect() == [] and len(copy_edges(docs, rows=1, bands=40, least=0.5).collect()) >= 1
+
+
 def test_keep_one_and_empty(spark):
     kept = keep_one(table(spark))
     assert kept.columns == table(spark).columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert 100 not in ids and 0 in ids
+    data = [(i, t) for i, t, _ in rows()]
+    comp = brute_copies([t for _, t in data])
+    least = defaultdict(lambda: None)
+    for c, (i, _) in zip(comp, data):
+        if i is not None:
+            least[c] = i if least[c] is None else min(i, least[c])
+    want = sorted(repr((i, t)) for c, (i, t) in zip(comp, data) if i == least[c])
+    assert sorted(repr((r["doc_id"], r["text"])) for r in kept.collect()) == want
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).collect() == [] and keep_one(empty).collect() == []
     with pytest.raises(ValueError):
-        near_edges(empty.select("fp"), limit=5)
+        near_edges(empty.select("fp"), limit=64)
     assert simhash.SEED == 42
+
+
+def test_long_text_in_slices(monkeypatch):
+    text = " ".join(f"w{i % 977} A" for i in range(3000)) + "\n" + "y" * 500 + " \t end"
+    want, sets = brute_fingerprint(text), shingle_set(text, 5)
+    monkeypatch.setattr(simhash, "SLICE", 50)
+    assert fingerprint(text) == want and (shingle_set(text, 5) == sets).all() and len(sets) == len(brute_shingles(text))
