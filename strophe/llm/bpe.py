@@ -1,19 +1,28 @@
 """Byte-level BPE by recursive DuckDB queries in each partition.
 
-A document is cut by the tokenizer's pattern. Words that a worker has not seen are encoded together:
-their single-byte tokens become rows (word, position, token), and a recursive query joins neighbours to
-the merge table and contracts each word's leftmost pair of minimum rank until no pair is left. The recursion
-keeps every round's rows, which grow with the square of a word's length, so a query takes as many words as
-``QUERY_ROWS`` allows, and words of over ``LONG`` bytes are contracted in the same order with a heap. Decoding
-joins ids to the vocabulary and aggregates bytes in order of position. Both results are kept per
-worker, up to ``CACHE_WORDS`` entries, so a document is a concatenation of what its words gave.
+A document is cut by the tokenizer's pattern. Words that a worker has not seen are encoded together: their
+single-byte tokens become rows (word, position, token), and a recursive query joins neighbours to the merge
+table and contracts each word's pairs of least rank, from the left, until no pair is left. The recursion is
+keyed by word and position, so it holds one row a byte, however many rounds it takes. A round contracts all
+pairs of the least rank that don't overlap, unless some token of lower rank holds the new token's bytes
+before its own end: only then could what grows out of one contraction reach the next one first, and a round
+contracts the leftmost pair alone.
+
+A query takes words of at most QUERY_BYTES together. Long words are first cut between bytes that no token
+has side by side, which no merge can cross. What is still longer than CHUNK is encoded piece by piece: each
+piece is encoded behind the last tokens before it, further back until the first token and the one before it
+are also what their bytes alone encode to. Tokens that neighbours encode to in pairs are the encoding of the
+whole, for BPE asks nothing else of a sequence.
+
+Decoding joins ids to the vocabulary and aggregates bytes in order of position. Both results are kept per
+worker, up to ``CACHE_BYTES``, so a document is a concatenation of what its words gave.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +33,39 @@ from .common import in_batches, load
 from .packing import _per_worker
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHE_WORDS = 1_000_000
-#: Words of a recursive query, and characters of text gathered before new words are encoded.
-QUERY_WORDS, GATHER = 40_000, 8_000_000
-#: Most squared bytes of a recursive query's words together, and bytes beyond which a word is no part of one.
-QUERY_ROWS, LONG = 8_000_000, 512
+#: Bytes of words and of what is kept of them, counting KEPT for each, beyond which a worker's cache is emptied.
+CACHE_BYTES, KEPT = 128 << 20, 300
+#: Bytes that a recursive query takes, of a word that is cut, of a piece of one, and characters gathered before new words are encoded.
+QUERY_BYTES, LONG, CHUNK, GATHER = 1 << 18, 64, 1 << 16, 8_000_000
+#: Words of a long text that are held at a time.
+BLOCK = 500_000
+#: Tokens before a piece that are encoded with it at first, and the factor by which they become more.
+BACK, MORE = 8, 4
 
 _ENCODE = """
-WITH RECURSIVE step(i, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM start
+WITH RECURSIVE step(w, pos, tok) USING KEY (w, pos) AS (
+  SELECT w, pos, tok FROM start
   UNION ALL
-  SELECT i + 1, w, pos, CASE WHEN pos = spot THEN rank ELSE tok END
+  SELECT w, pos, CASE WHEN lag(taken) OVER word THEN NULL WHEN taken THEN rank ELSE tok END
   FROM (
-    SELECT *, lag(pos) OVER word AS before, min(score) OVER (PARTITION BY w) AS best,
-           best & 1048575 AS spot, best >> 20 AS rank
+    SELECT *, rank = best AND CASE WHEN alone THEN n = leftmost ELSE (n - coalesce(other, 0)) % 2 = 1 END AS taken
     FROM (
-      SELECT s.*, (m.rank << 20) | s.pos AS score
-      FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM step) s
-      LEFT JOIN merges m ON m.pair = (s.tok << 20) | s.nxt
+      SELECT *, max(n) FILTER (WHERE rank IS DISTINCT FROM best) OVER word AS other, min(n) FILTER (WHERE rank = best) OVER (PARTITION BY w) AS leftmost
+      FROM (
+        SELECT s.*, m.rank, m.alone, min(m.rank) OVER (PARTITION BY w) AS best
+        FROM (
+          SELECT *, lead(tok) OVER word AS nxt, row_number() OVER word AS n FROM step WHERE tok IS NOT NULL
+          WINDOW word AS (PARTITION BY w ORDER BY pos)
+        ) s
+        LEFT JOIN merges m ON m.pair = (s.tok << 20) | s.nxt
+      )
+      WHERE best IS NOT NULL
+      WINDOW word AS (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING)
     )
-    WINDOW word AS (PARTITION BY w ORDER BY pos)
   )
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM spot
+  WINDOW word AS (PARTITION BY w ORDER BY pos)
 )
-SELECT w, tok FROM step
-WHERE i = (SELECT max(i) FROM step l WHERE l.w = step.w)
-ORDER BY w, pos
+SELECT w, tok FROM step WHERE tok IS NOT NULL ORDER BY w, pos
 """
 
 _DECODE = """
@@ -67,37 +83,58 @@ class DuckBpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         # White space is the Unicode property, as in the tiktoken library's pattern engine.
-        self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        pattern = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.find, self.each = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {
             (self.ranks[t[:i]] << 20) | self.ranks[t[i:]]: r
             for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
         }
-        merges = pa.table({"pair": pa.array(pairs.keys(), pa.int64()), "rank": pa.array(pairs.values(), pa.int64())})  # noqa: F841
+        crossed = {  # tokens whose bytes a token of lower rank holds before its end
+            r for t, k in self.ranks.items() for i in range(len(t) - 1) for j in range(i + 2, len(t)) if (r := self.ranks.get(t[i:j], -1)) > k
+        }
+        ranks = pa.array(pairs.values(), pa.int64())
+        merges = pa.table({"pair": pa.array(pairs.keys(), pa.int64()), "rank": ranks, "alone": pa.array([r in crossed for r in pairs.values()])})  # noqa: F841
         vocabulary = pa.table({"tok": pa.array(self.ranks.values(), pa.int64()), "bytes": pa.array(self.ranks.keys(), pa.binary())})  # noqa: F841
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
-        self.ids, self.bytes = {}, {}
+        self.beside = np.zeros((256, 256), bool)  # bytes that some token has side by side
+        for t in self.ranks:
+            raw = np.frombuffer(t, np.uint8)
+            self.beside[raw[:-1], raw[1:]] = True
+        self.token = {r: t for t, r in self.ranks.items()}
+        self.ids, self.bytes, self.held = {}, {}, 0
 
     def _rows(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = np.repeat(np.arange(len(lengths)), lengths)
         return w, np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
+    def _pieces(self, word: bytes) -> list[bytes]:
+        """The word, if it is long cut where no merge can cross."""
+        if len(word) <= LONG:
+            return [word]
+        raw = np.frombuffer(word, np.uint8)
+        cuts = (np.flatnonzero(~self.beside[raw[:-1], raw[1:]]) + 1).tolist()
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each non-empty word, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        part, rows = [], 0
-        for word in words:
-            if part and (len(part) == QUERY_WORDS or rows + len(word) ** 2 > QUERY_ROWS or len(word) > LONG):
-                out += self._merge_part(part)
-                part, rows = [], 0
-            if len(word) > LONG:
-                out.append(self._merge_long(word))
-            else:
-                part.append(word)
-                rows += len(word) ** 2
-        return out + self._merge_part(part) if part else out
+        pieces = [self._pieces(w) for w in words]
+        ids = dict.fromkeys(p for x in pieces for p in x)
+        part, size = [], 0
+        for p in sorted(ids, key=len):
+            if len(p) > CHUNK:
+                ids[p] = self._merge_long(p)
+                continue
+            if part and size + len(p) > QUERY_BYTES:
+                ids.update(zip(part, self._merge_part(part), strict=True))
+                part, size = [], 0
+            part.append(p)
+            size += len(p)
+        if part:
+            ids.update(zip(part, self._merge_part(part), strict=True))
+        return [ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x]) for x in pieces]
 
     def _merge_part(self, part: list[bytes]) -> list[bytes]:
         w, pos = self._rows(np.fromiter(map(len, part), np.int64, len(part)))
@@ -105,33 +142,26 @@ class DuckBpe:
         self.db.register("start", pa.table({"w": w, "pos": pos, "tok": tok}))
         got = self.db.execute(_ENCODE).fetchnumpy()
         self.db.unregister("start")
-        ids = got["tok"].astype("<u4").tobytes()
+        ids = np.asarray(got["tok"]).astype("<u4").tobytes()
         ends = 4 * np.cumsum(np.bincount(got["w"], minlength=len(part)))
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _merge_long(self, word: bytes) -> bytes:
-        """The same contractions, leftmost pair of least rank first, in memory that grows with the length."""
-        n, ranks = len(word), self.ranks
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))  # starts of the neighbouring tokens; n ends the word
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, end = heapq.heappop(heap)
-            j = after[i]
-            if j < 0 or j >= n or after[j] != end:  # a token of the pair has changed
-                continue
-            after[i], after[j] = end, -1
-            if end < n:
-                before[end] = i
-                if (r := ranks.get(word[i : after[end]])) is not None:
-                    heapq.heappush(heap, (r, i, after[end]))
-            if (h := before[i]) >= 0 and (r := ranks.get(word[h:end])) is not None:
-                heapq.heappush(heap, (r, h, end))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[word[i : after[i]]])
-            i = after[i]
-        return np.array(out, "<u4").tobytes()
+        """Piece by piece, each behind as many of the tokens before it as its first token needs."""
+        ids: list[int] = []
+        for at in range(0, len(word), CHUNK):
+            back = BACK
+            while True:
+                tail = ids[-back:]
+                new = np.frombuffer(self._merge_part([b"".join([self.token[t] for t in tail]) + word[at : at + CHUNK]])[0], "<u4").tolist()
+                if back >= len(ids):
+                    break
+                pair = [ids[-back - 1], new[0]]
+                if np.frombuffer(self._merge_part([self.token[pair[0]] + self.token[pair[1]]])[0], "<u4").tolist() == pair:
+                    break
+                back *= MORE
+            ids[len(ids) - len(tail) :] = new
+        return np.array(ids, "<u4").tobytes()
 
     def decode(self, sequences: list[bytes]) -> list[bytes]:
         """Bytes of each sequence of ids (little-endian unsigned 32-bit integers)."""
@@ -146,44 +176,67 @@ class DuckBpe:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Encode and decode words that are not known yet."""
-        if len(self.ids) > CACHE_WORDS:
+        """Encode and decode the words that are not known yet."""
+        if self.held > CACHE_BYTES:
             self.ids.clear()
             self.bytes.clear()
+            self.held = 0
         raw = {w: w.encode() for w in words if w not in self.ids}
+        self.held += sum(KEPT + 8 * len(b) for b in raw.values())
         whole = {w: np.array([self.ranks[b]], "<u4").tobytes() for w, b in raw.items() if b in self.ranks}
-        rest = sorted((w for w in raw if w not in whole), key=lambda w: len(raw[w]))
+        rest = [w for w in raw if w not in whole]
         self.ids.update(whole)
         self.ids.update(zip(rest, self.merge([raw[w] for w in rest]), strict=True))
-        new = [s for s in {self.ids[w] for w in raw} if s not in self.bytes]
-        for lo in range(0, len(new), QUERY_WORDS):
-            self.bytes.update(zip(new[lo : lo + QUERY_WORDS], self.decode(new[lo : lo + QUERY_WORDS]), strict=True))
+        new, size = [], 0
+        for s in {self.ids[w] for w in raw}:
+            if s not in self.bytes:
+                new.append(s)
+                size += len(s)
+                if size > 4 * QUERY_BYTES:
+                    self.bytes.update(zip(new, self.decode(new), strict=True))
+                    new, size = [], 0
+        if new:
+            self.bytes.update(zip(new, self.decode(new), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[list[bytes]]:
         """For each text the ids of its words, in order."""
         words = [self.find(t) for t in texts]
-        new: set[str] = set()
-        for x in words:
-            new.update(x)
-        self.learn({w for w in new if w not in self.ids} if len(self.ids) <= CACHE_WORDS else new)
+        self.learn(set().union(*words))
         ids = self.ids
         return [[ids[w] for w in x] for x in words]
 
+    def encode_long(self, text: str):
+        """Lists of the ids of a long text's words, in order, BLOCK words each."""
+        words = (m.group() for m in self.each(text))
+        while block := list(islice(words, BLOCK)):
+            self.learn(set(block))
+            yield [self.ids[w] for w in block]
+
 
 def _coder(path, pattern) -> DuckBpe:
     kept = _per_worker()
-    return kept.get(("bpe", path)) or kept.setdefault(("bpe", path), DuckBpe(path, pattern))
+    return kept.get(("bpe", path, pattern)) or kept.setdefault(("bpe", path, pattern), DuckBpe(path, pattern))
 
 
 def _digest_batches(path, pattern, with_ids):
     def run(batches):
         coder = _coder(path, pattern)
 
+        def digests(blocks):
+            """Of one text: number of ids, digests of ids and bytes, and these themselves if they are asked for."""
+            n, a, b, ids, text = 0, hashlib.sha256(), hashlib.sha256(), [], []
+            for parts in blocks:
+                x, y = b"".join(parts), b"".join([coder.bytes[p] for p in parts])
+                n += len(x) // 4
+                a.update(x)
+                b.update(y)
+                if with_ids:
+                    ids.append(x)
+                    text.append(y)
+            return n, a.hexdigest(), b.hexdigest(), b"".join(ids), b"".join(text)
+
         def flush(keys, texts, kind):
-            rows = []
-            for parts in coder.encode_batch(texts):
-                ids, text = b"".join(parts), b"".join([coder.bytes[p] for p in parts])
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), ids, text))
+            rows = [digests(coder.encode_long(texts[0]))] if len(texts) == 1 else [digests([x]) for x in coder.encode_batch(texts)]
             n, a, b, ids, text = zip(*rows, strict=True)
             columns = [pa.array(keys, kind), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -196,12 +249,13 @@ def _digest_batches(path, pattern, with_ids):
         for batch in batches:
             kind = batch.column("doc_id").type
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                keys.append(key)
-                texts.append(text.as_py() or "")
-                gathered += len(texts[-1])
-                if gathered >= GATHER:
+                text = text.as_py() or ""
+                if keys and gathered + len(text) > GATHER:
                     yield flush(keys, texts, kind)
                     keys, texts, gathered = [], [], 0
+                keys.append(key)
+                texts.append(text)
+                gathered += len(text)
         if keys:
             yield flush(keys, texts, kind)
 
