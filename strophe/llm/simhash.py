@@ -286,11 +286,14 @@ def near_edges(nodes: DataFrame, limit: int = DISTANCE, hot: int = HOT) -> DataF
     spark = nodes.sparkSession
     # Each cut multiplies the table by limit + 1, and each needs limit + 1 free bits.
     levels = max(n for n in range(1, CUTS + 1) if n == 1 or ((limit + 1) ** n <= 4096 and n * (limit + 1) <= 48))
-    cuts = spark.createDataFrame(_cuts(limit, levels), "level int, cut int, part int, next_cut int, bits long")
-    rows, done = nodes.select("fp", F.lit(0).alias("cut"), F.lit(0).cast("long").alias("route")), None
+    cuts = _cuts(limit, levels)
+    first = F.array(*[F.struct(F.lit(0).cast("long").alias("route"), *[F.lit(x).cast(k).alias(c) for c, k, x in zip(("part", "next_cut", "bits"), ("int", "int", "long"), r[2:])]) for r in cuts if r[0] == 0])
+    rows, done = nodes.select("fp", F.inline(first)), None
     for level in range(levels):
-        step = F.broadcast(cuts.filter(F.col("level") == level).select("cut", "part", "next_cut", "bits"))
-        rows = rows.join(step, "cut").select("fp", F.col("next_cut").alias("cut"), F.xxhash64("route", "part", F.col("fp").bitwiseAND(F.col("bits"))).alias("route"))
+        if level:
+            step = spark.createDataFrame([r[1:] for r in cuts if r[0] == level], "cut int, part int, next_cut int, bits long")
+            rows = rows.join(F.broadcast(step), "cut")
+        rows = rows.select("fp", F.col("next_cut").alias("cut"), F.xxhash64("route", "part", F.col("fp").bitwiseAND(F.col("bits"))).alias("route"))
         crowded = materialise(rows.groupBy("route").count().filter(F.col("count") > hot).select("route"), "crowded") if level + 1 < levels else None
         if crowded is None or crowded.isEmpty():
             done = rows if done is None else done.unionByName(rows)
