@@ -1,88 +1,144 @@
 """Exact deduplication with an extendible-hash index kept in shared files.
 
-1. Each row gets a 64-bit bucket hash and a SHA-256 of its normalised text; these narrow keys are
-   written once to the shared folder.
-2. The distinct hashes, pre-aggregated before the shuffle, are the index entries. The directory starts
-   with one bucket and doubles while a bucket that may still split holds more than ``capacity``
-   entries. Owner tasks take contiguous ranges of buckets and write them, sorted, as index files.
-3. Entries with more than one row mark a bitmap of fixed size. Rows whose bit is clear are unique.
-   The texts of the others are grouped by hash, digest and bytes, so equality is decided on bytes;
-   different texts behind one hash form a chain.
-
-Everything is DataFrame expressions. No text leaves its scan task unless its hash occurs twice or
-shares a bitmap bit with one that does.
+1. Each row gets a 64-bit hash and a SHA-256 of its normalised text; these narrow keys are written once.
+2. The distinct hashes, pre-aggregated before their shuffle, fill a directory that starts with one bucket and
+   doubles: a bucket with over ``capacity`` hashes splits by the next bit, as deep as it takes. The directory is
+   a table of (depth, prefix) in the shared folder; only whether buckets are overfull reaches the driver.
+3. Texts whose hash occurs once are entries by their key. The others are compared as bytes: their texts are
+   pre-aggregated before a shuffle, and different texts behind one hash form a chain in its bucket. Owner
+   tasks take ranges of buckets and write the entries, which carry the row that stays and the group's size.
+4. Every row is looked up: the directory gives its bucket, the bucket's entry for its hash and digest gives
+   the answer. Rows behind a digest that two texts of a chain share are looked up by their bytes.
+
+Everything is DataFrame expressions. No text leaves its scan task unless its hash occurs twice or passes the
+sieve for such hashes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import UPPER, load, materialise, shuffle_width
+from .common import UPPER, load, materialise, new_path, shuffle_width, sieved, unused, without
 
-#: Distinct keys in a bucket before the directory doubles.
+#: Distinct hashes in a bucket before it splits.
 CAPACITY = 1 << 16
-#: The directory has at most 2**MAX_DEPTH cells: this bounds what the driver holds and broadcasts.
-MAX_DEPTH = 14
-#: Bits of the filter for repeated hashes: at most 512 bitmaps of 4 KiB (2 MiB) are broadcast.
-FILTER_BITS = 24
+#: Bits by which overfull buckets are counted at a time.
+STEP = 10
+#: Rows of the directory up to which it is broadcast (16 bytes each).
+BROADCAST_ROWS = 1 << 18
+
+
+class Index(NamedTuple):
+    """Folders of the index: ``keys`` of the rows, the ``directory``, and the ``buckets`` with their entries."""
+
+    path: str
+
+    def read(self, spark: SparkSession, part: str) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/{part}")
 
 
 def normalised(text: str = "text"):
     return F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower())
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> list[tuple[int, int, int]]:
-    """Double from one bucket; return ``(cell, bucket, local_depth)`` for each of the 2**max_depth cells.
+def _prefix(h, depth):
+    """The first ``depth`` bits of the hash."""
+    return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned({h}, cast(64 - depth as int))"))
 
-    A bucket of depth ``max_depth`` overflows instead of splitting. Only cell counts reach the driver.
+
+def directory(hashes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``depth, prefix`` of each bucket over the distinct hashes ``h``; together they cover every hash in it once.
+
+    A pass counts hashes by the next STEP bits of overfull buckets. The buckets are the shortest prefixes
+    that hold no more than ``capacity``, so each but the first is half of one that was overfull.
     """
-    cell = F.shiftrightunsigned("h", 64 - max_depth).cast("int")
-    counts = [0] * (1 << max_depth)
-    for r in entries.groupBy(cell.alias("cell")).count().collect():
-        counts[r["cell"]] = r["count"]
-    sums = [0]
-    for n in counts:
-        sums.append(sums[-1] + n)
-    out, bucket, todo = [], 0, [(0, 1 << max_depth, 0)]
-    while todo:
-        lo, hi, depth = todo.pop()
-        if sums[hi] - sums[lo] > capacity and depth < max_depth:
-            mid = (lo + hi) // 2
-            todo += [(mid, hi, depth + 1), (lo, mid, depth + 1)]
-            continue
-        out += [(c, bucket, depth) for c in range(lo, hi)]
-        bucket += 1
-    return out
-
-
-def build_index(keyed: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Index files: one row per distinct hash (``bucket, depth, h, n_rows, keep_id``), owned by key range."""
-    spark = keyed.sparkSession
+    base, out = 0, None
+    inside = hashes.select("h")
+    while True:
+        top = min(64, base + STEP)
+        cells = inside.groupBy(F.shiftrightunsigned("h", 64 - top).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        depths = F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth")
+        up = F.expr(f"shiftrightunsigned(cell, cast({top} - depth as int))")
+        sums = materialise(cells.select("cell", "n", depths).groupBy("depth", up.alias("prefix")).agg(F.sum("n").alias("n")), "directory-sums")
+        over = sums.filter(F.col("n") > capacity)
+        halves = over.filter(F.col("depth") < top).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.shiftleft("prefix", 1), F.shiftleft("prefix", 1).bitwiseOR(F.lit(1)))).alias("prefix"))
+        found = sums.filter(F.col("n") <= capacity).join(halves, ["depth", "prefix"], "left_semi")
+        if base == 0:
+            found = found.unionByName(sums.filter((F.col("depth") == 0) & (F.col("n") <= capacity)))
+        found = found.select("depth", "prefix")
+        out = found if out is None else out.unionByName(found)
+        rest = over.filter(F.col("depth") == top).select(F.col("prefix").alias("full"))
+        if top == 64 or rest.isEmpty():
+            return out
+        inside = inside.join(rest, F.shiftrightunsigned("h", 64 - top) == F.col("full"), "left_semi")
+        base = top
+
+
+def placed(rows: DataFrame, cells: DataFrame, h: str = "h") -> DataFrame:
+    """The rows with ``depth`` and ``prefix`` of their hash's bucket."""
+    depths = [r["depth"] for r in cells.select("depth").distinct().collect()]  # at most 65
+    if not depths:
+        return rows.withColumn("depth", F.lit(0)).withColumn("prefix", F.lit(0).cast("long"))
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells
+    options = rows.withColumn("depth", F.explode(F.lit(depths))).withColumn("prefix", _prefix(h, F.col("depth")))
+    return options.join(cells, ["depth", "prefix"], "left_semi")
+
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY) -> Index:
+    """Write the index of ``doc_id, text`` rows to the shared folder."""
+    spark, index = docs.sparkSession, Index(new_path(docs.sparkSession, "index"))
+    sha = F.unhex(F.sha2("t", 256)).alias("sha")
+    texts = docs.select("doc_id", normalised().alias("t")).withColumn("h", F.xxhash64("t"))
+    texts.select("doc_id", "h", sha).write.parquet(f"{index.path}/keys")
     entries = materialise(
-        keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n_rows"), F.max("doc_id").alias("keep_id")), "entries"
-    )
-    cells = directory(entries, capacity, max_depth)
-    table = spark.createDataFrame(cells, "cell int, bucket int, depth int")
-    placed = entries.join(F.broadcast(table), F.shiftrightunsigned("h", 64 - max_depth).cast("int") == F.col("cell"))
-    owners = min(shuffle_width(spark), 1 + cells[-1][1])
-    return materialise(
-        placed.repartitionByRange(owners, "bucket").sortWithinPartitions("bucket", "h").select("bucket", "depth", "h", "n_rows", "keep_id"),
-        "index",
+        index.read(spark, "keys").groupBy("h").agg(F.count(F.lit(1)).alias("n_rows"), F.max("doc_id").alias("keep_id"), F.first("sha").alias("sha")), "entries"
     )
+    directory(entries.select("h"), capacity).write.parquet(f"{index.path}/directory")
 
-
-def _repeated_bits(index: DataFrame) -> DataFrame:
-    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    return (
-        index.filter("n_rows > 1").select(bit.alias("bit"))
-        .groupBy(F.shiftright("bit", 15).alias("block"))
-        .agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits"))
+    single = entries.filter("n_rows = 1").select("h", "sha", F.lit(1).cast("long").alias("chain"), F.lit(None).cast("string").alias("t"), "keep_id", "n_rows")
+    repeated = entries.filter("n_rows > 1").select("h")
+    equal = (
+        sieved(texts, "h", repeated).select("doc_id", "h", "t", sha)
+        .groupBy("h", "sha", "t").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
+    )
+    behind, digest = Window.partitionBy("h"), Window.partitionBy("h", "sha")
+    chains = (
+        equal.withColumn("all_rows", F.sum("n_rows").over(behind)).withColumn("chain", F.count(F.lit(1)).over(digest)).filter("all_rows > 1")
+        .select("h", "sha", "chain", F.when(F.col("chain") > 1, F.col("t")).alias("t"), "keep_id", "n_rows")
+    )
+    filled = placed(single.unionByName(chains), index.read(spark, "directory"))
+    low = F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(prefix, cast(64 - depth as int))"))
+    (
+        filled.withColumn("low", low).repartitionByRange(shuffle_width(spark), "low", "h").sortWithinPartitions("low", "h", "sha").drop("low")
+        .write.parquet(f"{index.path}/buckets")
+    )
+    return index
+
+
+def lookup(docs: DataFrame, index: Index) -> DataFrame:
+    """What the index says of the rows it was built of: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    spark = docs.sparkSession
+    keys, cells, buckets = (index.read(spark, part) for part in ("keys", "directory", "buckets"))
+    key = ["depth", "prefix", "h", "sha"]
+    rows = placed(keys, cells)
+    plain = buckets.filter("chain = 1").select(*key, "keep_id", "n_rows")
+    chained = buckets.filter("chain > 1")
+    if chained.isEmpty():
+        found = rows.join(plain.hint("merge"), key, "left")
+    else:
+        found = rows.join(chained.select(*key).distinct(), key, "left_anti").join(plain.hint("merge"), key, "left")
+        texts = docs.select("doc_id", normalised().alias("t")).withColumn("h", F.xxhash64("t"))
+        near = sieved(texts, "h", chained.select("h").distinct()).withColumn("sha", F.unhex(F.sha2("t", 256)))
+        found = found.unionByName(placed(near, cells).join(chained.select(*key, "t", "keep_id", "n_rows"), [*key, "t"]).drop("t"))
+    return found.select(
+        "doc_id", "keep_id", F.col("n_rows").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 
-def dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The largest doc_id of
@@ -91,57 +147,22 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH)
     its rows. Rows that repeat a doc_id together with its text are one document: they count in
     ``group_size`` and share ``kept``.
     """
-    texts = docs.select("doc_id", normalised().alias("t")).withColumn("h", F.xxhash64("t"))
-    keyed = materialise(texts.select("doc_id", "h", F.unhex(F.sha2("t", 256)).alias("sha")), "keys")
-    index = build_index(keyed, capacity, max_depth)
-
-    bits = _repeated_bits(index)
-    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    byte = "cast(conv(hex(substring(bits, cast(shiftright(bit & 32767, 3) as int) + 1, 1)), 16, 10) as int)"
-    suspects = (
-        texts.withColumn("bit", bit)
-        .join(F.broadcast(bits), F.shiftright("bit", 15) == F.col("block"))
-        .filter(F.expr(f"shiftright({byte}, cast(bit & 7 as int)) & 1 = 1"))
-        .withColumn("sha", F.unhex(F.sha2("t", 256)))
-    )
-    same_key = Window.partitionBy("h", "sha")
-    classes = materialise(
-        suspects.groupBy("h", "sha", "t")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .withColumn("chain", F.count(F.lit(1)).over(same_key))
-        .withColumn("t", F.when(F.col("chain") > 1, F.col("t")))
-        .filter("group_size > 1 or chain > 1"),
-        "classes",
-    )
-    plain = classes.filter("chain = 1").select("h", "sha", "keep_id", "group_size", F.lit(True).alias("found"))
-    rows = keyed.join(plain, ["h", "sha"], "left")
-    chained = classes.filter("chain > 1")
-    if not chained.isEmpty():
-        keys = chained.select("h", "sha").distinct()
-        rows = rows.join(keys, ["h", "sha"], "left_anti").unionByName(
-            texts.withColumn("sha", F.unhex(F.sha2("t", 256)))
-            .join(chained.select("h", "sha", "t", "keep_id", "group_size", F.lit(True).alias("found")), ["h", "sha", "t"])
-            .drop("t")
-        )
-    keep = F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("doc_id"))
-    return rows.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast(T.LongType())).alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    return lookup(docs, build_index(docs, capacity))
 
 
-def keep_last(docs: DataFrame) -> DataFrame:
+def keep_last(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The input's rows that stay, in its columns; of rows that repeat doc_id and text one stays."""
-    seen = materialise(dedup(docs).select("doc_id", "kept", F.unhex("text_sha256").alias("sha")), "exact-duplicates")
-    drop = seen.filter(~F.col("kept")).select(F.col("doc_id").alias("__doc_id"), F.col("sha").alias("__sha")).distinct()
-    sha = F.unhex(F.sha2(normalised(), 256))
-    out = docs.join(drop, (sha == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_anti")
-    if not seen.filter("kept").groupBy("doc_id", "sha").count().filter("count > 1").isEmpty():
-        out = out.withColumn("__sha", sha).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
-    return out
+    h, sha, lost_id, lost_sha = unused(docs, "h", "sha", "lost_id", "lost_sha")
+    seen = materialise(dedup(docs, capacity).select("doc_id", "kept", "group_size", F.unhex("text_sha256").alias("sha")), "exact-duplicates")
+    hashed = docs.withColumn(sha, F.unhex(F.sha2(normalised(), 256))).withColumn(h, F.xxhash64(sha))
+    lost = seen.filter(~F.col("kept")).select(F.xxhash64("sha").alias(h), F.col("doc_id").alias(lost_id), F.col("sha").alias(lost_sha)).distinct()
+    same = lambda a, b: (a[h] == b[h]) & (F.col(sha) == F.col(lost_sha)) & F.col("doc_id").eqNullSafe(F.col(lost_id))
+    out = without(hashed, h, materialise(lost, "lost-copies"), same)
+    again = seen.filter("kept and group_size > 1").groupBy("doc_id", "sha").count().filter("count > 1").select(F.xxhash64("sha").alias(h)).distinct()
+    again = materialise(again, "repeated-rows")
+    if not again.isEmpty():
+        out = sieved(out, h, again, hit=False).unionByName(sieved(out, h, again).dropDuplicates(["doc_id", sha]))
+    return out.drop(h, sha)
 
 
 def op9_exact_dedup(spark, sf_dir):

@@ -1,11 +1,13 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import pytest
 from data import SCHEMA, lower_az, rows, table
 from pyspark.sql import functions as F
 
 from strophe.llm import exact_dedup
-from strophe.llm.exact_dedup import OP9_SQL, build_index, dedup, directory, keep_last
+from strophe.llm.exact_dedup import OP9_SQL, build_index, dedup, directory, keep_last, lookup, placed
 
 
 def brute(data):
@@ -28,21 +30,58 @@ def test_against_brute_force(spark):
     assert got(dedup(table(spark))) == brute(rows())
 
 
-def test_tiny_buckets_split_and_overflow(spark):
-    assert got(dedup(table(spark), capacity=1, max_depth=3)) == brute(rows())
-    entries = table(spark).select(F.xxhash64("text").alias("h")).distinct()
-    cells = directory(entries, capacity=4, max_depth=6)
-    assert [c for c, _, _ in cells] == list(range(64)) and len({b for _, b, _ in cells}) > 8
-    counts = Counter((r["h"] % (1 << 64)) >> 58 for r in entries.collect())
-    for bucket in {b for _, b, _ in cells}:
-        own = [(c, d) for c, b, d in cells if b == bucket]
-        assert sum(counts[c] for c, _ in own) <= 4 or own[0][1] == 6
-
-
-def test_index_files_hold_each_hash_once(spark):
-    keyed = table(spark).select("doc_id", F.xxhash64("text").alias("h"))
-    index = build_index(keyed, capacity=8, max_depth=5)
-    assert index.count() == keyed.select("h").distinct().count()
+@pytest.mark.parametrize("capacity", [1, 3])
+def test_tiny_buckets(spark, capacity):
+    assert got(dedup(table(spark), capacity=capacity)) == brute(rows())
+
+
+def brute_directory(hashes, capacity):
+    out, todo = set(), [(0, 0, list(hashes))]
+    while todo:
+        depth, prefix, own = todo.pop()
+        if len(own) <= capacity:
+            out.add((depth, prefix))
+            continue
+        for bit in (0, 1):
+            half = [h for h in own if h >> (63 - depth) & 1 == bit]
+            todo.append((depth + 1, 2 * prefix + bit, half))
+    return {(d, p) for d, p in out if any(h >> (64 - d) == p for h in hashes)}
+
+
+@pytest.mark.parametrize("capacity", [1, 4, 1000])
+def test_directory_doubles(spark, capacity):
+    """Buckets split until none is overfull, far below the first pass's bits where hashes share them."""
+    rng = random.Random(1)
+    hashes = {rng.getrandbits(64) for _ in range(200)} | {0xABCDEF0123456789 ^ x for x in range(12)} | {5, 4, 1 << 63}
+    df = spark.createDataFrame([(h - (1 << 64) if h >> 63 else h,) for h in hashes], "h long")
+    found = {(r["depth"], r["prefix"] % (1 << 64)) for r in directory(df, capacity).collect()}
+    assert found == brute_directory(hashes, capacity)
+
+
+def test_every_hash_has_one_bucket(spark):
+    index = build_index(table(spark), capacity=3)
+    keys, cells, buckets = (index.read(spark, p) for p in ("keys", "directory", "buckets"))
+    assert placed(keys, cells).count() == keys.count() == len(rows()) and buckets.count() == len({lower_az(t) for _, t, _ in rows()})
+    assert max(r["count"] for r in buckets.groupBy("depth", "prefix").count().collect()) <= 3
+
+
+def test_bucket_files_decide(spark):
+    """What a bucket file says is the answer: a changed entry and a lost entry show."""
+    df = table(spark)
+    index = build_index(df, capacity=3)
+    h = df.filter("doc_id = 100").select(F.xxhash64(exact_dedup.normalised())).first()[0]
+    damaged = index.read(spark, "buckets").withColumn("keep_id", F.when(F.col("h") == h, F.lit(77)).otherwise(F.col("keep_id"))).filter("n_rows <> 2 or h = " + str(h)).collect()
+    schema = index.read(spark, "buckets").schema
+    spark.createDataFrame(damaged, schema).write.mode("overwrite").parquet(f"{index.path}/buckets")
+    out = lookup(df, index).collect()
+    assert {r["keep_id"] for r in out if r["doc_id"] in (0, 100)} == {77} and any(r["group_size"] is None for r in out) and len(out) == len(rows())
+
+
+def test_hot_text(spark):
+    """A text that a third of the rows share is one entry before anything is shuffled."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'The SAME text', concat('text ', id)) AS text")
+    out = dedup(docs)
+    assert out.filter("group_size = 10000 and keep_id = 29997").count() == 10_000 and out.filter("kept").count() == 20_001
 
 
 def test_colliding_hashes_chain(spark, monkeypatch):
