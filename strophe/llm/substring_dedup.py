@@ -6,13 +6,14 @@ the words near them decide, so that a passage is cut alike wherever it begins. M
 spaces) and hashed. Digests are grouped over the whole corpus; the occurrence with the smallest rank
 (doc_id, text hash, unit number) is kept, others may go. A run of such units in a document goes, with the
 empty lines in it, if it has at least ``RUN_WORDS`` words, so repeated passages are found even where they
-stand inside other text, while short stock phrases stay. Whole lines of ``UNIT_WORDS`` words or more have
+stand inside other text, while short stock phrases stay. Whole lines of ``LINE_WORDS`` words or more have
 digests of their own, and each later occurrence of such a line goes, whatever stands beside it. Characters
 of scripts without spaces count as words. Offsets of all that is removed are returned.
 
-Counting pre-aggregates before its shuffle; the join that brings the first occurrence back to the units
-is an ordinary sort-merge join whose hot digests adaptive execution may split. One document's unit
-numbers are the largest group.
+Digests have 128 bits and are counted with pre-aggregation. Only units that a sieve for repeated digests
+passes are shuffled again to meet their first occurrence; the at most HOT_SHARE digests that hold a larger
+part of the units than 1/HOT_SHARE meet it by broadcast. Only texts with enough removable words travel to
+be cut. One document's unit numbers are the largest group.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import in_batches, load, materialise
+from .common import in_batches, load, materialise, sieved, unused
 
 UNIT_WORDS = 4
 RUN_WORDS = 20
+LINE_WORDS = 1
+HOT_SHARE = 1024
 #: Added to the number of a line's first unit, the number of the line; longer lines go by the run rule.
 LINE = 1 << 30
 #: A clause of more words is cut at anchors too: before a word whose hash with the word before it is the
@@ -105,40 +108,44 @@ def units(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _digest(words: list[str], seed: int = 0) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), seed)
+def _digest(words: list[str], seed: int = 0) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"), seed)
 
 
-def _hashed(text: str) -> tuple[list[int], list[int]]:
-    numbers, digests, line, begin = [], [], [], 0
+def _hashed(text: str, line_words: int) -> list[tuple[int, int, bytes]]:
+    """Number, words and digest of every unit with a word, and of whole lines that the run rule doesn't reach."""
+    out, line, begin = [], [], 0
     spans = units(text)
     for i, (a, b) in enumerate(spans):
         words = words_of(text[a:b].lower())
         if words:
-            numbers.append(i)
-            digests.append(_digest(words))
+            out.append((i, len(words), _digest(words)))
         line += words
         if text[b - 1] == "\n" or i == len(spans) - 1:
-            if UNIT_WORDS <= len(line) < RUN_WORDS:
-                numbers.append(LINE + begin)
-                digests.append(_digest(line, 1))
+            if line_words <= len(line) < RUN_WORDS and line:
+                out.append((LINE + begin, len(line), _digest(line, 1)))
             line, begin = [], i + 1
-    return numbers, digests
+    return out
+
 
+def _unit_batches(line_words):
+    def run(batches):
+        for b in batches:
+            rows, numbers, words, digests = [], [], [], []
+            for r, text in enumerate(b.column("text")):
+                found = _hashed(text.as_py() or "", line_words)
+                rows += [r] * len(found)
+                numbers += [x[0] for x in found]
+                words += [min(x[1], RUN_WORDS) for x in found]
+                digests += [x[2] for x in found]
+            at = pa.array(rows, pa.int32())
+            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(at), b.column("k").take(at), pa.array(numbers, pa.int32()), pa.array(words, pa.int16()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                names=["doc_id", "k", "unit", "words", "hi", "lo"],
+            )
 
-def _unit_batches(batches):
-    for b in batches:
-        rows, numbers, digests = [], [], []
-        for r, text in enumerate(b.column("text")):
-            n, d = _hashed(text.as_py() or "")
-            rows += [r] * len(n)
-            numbers += n
-            digests += d
-        at = pa.array(rows, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id").take(at), b.column("k").take(at), pa.array(numbers, pa.int32()), pa.array(np.array(digests, np.uint64).view(np.int64))],
-            names=["doc_id", "k", "unit", "digest"],
-        )
+    return run
 
 
 def removed_spans(text: str, removable: list[int]) -> list[tuple[int, int]]:
@@ -194,33 +201,48 @@ def _cut(text: pd.Series, numbers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": texts, "removed": removed})
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def _removable(found: DataFrame) -> DataFrame:
+    """``doc_id, k, units`` of the documents in which enough words stand in later occurrences of units."""
+    repeated = materialise(found.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-units")
+    near = sieved(found, "hi", repeated.select("hi"))
+    rank = F.struct("doc_id", "k", "unit")
+    firsts = (
+        near.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("n"))
+        .filter("first < last").select("hi", "lo", "first", "n")
+    )
+    firsts = materialise(firsts, "first-units")
+    hot = F.col("n") * HOT_SHARE > found.count()
+    tagged = near.join(F.broadcast(firsts.filter(hot).drop("n")), ["hi", "lo"], "left")
+    met = tagged.filter("first is not null").unionByName(tagged.filter("first is null").drop("first").join(firsts.filter(~hot).drop("n").hint("merge"), ["hi", "lo"]))
+    return (
+        met.filter(rank > F.col("first")).groupBy("k", "doc_id").agg(F.collect_set("unit").alias("units"), F.sum("words").alias("words"), F.max("unit").alias("most"))
+        .filter((F.col("words") >= RUN_WORDS) | (F.col("most") >= LINE)).select("doc_id", "k", "units")
+    )
+
+
+def dedup_substrings(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
     """The input's rows and columns with ``text`` cut, and ``removed``: spans in characters of the input text.
 
+    Later occurrences of whole lines go from ``line_words`` words on; a larger value spares short lines.
+
     A null text stays null and has no span, an empty one stays empty. Rows that repeat doc_id and text
     count as one document and are cut alike; a null doc_id ranks first. Of ties in rank there are none
-    else. Equal passages within one document are repeats too. An input column named ``removed`` is
-    replaced; an empty table gives an empty result.
+    else. Equal passages within one document are repeats too. If the input has a column ``removed``, the
+    spans' column, which is always the last, is ``removed_``; an empty table gives an empty result.
     """
+    k, doc, units_, cut, removed = unused(docs, "k", "unit_doc", "units", "cut", "removed")
     key = F.xxhash64("doc_id", "text")
-    found = materialise(in_batches(docs).select("doc_id", key.alias("k"), "text").mapInArrow(_unit_batches, _unit_schema(docs)), "units")
-    rank = F.struct("doc_id", "k", "unit")
-    firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first < last").select("digest", "first")
-    removable = (
-        found.join(firsts, "digest").filter(rank > F.col("first"))
-        .groupBy("k", F.col("doc_id").alias("__doc_id")).agg(F.collect_set("unit").alias("__units"))
-        .withColumnRenamed("k", "__k")
-    )
-    joined = docs.withColumn("__key", key).join(
-        removable, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left"
-    )
-    cut = joined.withColumn("__cut", pandas_udf(_cut, _CUT)("text", "__units"))
-    columns = [F.col("__cut.text").alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "removed"]
-    return cut.select(*columns, F.col("__cut.removed").alias("removed"))
-
-
-def _unit_schema(docs: DataFrame) -> str:
-    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, unit int, digest long"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, k long, unit int, words smallint, hi long, lo long"
+    found = materialise(in_batches(docs).select("doc_id", key.alias("k"), "text").mapInArrow(_unit_batches(line_words), schema), "units")
+    removable = materialise(_removable(found), "removable").select(F.col("k").alias(k), F.col("doc_id").alias(doc), F.col("units").alias(units_))
+    hashed = docs.withColumn(k, key)
+    near = sieved(hashed, k, removable.select(k))
+    joined = near.join(removable, (near[k] == removable[k]) & F.col("doc_id").eqNullSafe(F.col(doc)), "left").withColumn(cut, pandas_udf(_cut, _CUT)("text", units_))
+    columns = [F.col(f"`{cut}`.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    rest = sieved(hashed, k, removable.select(k), hit=False).select(*[F.col(f"`{c}`") for c in docs.columns], none.alias(removed))
+    return joined.select(*columns, F.col(f"`{cut}`.removed").alias(removed)).unionByName(rest)
 
 
 def op6_substring_dedup(spark, sf_dir):

@@ -1,23 +1,29 @@
 import random
+import re
 from collections import defaultdict
 
 from data import SCHEMA, prose, rows, sentence, table
 
-from strophe.llm.substring_dedup import RUN_WORDS, UNIT_WORDS, dedup_substrings, removed_spans, units
+from strophe.llm.substring_dedup import LINE, RUN_WORDS, UNIT_WORDS, dedup_substrings, removed_spans, units, words_of
 
 
-def brute(data):
-    """Removed spans by comparing normalised units of all documents pairwise through one dictionary."""
-    from pyspark.sql import functions as F  # noqa: F401
-
-    first = {}
-    keys = []
+def brute(data, line_words=1):
+    """Removed spans by comparing normalised units and lines of all documents through one dictionary."""
+    first, keys = {}, []
     for i, t, k in data:
-        for u, (a, b) in enumerate(units(t or "")):
-            words = t[a:b].lower().split()
-            if len(words) >= UNIT_WORDS:
+        t = t or ""
+        spans = units(t)
+        here = [(u, "unit", words_of(t[a:b].lower())) for u, (a, b) in enumerate(spans)]
+        begin = 0
+        for line in re.findall(r"[^\n]*\n|[^\n]+", t):
+            words = words_of(line.lower())
+            if line_words <= len(words) < RUN_WORDS:
+                here.append((LINE + [a for a, _ in spans].index(begin), "line", words))
+            begin += len(line)
+        for u, what, words in here:
+            if words:
                 rank = ((i is not None, i or 0), k, u)
-                keys.append((" ".join(words), rank))
+                keys.append(((what, *words), rank))
                 first[keys[-1][0]] = min(first.get(keys[-1][0], rank), rank)
     gone = defaultdict(list)
     for w, rank in keys:
@@ -46,12 +52,12 @@ def test_against_brute_force(spark):
     for (i, k), spans in brute(hashed).items():
         want[i].append(spans)
     out = dedup_substrings(df)
-    assert out.columns == [c for c in df.columns if c != "removed"] + ["removed"]
+    assert out.columns == [*df.columns, "removed_"] and {r["removed"] for r in out.collect()} == {"r"}
     source = defaultdict(list)
     for i, t, _ in data:
         source[i].append(t)
     for r in out.collect():
-        spans = [(s["start"], s["end"]) for s in r["removed"]]
+        spans = [(s["start"], s["end"]) for s in r["removed_"]]
         assert spans in want[r["doc_id"] is not None, r["doc_id"] or 0]
         cut = []
         for t in source[r["doc_id"]]:
@@ -67,16 +73,19 @@ def test_planted_passage(spark):
     data = [(i, f"{prose(rng, 'de', 4)} {sentence(rng, 'de')} {passage} {prose(rng, 'de', 4)}", "de") for i in range(6)]
     clean = [(10 + i, prose(rng, "fr", 9), "fr") for i in range(6)]
     got = {r["doc_id"]: r for r in dedup_substrings(table(spark, data + clean)).collect()}
-    assert passage in got[0]["text"] and not got[0]["removed"]
+    assert passage in got[0]["text"] and not got[0]["removed_"]
     for i, t, _ in data[1:]:
         assert passage not in got[i]["text"] and len(got[i]["text"]) <= len(t) - len(passage)
-    assert all(not got[i]["removed"] and got[i]["text"] == t for i, t, _ in clean)
+    assert all(not got[i]["removed_"] and got[i]["text"] == t for i, t, _ in clean)
 
 
 def test_repeats_within_and_short_lines(spark):
     line = " ".join(f"word{i}" for i in range(RUN_WORDS + 2))
-    got = {r["doc_id"]: r["text"] for r in dedup_substrings(table(spark, [(1, f"{line}\n{line}\nShort line here.", "en"), (2, "Short line here.\nother", "en"), (3, None, None)])).collect()}
+    df = table(spark, [(1, f"{line}\n{line}\nShort line here.", "en"), (2, "Short line here.\nother", "en"), (3, None, None)])
+    got = {r["doc_id"]: r["text"] for r in dedup_substrings(df, line_words=UNIT_WORDS).collect()}
     assert got == {1: f"{line}\nShort line here.", 2: "Short line here.\nother", 3: None}
+    got = {r["doc_id"]: r["text"] for r in dedup_substrings(df).collect()}
+    assert got == {1: f"{line}\nShort line here.", 2: "other", 3: None}
 
 
 def test_repeated_lines_go_whatever_their_length(spark):
@@ -111,7 +120,7 @@ def test_passage_inside_long_clauses(spark):
     data = [(10 * k + i, planted(rng, p), "en") for k, p in enumerate(passages) for i in range(3)]
     got = {r["doc_id"]: r for r in dedup_substrings(table(spark, data)).collect()}
     for k, p in enumerate(passages):
-        assert not got[10 * k]["removed"]
+        assert not got[10 * k]["removed_"]
         for i in (1, 2):
             text, host = got[10 * k + i]["text"], data[3 * k + i][1]
             at = host.index(p)
@@ -144,5 +153,12 @@ def test_unique_short_lines_stay(spark):
     assert got[20] == data[5][1] and got[21] == "第1章\n乙乙" and got[22] == "第2章\n丙丙"
 
 
+def test_hot_line(spark):
+    """A line that most documents share, met by broadcast, goes from all but the first."""
+    data = [(i, f"own words number {i} and {i * i} here\nThis line stands everywhere, all over.", "en") for i in range(3000)]
+    out = dedup_substrings(table(spark, data))
+    assert out.filter("size(removed_) = 1").count() == 2999 and out.filter("text like '%stands everywhere%'").count() == 1
+
+
 def test_empty(spark):
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
