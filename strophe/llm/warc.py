@@ -1,11 +1,13 @@
 """WARC archives as a PySpark Python data source named ``warc``.
 
 Writing: each task writes gzip members, one per record, to a file of its own; the driver lists the files
-of the tasks that succeeded in a manifest, so retried or speculative tasks leave nothing that is read.
+of the tasks that succeeded in a manifest, so retried or speculative tasks leave nothing that is read. The
+manifest also tells where records begin, which is where files are cut into partitions.
 
-Reading: files are planned as byte ranges. A range's reader finds the first record that begins in it,
-inflates a record's head only, tests pushed filters on it, and jumps over the rest by the lengths in the
-member's extra field. Members without that field, from other writers, are inflated to their end. The
+Reading: a record's head is inflated first and pushed filters are tested on it; the rest is jumped over by
+the lengths in the member's extra field. Archives of other writers are read too: gzip files by ranges, whose
+readers look for the first member that begins a record, and plain files, each as one partition in which
+payloads are skipped by seeking. Members may hold any number of records, and heads may have any length. The
 payload is decoded for wanted records only, and not at all with option ``payload=false``.
 """
 
@@ -33,13 +35,13 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import load, new_path
+from .common import load, materialise, new_path, sieved
 
 #: Payloads shorter than this are always stored whole.
 MIN_REVISIT = 100
 SPLIT_BYTES = 64 << 20
-#: Bytes of a member read and inflated at a time to see its head, and the most that a head may take.
-HEAD, MAX_HEAD = 4096, 1 << 20
+#: Bytes that are read and inflated at a time for a head, and for a payload.
+HEAD, BODY = 4096, 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 SCHEMA = "page_id long, target_uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -87,6 +89,7 @@ def member(page_id: int | None, url: str | None, payload: bytes, length: int, di
 class _Files(WriterCommitMessage):
     name: str
     size: int
+    starts: list
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -96,7 +99,7 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator):
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
-        name, size = f"part-{uuid.uuid4().hex}.warc.gz", 0
+        name, size, starts = f"part-{uuid.uuid4().hex}.warc.gz", 0, []
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in iterator:
                 columns = [batch.column(c) for c in ("page_id", "url", "payload_digest", "refers_to", "html")]
@@ -104,13 +107,15 @@ class WarcWriter(DataSourceArrowWriter):
                     payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
                     record = member(page_id.as_py(), url.as_py(), payload, len(payload), digest.as_py(), first.as_py())
                     out.write(record)
+                    if not starts or size - starts[-1] >= SPLIT_BYTES:
+                        starts.append(size)
                     size += len(record)
-        return _Files(name, size)
+        return _Files(name, size, starts)
 
     def commit(self, messages):
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
-        files = [[m.name, m.size] for m in messages if m is not None and m.size]
+        files = [[m.name, m.size, m.starts] for m in messages if m is not None and m.size]
         with fs.open_output_stream(f"{root}/{_MANIFEST}") as out:
             out.write(json.dumps(files).encode())
 
@@ -149,59 +154,134 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def _record(fields: dict[str, str], http: dict[str, str]) -> dict:
-    digest = fields.get("warc-payload-digest", "")
-    return {
-        "page_id": _page(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"),
-        "refers_to": _page(fields.get("warc-refers-to")), "payload_bytes": int(http["content-length"]) if http.get("content-length", "").isdigit() else None,
-        "payload_digest": digest.partition(":")[2] or None,
-    }
+class _Stream:
+    """Bytes of a plain file from ``at`` on, as far as they are asked for."""
+
+    def __init__(self, w: _Window, at: int):
+        self.w, self.at, self.data = w, at, bytearray()
+
+    def more(self, size: int) -> bool:
+        part = self.w.get(self.at, min(size, self.w.size - self.at)) if self.at < self.w.size else b""
+        self.at += len(part)
+        self.data += part
+        return bool(part)
+
+    def until(self, mark: bytes, limit: int | None = None) -> bytes | None:
+        """What stands before the mark, which is passed over; None if it isn't found within ``limit`` bytes."""
+        look = 0
+        while (i := self.data.find(mark, look, limit)) < 0:
+            look = max(0, len(self.data) - len(mark) + 1)
+            if limit is not None and len(self.data) >= limit or not self.more(HEAD):
+                return None
+        out = bytes(self.data[:i])
+        del self.data[: i + len(mark)]
+        return out
+
+    def read(self, n: int) -> bytes:
+        while len(self.data) < n and self.more(BODY):
+            pass
+        out = bytes(self.data[:n])
+        del self.data[:n]
+        return out
+
+    def skip(self, n: int) -> None:
+        self.at += max(0, n - len(self.data))
+        del self.data[:n]
+
+    def another(self) -> bool:
+        """Pass over line ends; whether anything follows."""
+        while True:
+            rest = self.data.lstrip(b"\r\n")
+            if rest:
+                self.data = rest
+                return True
+            self.data = bytearray()
+            if not self.more(HEAD):
+                return False
+
+
+class _Member(_Stream):
+    """Inflated bytes of the gzip member at ``at``."""
+
+    def __init__(self, w: _Window, at: int):
+        super().__init__(w, at)
+        self.z = zlib.decompressobj(31)
+
+    def more(self, size: int) -> bool:
+        while not self.z.eof:
+            part = self.z.unconsumed_tail
+            if not part:
+                part = self.w.get(self.at, min(HEAD, self.w.size - self.at)) if self.at < self.w.size else b""
+                self.at += len(part)
+                if not part:
+                    raise ValueError("a gzip member that doesn't end")
+            out = self.z.decompress(part, size)
+            if out:
+                self.data += out
+                return True
+        return False
+
+    def skip(self, n: int) -> None:
+        while n and (self.data or self.more(BODY)):
+            m = min(n, len(self.data))
+            del self.data[:m]
+            n -= m
+
+    def end(self) -> int:
+        """Where the member ends in the file."""
+        while self.more(BODY):
+            self.data = bytearray()
+        return self.at - len(self.z.unused_data)
+
+
+def _parsed(stream: _Stream, wanted, with_payload: bool, alone: bool = False):
+    """(head fields, payload or None, whether it is wanted) of each record of the stream, or of the first alone."""
+    while stream.another():
+        head = stream.until(b"\r\n\r\n")
+        if head is None or not head.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        fields = _fields(head)
+        left, http, kind = int(fields.get("content-length", 0)), b"", fields.get("warc-type")
+        if fields.get("content-type", "").startswith("application/http"):
+            http = stream.until(b"\r\n\r\n", left)
+            left -= 0 if http is None else len(http) + 4
+        stated = _fields(http or b"").get("content-length", "")
+        record = {
+            "page_id": _page(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "record_type": kind,
+            "refers_to": _page(fields.get("warc-refers-to")), "payload_digest": fields.get("warc-payload-digest", "").partition(":")[2] or None,
+            "payload_bytes": int(stated) if stated.isdigit() else left if kind != "revisit" else None,
+        }
+        take = wanted(record)
+        payload = None
+        if take and with_payload and kind != "revisit":
+            payload = stream.read(left)
+        elif not alone:
+            stream.skip(left)
+        yield record, payload, take
+        if alone:
+            return
 
 
 def records(f, size: int, start: int, end: int, wanted, with_payload: bool):
-    """(head fields, payload or None) of the wanted records that begin in [start, end).
+    """(head fields, payload or None) of the wanted records of a file.
 
-    Each record must be a gzip member of its own; other archives are refused with an error.
+    Of a gzip file, those whose member begins in [start, end); of a plain file, which is read from its
+    beginning, all. The payload of a record is what stands behind its HTTP head, or its whole block.
     """
     w = _Window(f, size)
-    if start == 0 and size and w.get(0, min(2, size)) != b"\x1f\x8b":
-        raise ValueError("not a gzip archive: uncompressed WARC files are not read")
+    if size and w.get(0, min(2, size)) != b"\x1f\x8b":
+        for record, payload, take in _parsed(_Stream(w, 0), wanted, with_payload) if start == 0 else ():
+            if take:
+                yield record, payload
+        return
     pos = _first(w, start, end)
     while pos is not None and pos < end:
-        at = pos
-        flags, (extra_len,) = w.get(at, 4)[3], struct.unpack("<H", w.get(at + 10, 2) or b"\0\0")
-        known, skip = flags == 4 and w.get(at + 12, 2) == b"sl" and extra_len == 12, 0
-        if known:
-            skip = struct.unpack("<Q", w.get(at + 16, 8))[0]
-        z, raw, fed = zlib.decompressobj(31), b"", at
-        while b"\r\n\r\n" not in raw or raw.count(b"\r\n\r\n") < 2:
-            if z.eof or (fed >= size and not z.unconsumed_tail) or len(raw) > MAX_HEAD:
-                break
-            part = z.unconsumed_tail or w.get(fed, HEAD)
-            fed += 0 if z.unconsumed_tail else len(part)
-            raw += z.decompress(part, HEAD)
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        http, _, _ = rest.partition(b"\r\n\r\n")
-        fields = _fields(head)
-        record = _record(fields, _fields(http))
-        take = wanted(record)
-        if take and with_payload or not known:
-            parts = [raw]
-            while not z.eof and (fed < size or z.unconsumed_tail):
-                tail = z.unconsumed_tail or w.get(fed, 1 << 16)
-                fed += 0 if z.unconsumed_tail else len(tail)
-                parts.append(z.decompress(tail, 1 << 22))
-            raw = b"".join(parts)
-            if not known and b"WARC/" in raw[len(head) + 4 + int(fields.get("content-length", 0)) :][:16]:
-                raise ValueError("a gzip member of several records: such WARC files are not read")
-        pos = at + skip if known else fed - len(z.unused_data)
-        if take:
-            payload = None
-            if with_payload and record["record_type"] == "response":
-                first = raw.index(b"\r\n\r\n") + 4
-                block = raw[first : first + int(fields.get("content-length", 0))]
-                payload = block.partition(b"\r\n\r\n")[2]
-            yield record, payload
+        known = w.get(pos, 4)[3] == 4 and w.get(pos + 10, 4) == struct.pack("<H", 12) + b"sl"
+        member_ = _Member(w, pos)
+        for record, payload, take in _parsed(member_, wanted, with_payload, alone=known):
+            if take:
+                yield record, payload
+        pos = pos + struct.unpack("<Q", w.get(pos + 16, 8))[0] if known else member_.end()
         if pos >= size:
             return
 
@@ -244,11 +324,17 @@ class WarcReader(DataSourceReader):
         fs, root = file_system(self.path)
         info = fs.get_file_info(f"{root}/{_MANIFEST}")
         if info.type == pafs.FileType.File:
-            files = json.loads(fs.open_input_stream(info.path).read())
-        else:  # archives of another writer
-            found = fs.get_file_info(pafs.FileSelector(root))
-            files = [[x.base_name, x.size] for x in found if x.base_name.endswith((".warc.gz", ".warc"))]
-        return [_Range(n, at, min(size, at + self.split)) for n, size in files for at in range(0, size, self.split)] or [_Range("", 0, 0)]
+            out = []
+            for name, size, starts in json.loads(fs.open_input_stream(info.path).read()):
+                out += [_Range(name, a, b) for a, b in zip(starts, [*starts[1:], size])]
+            return out or [_Range("", 0, 0)]
+        out = []  # archives of another writer
+        for x in fs.get_file_info(pafs.FileSelector(root)):
+            if x.base_name.endswith(".warc.gz"):
+                out += [_Range(x.base_name, at, min(x.size, at + self.split)) for at in range(0, x.size, self.split)]
+            elif x.base_name.endswith(".warc"):
+                out.append(_Range(x.base_name, 0, x.size))
+        return out or [_Range("", 0, 0)]
 
     def read(self, partition):
         if not partition.name:
@@ -296,23 +382,28 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> N
     Of equal payloads of at least ``min_revisit`` bytes the row with the smallest page_id is the response;
     rows that repeat this page_id are responses too, null page_ids rank last. Null html is empty. Other
     columns are ignored; an empty table gives an archive without records. Digests are grouped, not
-    payloads; only digests that occur twice come back to the pages.
+    payloads; only pages that pass a sieve for digests that occur twice are shuffled.
     """
     register(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("payload_digest"))
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("payload_digest")).withColumn("h", F.xxhash64("payload_digest"))
     firsts = (
-        rows.filter(F.octet_length("html") >= min_revisit).groupBy("payload_digest")
+        rows.filter(F.octet_length("html") >= min_revisit).groupBy("payload_digest", "h")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
-        .select("payload_digest", "first")
     )
+    firsts = materialise(firsts, "repeated-payloads")
     later = F.when(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.col("first"))
-    joined = rows.join(firsts, "payload_digest", "left").select("page_id", "url", "payload_digest", later.cast("long").alias("refers_to"), "html")
+    joined = sieved(rows, "h", firsts.select("h")).join(firsts.select("payload_digest", "first"), "payload_digest", "left")
+    joined = joined.unionByName(sieved(rows, "h", firsts.select("h"), hit=False).withColumn("first", F.lit(None).cast("long")))
+    joined = joined.select("page_id", "url", "payload_digest", later.cast("long").alias("refers_to"), "html")
     joined.write.format("warc").mode("append").option("path", path).save()
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of the archives in a folder; ``payload`` is null for revisits, and for all with payload=False."""
+    """Records of the archives in a folder; ``payload`` is null for revisits, and for all with payload=False.
+
+    ``page_id`` and ``refers_to`` are the numbers at the end of the record ids, null where there are none.
+    """
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 

@@ -51,10 +51,16 @@ def test_round_trip(spark, archive):
 
 
 @pytest.mark.parametrize("split", [1, 97, 700, 1 << 20])
-def test_ranges_see_each_record_once(spark, archive, split):
-    warc.register(spark)
-    df = spark.read.format("warc").option("splitBytes", split).load(archive) if split > 50 else read_warc(spark, archive, payload=False)
-    assert df.count() == len(PAGES)
+def test_ranges_see_each_record_once(spark, tmp_path, monkeypatch, split):
+    """Cut at the writer's marks, and, without its manifest, wherever the reader likes."""
+    monkeypatch.setattr(warc, "SPLIT_BYTES", split)
+    path = tmp_path / "w"
+    write_warc(table(spark), str(path))
+    assert read_warc(spark, str(path), payload=False).count() == len(PAGES)
+    (path / "_manifest.json").unlink()
+    for f in path.glob("*.crc"):
+        f.unlink()
+    assert spark.read.format("warc").option("splitBytes", max(split, 50)).load(str(path)).count() == len(PAGES)
 
 
 def test_pushdown_skips_payloads(spark, archive):
@@ -113,18 +119,60 @@ def test_empty(spark, tmp_path):
     assert read_warc(spark, str(tmp_path / "e")).collect() == []
 
 
-def test_other_forms_are_refused():
-    """Uncompressed archives, and members of several records, raise an error instead of losing records."""
-    import gzip
-    import io
+def record(kind, block, content="application/http; msgtype=response", number=1):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{number}>\r\nContent-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+FOREIGN = [
+    (record("warcinfo", b"software: x\r\n\r\n", "application/warc-fields"), b"software: x\r\n\r\n"),
+    (record("response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\nWARC/1.0 more"), b"body\r\n\r\nWARC/1.0 more"),
+    (record("request", b"GET / HTTP/1.1\r\n\r\n"), b""), (record("response", b"HTTP/1.1 200 OK"), b"HTTP/1.1 200 OK"),
+    (record("resource", b"plain\r\n\r\nblock", "text/plain"), b"plain\r\n\r\nblock"), (record("conversion", b"", "text/plain"), b""),
+    (record("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n"), None), (record("metadata", b"x" * 600_000, "text/plain"), b"x" * 600_000),
+]
+
+
+@pytest.mark.parametrize("form", ["plain", "a member each", "one member", "members of three"])
+def test_archives_of_other_writers(spark, tmp_path, form):
+    """Plain files and gzip members of one, some or all records give every record with its payload."""
+    raw = [r for r, _ in FOREIGN]
+    groups = {"plain": [], "a member each": [[r] for r in raw], "one member": [raw], "members of three": [raw[i : i + 3] for i in range(0, len(raw), 3)]}[form]
+    data = b"".join(gzip.compress(b"".join(g)) for g in groups) or b"".join(raw)
+    (tmp_path / ("a.warc" if form == "plain" else "a.warc.gz")).write_bytes(data)
+    warc.register(spark)
+    df = spark.read.format("warc").option("splitBytes", 300).load(str(tmp_path))
+    got = Counter((r["record_type"], None if r["payload"] is None else bytes(r["payload"])) for r in df.collect())
+    kinds = "warcinfo response request response resource conversion revisit metadata".split()
+    assert got == Counter(zip(kinds, (p for _, p in FOREIGN), strict=True))
+    assert sorted(r["payload_bytes"] for r in df.filter("record_type <> 'revisit'").collect()) == sorted(len(p) for _, p in FOREIGN if p is not None)
+    assert [bytes(p) for _, p in records(io.BytesIO(data), len(data), 0, len(data), lambda r: r["record_type"] == "resource", True)] == [b"plain\r\n\r\nblock"]
+
+
+def test_payloads_of_plain_files_are_skipped():
+    data = record("resource", b"x" * 40_000_000, "a/b") + record("resource", b"last", "a/b", 2)
+
+    class Reads(io.BytesIO):
+        seen = 0
+
+        def read(self, n=-1):
+            Reads.seen += n
+            return super().read(n)
+
+    got = list(records(Reads(data), len(data), 0, len(data), lambda r: r["page_id"] == 2, True))
+    assert [p for _, p in got] == [b"last"] and Reads.seen < 10_000_000
+
 
-    import pytest
+def test_head_of_any_length(spark, tmp_path):
+    """A URL of two million characters leaves its record whole."""
+    url = "http://long/" + "a" * 2_000_000
+    write_warc(table(spark, [(1, url, BIG), (2, url, BIG), (3, "u", "short")]), str(tmp_path / "w"))
+    got = {r["page_id"]: r for r in read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got[1]["target_uri"] == url and got[1]["payload"].decode() == BIG and got[1]["payload_bytes"] == len(BIG)
+    assert got[2]["refers_to"] == 1 and got[2]["payload_bytes"] == len(BIG) and got[3]["payload"] == b"short"
 
-    from strophe.llm.warc import records
 
-    one = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody\r\n\r\n"
-    read = lambda data: list(records(io.BytesIO(data), len(data), 0, len(data), lambda r: True, True))
-    assert [p for _, p in read(gzip.compress(one) * 3)] == [b"body"] * 3
-    for data in (one * 2, gzip.compress(one * 2)):
-        with pytest.raises(ValueError, match="not read"):
-            read(data)
+def test_damaged_archives_raise():
+    for data in (b"no archive at all", gzip.compress(b"WARC/1.0\r\nWARC-Type: x"), gzip.compress(FOREIGN[1][0])[:-20]):
+        with pytest.raises(ValueError):
+            list(records(io.BytesIO(data), len(data), 0, len(data), lambda r: True, True))
