@@ -26,6 +26,8 @@ PER_LANGUAGE = 400
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.01, 4
 #: Probability of the best language below which a document is rejected.
 MIN_SCORE = 0.5
+#: Characters of a text whose n-grams are counted at a time.
+SLICE = 1 << 18
 _LETTER: list[np.ndarray] = []
 
 
@@ -36,24 +38,38 @@ def _letters() -> np.ndarray:
 
 
 def ngram_counts(text: str | None) -> np.ndarray | None:
-    """Bucket counts of the whole text, or None if it has no letter."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = _letters()[points]
-    if not letter.any():
-        return None
-    points = np.where(letter, points, 32).astype(np.uint64)
-    keep = letter | np.concatenate(([False], letter[:-1]))  # of other characters the first after a letter
-    points = np.concatenate(([32], points[keep], [32] if letter[-1] else [])).astype(np.uint64)
-    total = np.zeros(DIM, np.int64)
-    for n in ORDERS:
-        if len(points) < n:
-            break
-        h = np.full(len(points) - n + 1, n, np.uint64)
-        for i in range(n):
-            h = (h ^ points[i : len(points) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        total += np.bincount((h & np.uint64(DIM - 1)).astype(np.int64), minlength=DIM)
-    return total
+    """Bucket counts of the whole text, or None if it has no letter. Only the lower-cased text is held whole."""
+    text = (text or "").lower()
+    total, letters, before = np.zeros(DIM, np.int64), False, False
+    held = np.zeros(0, np.uint64)  # the last code points that begin n-grams of the next slice
+
+    def count(points):
+        nonlocal held
+        joined = np.concatenate((held, points.astype(np.uint64)))
+        for n in ORDERS:
+            own = joined[max(0, len(held) - n + 1) :]  # n-grams that end in this slice
+            if len(own) < n:
+                continue
+            h = np.full(len(own) - n + 1, n, np.uint64)
+            for i in range(n):
+                h = (h ^ own[i : len(own) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            total[:] += np.bincount((h & np.uint64(DIM - 1)).astype(np.int64), minlength=DIM)
+        held = joined[-(max(ORDERS) - 1) :]
+
+    for at in range(0, len(text), SLICE):
+        points = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = _letters()[points]
+        if letter.any() and not letters:
+            letters = True
+            count(np.array([32]))
+        keep = letter | np.concatenate(([before], letter[:-1]))  # of other characters the first after a letter
+        before = bool(letter[-1])
+        if keep.any():
+            count(np.where(letter, points, 32)[keep])
+    if before:
+        count(np.array([32]))
+    return total if letters else None
 
 
 def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -66,8 +82,13 @@ class Model:
     def __init__(self, languages: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float):
         self.languages, self.idf, self.weights, self.temperature = languages, idf, weights, temperature
 
-    def probabilities(self, counts: np.ndarray) -> np.ndarray:
-        z = (tfidf(counts, self.idf) @ self.weights[:-1] + self.weights[-1]) / self.temperature
+    def probabilities(self, counts) -> np.ndarray:
+        """For rows of bucket counts; only the buckets that a row has are multiplied."""
+        z = np.empty((len(counts), len(self.languages)), np.float32)
+        for i, c in enumerate(counts):
+            at = np.flatnonzero(c)
+            z[i] = tfidf(c[at], self.idf[at]) @ self.weights[at] + self.weights[-1]
+        z /= self.temperature
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
@@ -167,7 +188,7 @@ def _predict_batches(model: Model | None):
             for lo in range(0, b.num_rows, 64):
                 rows = [ngram_counts(t.as_py()) for t in texts[lo : lo + 64]]
                 known = [r for r in rows if r is not None] if model else []
-                p = iter(model.probabilities(np.array(known)) if known else ())
+                p = iter(model.probabilities(known) if known else ())
                 for r in rows:
                     q = next(p) if r is not None and model else None
                     langs.append("und" if q is None else model.languages[int(q.argmax())])
