@@ -4,8 +4,9 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover it whole. Learne
 embedded bytes of each chunk; their largest responses are the chunk's features. The mean and the
 maximum of these over all chunks go through a logistic unit, which gives one probability.
 
-The fit uses about ``SAMPLE`` labelled documents, at most ``TRAIN_CHUNKS`` chunks of each, drawn from the
-whole document; that is all that reaches the driver. Scoring reads every byte of every text.
+The fit uses a sample of labelled documents, whole: in the order of a hash of doc_id, up to about ``SAMPLE``
+of them and up to ``SAMPLE_BYTES`` together. That is all that reaches the driver. Scoring reads every byte
+of every text.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, load
+from .common import in_batches, load, materialise
 from .language_id import remainder
 
 CHUNK, OVERLAP = 1024, 64
 EMBED, FILTERS, STRIDE = 8, 24, 4  # a filter sees 2 * STRIDE bytes
-SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 3000, 8, 8, 32, 0.01
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE = 3000, 12 << 20, 8, 32, 0.01
 THRESHOLD = 0.3
 #: Chunks convolved at a time.
 SLICE = 64
@@ -67,7 +68,7 @@ class Network:
     def gradients(self, docs: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss over documents given as chunk rows."""
         p, rows = self.p, np.concatenate(docs)
-        z, at = self.pooled(rows, where=True)
+        z, at = (np.concatenate(x) for x in zip(*[self.pooled(rows[i : i + SLICE], where=True) for i in range(0, len(rows), SLICE)]))
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         starts = np.searchsorted(owner, np.arange(len(docs)))
         count = np.bincount(owner)[:, None]
@@ -108,21 +109,11 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Network
     return net
 
 
-def _sample_batches(batches):
-    for b in batches:
-        out = []
-        for t, seed in zip(b.column("text"), b.column("seed").to_pylist(), strict=True):
-            rows = chunks(t.as_py())
-            if len(rows) > TRAIN_CHUNKS:
-                rows = rows[np.sort(np.random.default_rng(abs(seed)).choice(len(rows), TRAIN_CHUNKS, replace=False))]
-            out.append(rows.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("seed"), b.column("quality"), pa.array(out, pa.binary())], names=["seed", "quality", "rows"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
     """Learn ``quality`` of labelled documents; rows with a null label are left out. None without labels.
 
-    Labels are narrow: they are thinned to the sample by a hash of doc_id before the texts are joined.
+    Labels are narrow: they are thinned to about ``sample`` by a hash of doc_id before they meet the texts.
+    Of these, in the order of the hash, each document is taken that still fits into ``sample_bytes``.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
@@ -131,14 +122,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     seed = F.xxhash64("doc_id", F.lit("quality"))
     unit = F.shiftrightunsigned(seed, 11) / F.lit(float(1 << 53))
     thin = lambda df: df.filter(unit < F.lit(min(1.0, sample / n)))
-    got = (
-        thin(in_batches(docs).select("doc_id", "text")).join(thin(known), "doc_id").select(seed.alias("seed"), "text", F.col("quality").cast("int").alias("quality"))
-        .mapInArrow(_sample_batches, "seed long, quality int, rows binary").toArrow()
+    texts = F.coalesce("text", F.lit(""))
+    chosen = materialise(
+        thin(docs.select("doc_id", "text")).join(thin(known), "doc_id")
+        .select(seed.alias("seed"), texts.alias("text"), F.col("quality").cast("int").alias("quality"), F.octet_length(texts).alias("size"), F.xxhash64(texts).alias("h")),
+        "labelled-sample",
     )
-    rows = sorted(zip(*[got.column(c).to_pylist() for c in ("seed", "quality", "rows")], strict=True))
-    if not rows:
+    left, picks = sample_bytes, []
+    for r in sorted(chosen.select("seed", "h", "size").collect()):
+        if r["size"] <= left:
+            left -= r["size"]
+            picks.append(tuple(r))
+    if not picks:
         return None
-    return train([np.frombuffer(r[2], np.uint8).reshape(-1, CHUNK) for r in rows], np.array([float(r[1]) for r in rows]))
+    picked = chosen.sparkSession.createDataFrame(sorted(set(picks)), "seed long, h long, size int")
+    rows = sorted((r["seed"], r["h"], r["quality"], r["text"]) for r in chosen.join(F.broadcast(picked), ["seed", "h", "size"]).collect())
+    return train([chunks(r[3]) for r in rows], np.array([float(r[2]) for r in rows]))
 
 
 def _score_batches(net: Network | None):

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -81,6 +82,35 @@ def test_awkward_rows(spark):
     assert {r["score"] for r in score(table(spark), None).collect()} == {0.5}
 
 
+def test_sample_is_bounded_and_whole(spark, monkeypatch):
+    """All chunks of a long labelled text are learned from; documents beyond the bytes are not."""
+    seen = []
+    monkeypatch.setattr(quality_cnn, "train", lambda docs, labels: seen.append((docs, labels)))
+    long = "word " * 4000
+    docs = table(spark, [(1, long, None), (2, "short", None), (3, None, None), (4, "x", None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    fit(docs, labels)
+    assert sorted(len(d) for d in seen[0][0]) == [1, 1, len(chunks(long))] and len(chunks(long)) > 20
+    fit(docs, labels, sample_bytes=10)
+    assert all(len(d) == 1 for d in seen[-1][0]) and fit(docs, labels.filter("doc_id = 1"), sample_bytes=10) is None
+
+
+def test_plain_forward_pass(spark):
+    """Scores equal a forward pass written without slices, strides or batches."""
+    net = fit(table(spark, [(i, t, None) for i, t, _ in labelled(1, 60)]), spark.createDataFrame([(i, q) for i, _, q in labelled(1, 60)], "doc_id long, quality int"))
+    test = labelled(6, 12)
+    got = {r["doc_id"]: r["score"] for r in score(table(spark, [(i, t, None) for i, t, _ in test]), net).collect()}
+    width, p = 2 * quality_cnn.STRIDE, net.p
+    for i, t, _ in test:
+        raw, features = t.encode(), []
+        for lo in range(0, max(1, len(raw) - OVERLAP), CHUNK - OVERLAP):
+            part = raw[lo : lo + CHUNK].ljust(CHUNK, b"\0")
+            x = [np.concatenate([p["embed"][b] for b in part[j : j + width]]) @ p["filter"] + p["bias"] for j in range(0, CHUNK - width + 1, quality_cnn.STRIDE)]
+            features.append(np.maximum(np.max(x, 0), 0))
+        s = np.mean(features, 0) @ p["mean"] + np.max(features, 0) @ p["max"] + p["out"][0]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-s)), abs=1e-4)
+
+
 def test_held_out_labels_teach_nothing(spark, tmp_path):
     data = labelled(4, 80)
     out = []
