@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, load, materialise
+from .simhash import word_slices
 
 SYMBOLS = "#*$%&|<>"
 COMMON_SHARE = 0.002
@@ -29,6 +30,8 @@ ALL = ""
 CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "quote", "symbol", "other")
 _STRIP = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _FLUSH = 500_000
+#: Characters of a text that are classed at a time.
+SLICE = 1 << 20
 
 
 def _class_table() -> np.ndarray:
@@ -57,13 +60,15 @@ _TABLE = _class_table()
 
 
 def class_counts(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    low = points < 0x3000
-    out = np.bincount(_TABLE[points[low]], minlength=len(CLASSES))
-    if not low.all():
-        high = [chr(p).isalpha() for p in points[~low].tolist()]
-        out[0] += sum(high)
-        out[8] += len(high) - sum(high)
+    out = np.zeros(len(CLASSES), np.int64)
+    for at in range(0, len(text), SLICE):
+        points = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")
+        low = points < 0x3000
+        out += np.bincount(_TABLE[points[low]], minlength=len(CLASSES))
+        if not low.all():
+            high = [chr(p).isalpha() for p in points[~low].tolist()]
+            out[0] += sum(high)
+            out[8] += len(high) - sum(high)
     return out
 
 
@@ -82,24 +87,29 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, d / 2)))
 
 
-def repeated_words(words: list[bytes], size: int = 3) -> int:
-    """Words that lie in a window of ``size`` words found at least twice."""
-    n = len(words) - size + 1
+def numbered(text: str) -> tuple[np.ndarray, dict[bytes, int]]:
+    """The words of a text as numbers, and the number of each word; only a slice's words are held at a time."""
+    known: dict[bytes, int] = {}
+    parts = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)) for words in word_slices(text.encode("utf-8", "surrogatepass"))]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), known
+
+
+def repeated_words(ids: np.ndarray, size: int = 3) -> int:
+    """Words, given as numbers, that lie in a window of ``size`` words found at least twice."""
+    n = len(ids) - size + 1
     if n < 2:
         return 0
-    known: dict[bytes, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-    code = ids[:n]
+    code, base = ids[:n], int(ids.max()) + 1
     for k in range(1, size):
-        code = np.unique(code * len(known) + ids[k : k + n], return_inverse=True)[1]
+        code = np.unique(code * base + ids[k : k + n], return_inverse=True)[1]
     again = np.bincount(code)[code] > 1
-    covered = np.zeros(len(words), bool)
+    covered = np.zeros(len(ids), bool)
     for k in range(size):
         covered[k : k + n] |= again
     return int(covered.sum())
 
 
-def base_figures(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
+def base_figures(text: str, ids: np.ndarray) -> tuple[int, int, int, int]:
     """word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     seen, dup = set(), 0
     for line in text.split("\n"):
@@ -107,7 +117,7 @@ def base_figures(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
             dup += line in seen
             seen.add(line)
     chars = len(text) - sum(text.count(c) for c in " \t\n\x0b\x0c\r")
-    return chars, sum(text.count(c) for c in SYMBOLS), dup, repeated_words(words)
+    return chars, sum(text.count(c) for c in SYMBOLS), dup, repeated_words(ids)
 
 
 def _reference_batches(batches):
@@ -130,7 +140,9 @@ def _reference_batches(batches):
                 continue
             lang = lang or ALL
             classes[lang] = classes.get(lang, 0) + class_counts(text)
-            words.setdefault(lang, Counter()).update(text.encode("utf-8", "surrogatepass").split())
+            counter = words.setdefault(lang, Counter())
+            for some in word_slices(text.encode("utf-8", "surrogatepass")):
+                counter.update(some)
         if sum(map(len, words.values())) > _FLUSH:
             words = {g: _formed(c) for g, c in words.items()}
             yield flush()
@@ -179,15 +191,15 @@ def references(docs: DataFrame, share: float = COMMON_SHARE) -> References:
     return References(rows, totals)
 
 
-def distances(text: str, words: list[bytes], lang: str | None, ref: References) -> tuple[float | None, float | None]:
+def distances(text: str, ids: np.ndarray, known: dict[bytes, int], lang: str | None, ref: References) -> tuple[float | None, float | None]:
     """Distances of the character classes and of the common words; None where the text is too short."""
     g = lang if lang in ref.classes else ALL
     by_class = js_distance(class_counts(text), ref.classes[g]) if len(text) >= MIN_CHARS and g in ref.classes else None
     by_word = None
-    if len(words) >= MIN_WORDS and g in ref.words:
+    if len(ids) >= MIN_WORDS and g in ref.words:
         at, counts = ref.words[g], np.zeros(len(ref.words[g]) + 1)
-        for w, n in _formed(Counter(words)).items():
-            counts[at.get(w, -1)] += n
+        bins = np.fromiter((at.get(common_form(w), -1) for w in known), np.int64, len(known))
+        np.add.at(counts, bins, np.bincount(ids, minlength=len(known)))
         by_word = js_distance(counts, ref.histograms[g])
     return by_class, by_word
 
@@ -198,12 +210,12 @@ def _judge_batches(ref: References):
             out = []
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
                 text = text.as_py() or ""
-                words = text.encode("utf-8", "surrogatepass").split()
-                chars, symbols, dup, repeat = base_figures(text, words)
-                failed = len(words) < MIN_BASE_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words)
-                a, c = distances(text, words, lang, ref)
+                ids, known = numbered(text)
+                chars, symbols, dup, repeat = base_figures(text, ids)
+                failed = len(ids) < MIN_BASE_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(ids)
+                a, c = distances(text, ids, known, lang, ref)
                 kept = not failed and (a is None or a <= MAX_CLASS_DISTANCE) and (c is None or c <= MAX_WORD_DISTANCE)
-                out.append((len(words), chars, symbols, dup, repeat, failed, kept, a, c))
+                out.append((len(ids), chars, symbols, dup, repeat, failed, kept, a, c))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             columns = zip(*out, strict=True) if out else [()] * 9
             arrays = [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]

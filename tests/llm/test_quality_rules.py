@@ -60,17 +60,68 @@ def test_against_brute_force(spark):
     for i, t, g in data:
         base = brute_base(t)
         failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-        a, b = q.distances(t or "", [w.encode() for w in WORD.findall(t or "")], g, ref)
+        a, b = q.distances(t or "", *q.numbered(t or ""), g, ref)
         ok = not failed and (a is None or a <= q.MAX_CLASS_DISTANCE) and (b is None or b <= q.MAX_WORD_DISTANCE)
         want.append(repr((i, *base, failed, ok)))
     got = q.judge(table(spark), ref).collect()
     assert sorted(repr(tuple(r)[:8]) for r in got) == sorted(want)
 
 
+def plain_distance(p, r):
+    total = lambda x: sum(x.values())
+    keys = set(p) | set(r)
+    a, b = ({k: x.get(k, 0) / total(x) for k in keys} for x in (p, r))
+    return math.sqrt(sum(v * math.log2(2 * v / (a[k] + b[k])) / 2 for x in (a, b) for k, v in x.items() if v))
+
+
+def test_distances_against_plain_dictionaries(spark):
+    data = rows()
+    ref = q.references(table(spark))
+    classes, common, totals = brute_references(data)
+    for _, t, g in data:
+        t = t or ""
+        words = WORD.findall(t)
+        a, b = q.distances(t, *q.numbered(t), g, ref)
+        key = g if g in classes else q.ALL
+        assert (a is None) == (len(t) < q.MIN_CHARS) and (b is None) == (len(words) < q.MIN_WORDS)
+        if a is not None:
+            assert a == pytest.approx(plain_distance(Counter(q.CLASSES[int(np.flatnonzero(q.class_counts(c))[0])] for c in t), classes[key]), abs=1e-6)
+        if b is not None:
+            mine = Counter(w if w in common[key] else None for w in (q.common_form(w.encode()) for w in words))
+            theirs = {**common[key], None: totals[key] - sum(common[key].values())}
+            assert b == pytest.approx(plain_distance(mine, theirs), abs=1e-6)
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS three FROM w, unnest(range(1, len(w) - 1)) r(i)),
+again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 3) s(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n
+          FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+       coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+       len(w) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(w) AS base_failed
+FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+"""
+
+
+def test_base_figures_in_sql(spark):
+    """Every row's base figures on a whole bench table, computed by DuckDB."""
+    import duckdb
+
+    path = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    want = Counter((a, b, c or 0, *r) for a, b, c, *r in con.execute(BASE_SQL).fetchall())
+    assert Counter(tuple(r)[:7] for r in q.op5_quality_rules(spark, path).collect()) == want
+
+
 def test_guards_and_verdict(spark):
     data = rows()
     ref = q.references(table(spark, data))
-    a, b = q.distances("short", [b"short"], "en", ref)
+    a, b = q.distances("short", *q.numbered("short"), "en", ref)
     assert a is None and b is None
     junk = " ".join(f"q{i}x***" for i in range(300))
     got = {r["doc_id"]: r for r in q.judge(table(spark, [(1, junk, "en"), (2, data[0][1] * 3, data[0][2]), (3, junk, "unknown"), (4, None, "en")]), ref).collect()}
