@@ -60,6 +60,78 @@ def test_dot_product_prefers_aligned_pieces():
     assert [d for d, _, _ in first][:2] == [0, 3]  # the largest that fits, then the one that fills it
 
 
+def plain_pack(docs, tokens, segments, loss):
+    """The packing rule over a plain list of pieces (document, start, end, first token that bears loss)."""
+    cost = lambda p: (p[2] - p[1], 1, max(0, p[2] - max(p[1], p[3])))
+    limits, pieces, kinds, out = (tokens, segments, loss), [], [], []
+
+    def put(*p):
+        pieces.append(p)
+        if cost(p) not in kinds:
+            kinds.append(cost(p))
+
+    def take(options, key):
+        """The best kind, the one seen first among equals, and of it the piece that came last."""
+        kind = max((kinds.index(cost(p)) for p in options), key=lambda k: (key(kinds[k]), -k))
+        p = [p for p in pieces if cost(p) == kinds[kind]][-1]
+        pieces.remove(p)
+        return p
+
+    for d, (n, bears) in enumerate(docs):
+        at = 0
+        while n - at >= tokens and tokens - max(0, min(tokens, bears - at)) <= loss:
+            out.append([(d, at, at + tokens)])
+            at += tokens
+        if at < n:
+            put(d, at, n, bears)
+    while pieces:
+        left, parts = list(limits), []
+        while left[0] > 0 and left[1] > 0:
+            fits = [p for p in pieces if all(c <= x for c, x in zip(cost(p), left))]
+            exact = [p for p in fits if left[1] > 1 or cost(p)[0] == left[0]]
+            large = [p for p in pieces if cost(p)[0] > left[0] or cost(p)[2] > left[2]]
+            if exact:
+                p = take(exact, lambda c: sum(a * x / m / m for a, x, m in zip(c, left, limits)))
+            else:
+                p = None
+                if large:
+                    d, a, b, bears = take(large, lambda c: c[0])
+                    cut = min(a + left[0], max(a, bears) + left[2])
+                    if cut > a:
+                        put(d, cut, b, bears)
+                        p = (d, a, cut, bears)
+                    else:
+                        put(d, a, b, bears)
+                if p is None and left[1] == 1 and fits:
+                    p = take(fits, lambda c: c[0])
+                if p is None:
+                    break
+            parts.append(p)
+            left = [x - c for x, c in zip(left, cost(p))]
+        have = sum(b - a for _, a, b, _ in parts)
+        if have < tokens:
+            over = have - (1 << (have.bit_length() - 1))
+            while over:
+                d, a, b, bears = parts.pop()
+                keep = max(a, b - over)
+                over -= b - keep
+                put(d, keep, b, bears)
+                if keep > a:
+                    parts.append((d, a, keep, bears))
+        out.append([p[:3] for p in parts])
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(0, 60)), max_size=25), st.sampled_from([(16, 4, 16), (16, 3, 9), (32, 5, 20), (8, 2, 3)]))
+def test_against_a_plain_packer(docs, limits):
+    """Every choice of the dot product among all waiting pieces, with prompts that bear no loss."""
+    p = Packer(*limits)
+    for i, (n, bears) in enumerate(docs):
+        p.add(i, n, bears)
+    assert p.run(True) == plain_pack(docs, *limits)
+
+
 @pytest.mark.parametrize("block", [4_000_000, 300])
 def test_operator(spark, monkeypatch, block):
     monkeypatch.setattr(packing, "BLOCK_TOKENS", block)
