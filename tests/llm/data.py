@@ -3,6 +3,12 @@
 import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, sha string, shard int, removed string, k long, unit int, fp long"
+#: Names that operators give to columns of their own, now or before.
+NAMES = (
+    "__key __cut __k __units __doc_id __sha __hash node lost_id lost_sha units cut unit_doc bit bits block depth prefix low chain keep_id n_rows group_size kept "
+    "route band count first last n least component_id root u v a b t seed size quality pos bucket rank base slot law loss_start words hi lo text_hash score fold at number"
+).split()
+SCHEMA += "".join(f", {c} string" for c in NAMES)
 LANG_WORDS = {
     "en": "the of and to in is that with for was this from they have".split(), "de": "der die und das ist nicht ein für auf mit sich des dem über".split(),
     "fr": "le la les et des est une pour dans que pas sur avec être".split(), "es": "el los que una por con para está como más pero sus año ñu".split(),
@@ -38,7 +44,7 @@ def rows(seed=1, n=60):
 def table(spark, data=None):
     """The rows with columns whose names the operators use themselves."""
     data = rows() if data is None else data
-    return spark.createDataFrame([(i, t, g, None, None, 1, "s", 2, "r", 3, 4, 5) for i, t, g in data], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, g, None, None, 1, "s", 2, "r", 3, 4, 5, *NAMES) for i, t, g in data], SCHEMA).repartition(3)
 
 
 def lower_az(t):
