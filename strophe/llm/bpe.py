@@ -2,11 +2,11 @@
 
 A document is cut by the tokenizer's pattern. Words that a worker has not seen are encoded together: their
 single-byte tokens become rows (word, position, token), and a recursive query joins neighbours to the merge
-table and contracts each word's pairs of least rank, from the left, until no pair is left. The recursion is
-keyed by word and position, so it holds one row a byte, however many rounds it takes. A round contracts all
-pairs of the least rank that don't overlap, unless some token of lower rank holds the new token's bytes
-before its own end: only then could what grows out of one contraction reach the next one first, and a round
-contracts the leftmost pair alone.
+table and contracts each word's leftmost pair of least rank until no pair is left. The recursion is keyed
+by word and position, so it holds one row a byte, however many rounds it takes. Words of over LONG bytes
+would take many rounds: there a round contracts all pairs of the least rank that don't overlap, unless some
+token of lower rank holds the new token's bytes before its own end. Only then could what grows out of one
+contraction reach the next one first, and the round contracts the leftmost pair alone.
 
 A query takes words of at most QUERY_BYTES together. Long words are first cut between bytes that no token
 has side by side, which no merge can cross. What is still longer than CHUNK is encoded piece by piece: each
@@ -34,38 +34,52 @@ from .packing import _per_worker
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of words and of what is kept of them, counting KEPT for each, beyond which a worker's cache is emptied.
-CACHE_BYTES, KEPT = 128 << 20, 300
+CACHE_BYTES, KEPT = 320 << 20, 300
 #: Bytes that a recursive query takes, of a word that is cut, of a piece of one, and characters gathered before new words are encoded.
-QUERY_BYTES, LONG, CHUNK, GATHER = 1 << 18, 64, 1 << 16, 8_000_000
+QUERY_BYTES, LONG, CHUNK, GATHER = 1 << 17, 64, 1 << 16, 8_000_000
 #: Words of a long text that are held at a time.
 BLOCK = 500_000
 #: Tokens before a piece that are encoded with it at first, and the factor by which they become more.
 BACK, MORE = 8, 4
 
+#: Each round contracts the leftmost pair of least rank of each word (words of up to LONG bytes).
 _ENCODE = """
-WITH RECURSIVE step(w, pos, tok) USING KEY (w, pos) AS (
-  SELECT w, pos, tok FROM start
+WITH RECURSIVE step(id, tok) USING KEY (id) AS (
+  SELECT (w << 20) | pos, tok FROM start
   UNION ALL
-  SELECT w, pos, CASE WHEN lag(taken) OVER word THEN NULL WHEN taken THEN rank ELSE tok END
-  FROM (
-    SELECT *, rank = best AND CASE WHEN alone THEN n = leftmost ELSE (n - coalesce(other, 0)) % 2 = 1 END AS taken
-    FROM (
-      SELECT *, max(n) FILTER (WHERE rank IS DISTINCT FROM best) OVER word AS other, min(n) FILTER (WHERE rank = best) OVER (PARTITION BY w) AS leftmost
-      FROM (
-        SELECT s.*, m.rank, m.alone, min(m.rank) OVER (PARTITION BY w) AS best
-        FROM (
-          SELECT *, lead(tok) OVER word AS nxt, row_number() OVER word AS n FROM step WHERE tok IS NOT NULL
-          WINDOW word AS (PARTITION BY w ORDER BY pos)
-        ) s
-        LEFT JOIN merges m ON m.pair = (s.tok << 20) | s.nxt
-      )
-      WHERE best IS NOT NULL
-      WINDOW word AS (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING)
-    )
-  )
-  WINDOW word AS (PARTITION BY w ORDER BY pos)
+  (WITH scored AS MATERIALIZED (
+     SELECT id, tok, id >> 20 AS w, (m.rank << 40) | ((id & 1048575) << 20) | (after & 1048575) AS score
+     FROM (SELECT *, lead(tok) OVER line AS nxt, lead(id) OVER line AS after FROM step WHERE tok IS NOT NULL WINDOW line AS (ORDER BY id)) s
+     LEFT JOIN merges m ON m.pair = (s.tok << 20) | s.nxt AND s.after >> 20 = s.id >> 20
+   ), best AS (
+     SELECT w, min(score) AS least FROM scored GROUP BY w HAVING least IS NOT NULL
+   )
+   SELECT id, CASE id & 1048575 WHEN least & 1048575 THEN NULL WHEN (least >> 20) & 1048575 THEN least >> 40 ELSE tok END
+   FROM scored JOIN best USING (w))
 )
-SELECT w, tok FROM step WHERE tok IS NOT NULL ORDER BY w, pos
+SELECT id >> 20 AS w, tok FROM step WHERE tok IS NOT NULL ORDER BY id
+"""
+
+#: Each round contracts every pair of least rank that the contractions to its left leave over (longer pieces).
+_ENCODE_LONG = """
+WITH RECURSIVE step(id, tok) USING KEY (id) AS (
+  SELECT (w << 20) | pos, tok FROM start
+  UNION ALL
+  (WITH scored AS MATERIALIZED (
+     SELECT id, tok, id >> 20 AS w, n, m.rank, m.alone
+     FROM (SELECT *, lead(tok) OVER line AS nxt, lead(id) OVER line AS after, row_number() OVER line AS n FROM step WHERE tok IS NOT NULL WINDOW line AS (ORDER BY id)) s
+     LEFT JOIN merges m ON m.pair = (s.tok << 20) | s.nxt AND s.after >> 20 = s.id >> 20
+   ), best AS (
+     SELECT w, min((rank << 40) | n) AS least FROM scored GROUP BY w HAVING least IS NOT NULL
+   ), runs AS (
+     SELECT s.*, least, coalesce(max(CASE WHEN rank IS DISTINCT FROM least >> 40 THEN n END) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS before
+     FROM scored s JOIN best USING (w)
+   ), marked AS (
+     SELECT *, rank = least >> 40 AND CASE WHEN alone THEN n = least & 1099511627775 ELSE (n - before) % 2 = 1 END AS taken FROM runs
+   )
+   SELECT id, CASE WHEN lag(taken) OVER (ORDER BY n) THEN NULL WHEN taken THEN rank ELSE tok END FROM marked)
+)
+SELECT id >> 20 AS w, tok FROM step WHERE tok IS NOT NULL ORDER BY id
 """
 
 _DECODE = """
@@ -124,12 +138,12 @@ class DuckBpe:
         ids = dict.fromkeys(p for x in pieces for p in x)
         part, size = [], 0
         for p in sorted(ids, key=len):
+            if part and (size + len(p) > QUERY_BYTES or len(part[0]) <= LONG < len(p)):
+                ids.update(zip(part, self._merge_part(part), strict=True))
+                part, size = [], 0
             if len(p) > CHUNK:
                 ids[p] = self._merge_long(p)
                 continue
-            if part and size + len(p) > QUERY_BYTES:
-                ids.update(zip(part, self._merge_part(part), strict=True))
-                part, size = [], 0
             part.append(p)
             size += len(p)
         if part:
@@ -137,10 +151,11 @@ class DuckBpe:
         return [ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x]) for x in pieces]
 
     def _merge_part(self, part: list[bytes]) -> list[bytes]:
+        """Ids of words that are all of up to LONG bytes, or all longer."""
         w, pos = self._rows(np.fromiter(map(len, part), np.int64, len(part)))
         tok = self.byte[np.frombuffer(b"".join(part), np.uint8)]
         self.db.register("start", pa.table({"w": w, "pos": pos, "tok": tok}))
-        got = self.db.execute(_ENCODE).fetchnumpy()
+        got = self.db.execute(_ENCODE_LONG if len(part[-1]) > LONG else _ENCODE).fetchnumpy()
         self.db.unregister("start")
         ids = np.asarray(got["tok"]).astype("<u4").tobytes()
         ends = 4 * np.cumsum(np.bincount(got["w"], minlength=len(part)))
