@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import filename_timestamp, lyric_id
 from ..functions.text import normalize_names
+from ..schema import CATALOGUE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The demonstration catalogue, stored once a session in the shared folder, as an engine's catalogue is."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{base.rstrip('/')}/strophe-demo/{key[0]}-{uuid.uuid4().hex}"
+        build(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(CATALOGUE).parquet(_STORED[key])
+
+
+def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One song a document; names come from parts and suppliers by the document's number."""
     docs, part, supp, bench = (_table(spark, sf_dir, t) for t in ("documents", "part", "supplier", "benchmark"))
     n_part, n_supp, n_bench = part.count(), supp.count(), bench.count()
@@ -39,7 +56,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     named = {f"normalized_{k}_names": normalize_names(F.col(f"{k}_names")) for k in ("track", "artist", "album")}
     f = F.col("filename")
-    return rows.withColumns({"id": lyric_id(f), "timestamp": filename_timestamp(f), **named, "raw_ttml": F.lit("")})
+    return rows.withColumns({"id": lyric_id(f), "timestamp": filename_timestamp(f), **named, "raw_ttml": F.lit("")}).select(*CATALOGUE.names)
 
 
 def _norm(names: str) -> str:

@@ -5,8 +5,12 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import logging
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +23,11 @@ from ..sources.ttml import parse
 from . import dialect
 from .dialect import BadRequest
 
+log = logging.getLogger(__name__)
+
 WEAK_HITS = 10
+#: Lyric files fetched at a time for a page.
+FETCHES = 10
 #: Cache-Control by kind of route; fixed values.
 CACHE_CONTROL = {
     "exact": "public, max-age=1209600, s-maxage=2592000",
@@ -61,39 +69,65 @@ def is_weak(meta: DataFrame) -> bool:
     return row["n"] < WEAK_HITS or row["best"] < MEDIUM
 
 
-def search_lyric(catalogue: DataFrame, query: SearchQuery, page: Pagination) -> DataFrame:
-    """All merged hits of a hybrid search for a page, ordered; lyric hits are limited by the page's window."""
+NO_LYRICS = "id long, timestamp long, rank double, field string, snippet string"
+
+
+def search_lyric(
+    catalogue: DataFrame, query: SearchQuery, page: Pagination, index: fulltext.TrigramIndex | None = None, held: list | None = None, lyrics: bool = True
+) -> DataFrame:
+    """All merged hits of a hybrid search for a page, ordered; lyric hits are limited by the page's window.
+
+    ``index`` is the catalogue's stored trigram index. Metadata hits are scored once; to keep them for the
+    merge they are persisted, and appended to ``held`` for the caller to release. Without ``held`` they are
+    scored again. Without ``lyrics`` no lyric is a hit.
+    """
     songs = catalogue.select(*SONG_COLUMNS)
     meta = search_hits(songs, query).select("id", "timestamp", "score")
+    if held is not None:
+        held.append(meta.persist())
     explicit = query.lyric_text is not None
     keyword = query.lyric_text if explicit else query.q if query.q is not None and is_weak(meta) else None
-    if keyword is None:
-        lyric = catalogue.sparkSession.createDataFrame([], "id long, rank double, field string, snippet string")
+    if keyword is None or not lyrics:
+        lyric = catalogue.sparkSession.createDataFrame([], NO_LYRICS)
     else:
-        lyric = fulltext.search(catalogue, keyword, page.lyric_window)
+        lyric = fulltext.search(catalogue, keyword, page.lyric_window, index=index)
     full = explicit and not query.has_text and query.author_id is None and query.author_username is None
     if explicit and not full:
         full = meta.count() == songs.count()
     return ranking.ordered(ranking.merge(songs, meta, lyric, explicit, full))
 
 
-def search_page(catalogue: DataFrame, query: SearchQuery, page: Pagination) -> tuple[DataFrame, dict]:
-    """Native items of a page, in order, and the page's description."""
-    hits = search_lyric(catalogue, query, page).persist()
+def search_page(catalogue: DataFrame, query: SearchQuery, page: Pagination, index: fulltext.TrigramIndex | None = None) -> tuple[DataFrame, dict]:
+    """Native items of a page, in order, and the page's description.
+
+    If the lyric search fails, the page has metadata hits only.
+    """
+    held: list[DataFrame] = []
     try:
-        info = page.info(hits.count())
+        try:
+            hits = search_lyric(catalogue, query, page, index, held).persist()
+            held.append(hits)
+            info = page.info(hits.count())
+        except (PySparkException, Py4JError):
+            if query.lyric_text is None and query.q is None:
+                raise
+            log.exception("lyric search failed")
+            hits = search_lyric(catalogue, query, page, None, held, lyrics=False).persist()
+            held.append(hits)
+            info = page.info(hits.count())
         top = page.slice(ranking.ordered(hits)).withColumn("place", F.monotonically_increasing_id())
         rows = top.drop("timestamp").join(catalogue.select(*SONG_COLUMNS), "id").orderBy("place")
         items = projection.song_item(rows, snippet="snippet", has_context=F.col("field").isNotNull())
         # the page holds at most 100 rows
         return catalogue.sparkSession.createDataFrame(items.collect(), items.schema), info
     finally:
-        hits.unpersist()
+        for df in held:
+            df.unpersist()
 
 
-def search_response(catalogue: DataFrame, query: str) -> str:
+def search_response(catalogue: DataFrame, query: str, index: fulltext.TrigramIndex | None = None) -> str:
     asked, page = dialect.parse_search(query)
-    items, info = search_page(catalogue, asked, page)
+    items, info = search_page(catalogue, asked, page, index)
     rows = [json.loads(r["json"]) for r in projection.to_json(items).collect()]
     return _json({"status": 200, "data": {"items": rows, "pagination": info}})
 
@@ -112,26 +146,53 @@ def get_response(catalogue: DataFrame, query: str, fetch: Callable[[str], str |
     return _json({"status": 200, "data": json.loads(projection.to_json(projection.song_item(one, lyrics="raw")).first()["json"])})
 
 
-def _compatible(catalogue: DataFrame, hits: DataFrame) -> DataFrame:
-    texts = catalogue.select("id", F.nullif("raw_ttml", F.lit("")).alias("raw"))
-    return hits.join(texts, "id").withColumn("formatted", formatted(parse("raw")["lines"]))
+Fetch = Callable[[str], str | None]
+
+
+def _compatible(catalogue: DataFrame, hits: DataFrame, fetch: Fetch | None, strict: bool) -> DataFrame:
+    """Compatibility items of a page of at most 100 hits, in order, with the stored files or ``fetch``'s.
+
+    A file that is neither stored nor fetched leaves its item without lyrics, or, if ``strict``, raises the
+    error of the fetch. The page's ids are pushed to the scan of the files.
+    """
+    spark, rows = catalogue.sparkSession, hits.collect()
+    stored = catalogue.filter(F.col("id").isin([r["id"] for r in rows])).select("id", "raw_ttml").collect() if rows else []
+    texts = {r["id"]: r["raw_ttml"] for r in stored if r["raw_ttml"]}
+
+    def get(name: str) -> str | None:
+        try:
+            found = fetch(name) if fetch is not None else None
+            if found is None:
+                raise Upstream(f"no lyric file for {name}")
+            return found
+        except Exception:
+            if strict:
+                raise
+            log.warning("no lyric file for %s", name)
+            return None
+
+    lost = [r for r in rows if r["id"] not in texts]
+    with ThreadPoolExecutor(FETCHES) as pool:
+        texts.update(zip([r["id"] for r in lost], pool.map(get, [r["filename"] for r in lost]), strict=True))
+    raw = spark.createDataFrame([(i, r["id"], texts[r["id"]]) for i, r in enumerate(rows)], "place long, text_id long, raw string")
+    known = spark.createDataFrame(rows, hits.schema)
+    items = known.join(raw, F.col("id") == F.col("text_id")).withColumn("formatted", formatted(parse("raw")["lines"]))
+    return projection.lrclib_item(items.orderBy("place"))
 
 
-def lrclib_search(catalogue: DataFrame, query: str) -> DataFrame:
-    """Compatibility items of a page; metadata only, missing lyrics are null."""
+def lrclib_search(catalogue: DataFrame, query: str, fetch: Fetch | None = None) -> DataFrame:
+    """Compatibility items of a page; lyrics that are neither stored nor fetched are null."""
     asked, page = dialect.parse_search(query, dialect.LRCLIB_SEARCH)
-    hits = page.slice(search_by_fields(catalogue.select(*SONG_COLUMNS), asked))
-    order = F.desc("score"), F.desc("timestamp"), F.asc("id")
-    return projection.lrclib_item(_compatible(catalogue, hits).orderBy(*order))
+    return _compatible(catalogue, page.slice(search_by_fields(catalogue.select(*SONG_COLUMNS), asked)), fetch, strict=False)
 
 
-def lrclib_get(catalogue: DataFrame, query: str) -> DataFrame:
-    """The best hit's compatibility item, if it is of medium tier at least."""
+def lrclib_get(catalogue: DataFrame, query: str, fetch: Fetch | None = None) -> DataFrame:
+    """The best hit's compatibility item, if it is of medium tier at least; a file that can't be had is an error."""
     hits = search_by_fields(catalogue.select(*SONG_COLUMNS), dialect.parse_exact(query)).limit(1).filter(F.col("score") >= MEDIUM)
-    return projection.lrclib_item(_compatible(catalogue, hits))
+    return _compatible(catalogue, hits, fetch, strict=True)
 
 
-def lrclib_get_by_id(catalogue: DataFrame, id_text: str) -> DataFrame:
+def lrclib_get_by_id(catalogue: DataFrame, id_text: str, fetch: Fetch | None = None) -> DataFrame:
     from ..functions.ids import InvalidId, parse_id
 
     try:
@@ -139,7 +200,7 @@ def lrclib_get_by_id(catalogue: DataFrame, id_text: str) -> DataFrame:
     except InvalidId as e:
         raise BadRequest(str(e)) from None
     hits = lookup.find_by_ids(catalogue.select(*SONG_COLUMNS), lookup.IdQuery(id=wanted))
-    return projection.lrclib_item(_compatible(catalogue, hits))
+    return _compatible(catalogue, hits, fetch, strict=True)
 
 
 def lrclib_response(items: DataFrame, single: bool = False) -> str:
