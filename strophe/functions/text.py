@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Traditional to Simplified characters, a small general set in natural order. Callers with a full
-#: dictionary pass their own pair of equally long strings.
+#: Traditional to Simplified characters, a small general set in natural order. Callers with a dictionary
+#: pass their own: a pair of equally long strings, or phrases as :func:`load_phrases` reads them.
 TRADITIONAL = "愛東車馬長門風飛魚鳥龍語說話時間過還來個們國開關聽見學樂夢淚歲雲電頭華萬與這裡對從會點現無聲傷傑倫輪戀離後歡"
 SIMPLIFIED = "爱东车马长门风飞鱼鸟龙语说话时间过还来个们国开关听见学乐梦泪岁云电头华万与这里对从会点现无声伤杰伦轮恋离后欢"
 
@@ -53,8 +54,23 @@ def normalize_text(s: str) -> str:
     return " ".join(s.replace("acoustic version", "acoustic").split())
 
 
-def simplify_text(s: str, table: tuple[str, str] = (TRADITIONAL, SIMPLIFIED)) -> str:
-    return s.translate(str.maketrans(*table))
+def load_phrases(path: str) -> dict[str, str]:
+    """A conversion table from a file of ``phrase<TAB>replacement`` lines; of several replacements the first."""
+    with open(path, encoding="utf-8") as f:
+        pairs = [line.split("\t", 1) for line in f.read().splitlines() if "\t" in line and not line.startswith("#")]
+    return {k: v.split()[0] for k, v in pairs if k and v.split()}
+
+
+def simplify_text(s: str, table: tuple[str, str] | Mapping[str, str] = (TRADITIONAL, SIMPLIFIED)) -> str:
+    """Replace characters, or phrases, of which the longest that begins at a place counts."""
+    if not isinstance(table, Mapping):
+        return s.translate(str.maketrans(*table))
+    out, at, most = [], 0, max(map(len, table), default=0)
+    while at < len(s):
+        n = next((n for n in range(min(most, len(s) - at), 0, -1) if s[at : at + n] in table), 0)
+        out.append(table[s[at : at + n]] if n else s[at])
+        at += n or 1
+    return "".join(out)
 
 
 def tokens(normalized: Column) -> Column:

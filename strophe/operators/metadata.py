@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ class SearchQuery:
     lyric_text: str | None = None
     author_id: str | None = None
     author_username: str | None = None
+    #: Conversion of Traditional characters or phrases, see :func:`simplify_text`; None is the built-in one.
+    table: Mapping[str, str] | None = field(default=None, compare=False, repr=False)
 
     @property
     def has_text(self) -> bool:
@@ -28,7 +32,8 @@ class SearchQuery:
 
     def prepared(self) -> SearchQuery:
         """With simplified, normalised names; author fields stay as given."""
-        norm = lambda s: None if s is None else normalize_text(simplify_text(s))
+        plain = simplify_text if self.table is None else partial(simplify_text, table=self.table)
+        norm = lambda s: None if s is None else normalize_text(plain(s))
         return replace(self, q=norm(self.q), track=norm(self.track), artist=norm(self.artist), album=norm(self.album))
 
 

@@ -1,10 +1,16 @@
-"""A catalogue on Parquet as numbered versions behind one pointer, and its incremental update."""
+"""A catalogue on Parquet as a base with small deltas behind a log of states, and its incremental update."""
 
 from __future__ import annotations
 
 import json
+import logging
+import time
+import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +18,25 @@ from ..schema import CATALOGUE
 from . import files, index
 from .ttml import build_catalogue
 
+log = logging.getLogger(__name__)
+
 INCREMENTAL_LIMIT = 500
+#: Deltas, and rows in them, from which they are merged into a new base. The latter bounds what a read broadcasts.
+DELTAS, DELTA_ROWS = 16, 20_000
+#: States whose folders are kept for readers, and seconds after which the lock of a sync that died is broken.
+KEPT_STATES, LEASE = 3, 3600
+
+
+class Busy(RuntimeError):
+    """Another sync runs."""
 
 
 class Catalogue:
-    """``root/pointer`` names the current version's folder and carries key-value marks.
+    """``root/log`` holds numbered states: the base folder, the deltas over it in order, and key-value marks.
 
-    A version is never changed once written. Readers keep the folder they opened; the pointer is replaced
-    after the new folder is complete, so a failed write leaves the old version current.
+    Folders and states are never changed once written. A new state is a file that must not exist yet, so of
+    two writers one has to read again; a state that a crash left incomplete is passed over. Readers keep
+    the folders they opened as long as these belong to one of the last states.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -30,48 +47,126 @@ class Catalogue:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _state(self) -> dict:
-        fs, path = self._path("pointer")
-        if not fs.exists(path):
-            return {"version": 0, "meta": {}}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/pointer").collect()))
-
-    def _save(self, state: dict) -> None:
-        fs, path = self._path("pointer")
+    def _create(self, name: str, text: str) -> bool:
+        """Write a file unless it exists; whether it was written."""
+        fs, path = self._path(name)
         fs.mkdirs(path.getParent())
-        out = fs.create(path, True)
-        out.write(bytearray(json.dumps(state).encode()))
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        out.write(bytearray(text.encode()))
         out.close()
+        return True
+
+    def _states(self) -> list[tuple[int, dict | None]]:
+        """Number and content of each state, newest first; None for one that is not complete."""
+        fs, path = self._path("log")
+        if not fs.exists(path):
+            return []
+        out = []
+        read = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+        for number in sorted((int(x.getPath().getName().split(".")[0]) for x in fs.listStatus(path)), reverse=True):
+            stream = fs.open(self._path(f"log/{number:012d}.json")[1])
+            try:
+                out.append((number, json.loads(read.toString(stream, "UTF-8"))))
+            except ValueError:
+                out.append((number, None))
+            finally:
+                stream.close()
+        return out
+
+    def _state(self) -> dict:
+        return next((s for _, s in self._states() if s is not None), {"base": None, "deltas": [], "meta": {}})
+
+    def _update(self, change: Callable[[dict], dict]) -> None:
+        """Write the next state; where another writer was first, change what it wrote."""
+        while True:
+            number = next((n for n, _ in self._states()), 0) + 1
+            if self._create(f"log/{number:012d}.json", json.dumps(change(self._state()))):
+                break
+        known = self._states()
+        for n, _ in known[4 * KEPT_STATES :]:
+            fs, path = self._path(f"log/{n:012d}.json")
+            fs.delete(path, False)
+
+    def _sweep(self) -> None:
+        """Delete the folders that none of the last states names."""
+        states = [s for _, s in self._states() if s is not None][:KEPT_STATES]
+        named = {f for s in states for f in (s["base"], *(d["folder"] for d in s["deltas"])) if f}
+        fs, path = self._path("data")
+        for x in fs.listStatus(path) if fs.exists(path) else ():
+            if x.getPath().getName() not in named and x.getModificationTime() < 1000 * (time.time() - LEASE):
+                fs.delete(x.getPath(), True)
 
     def meta(self, key: str) -> str | None:
         return self._state()["meta"].get(key)
 
     def set_meta(self, key: str, value: str) -> None:
-        state = self._state()
-        state["meta"][key] = value
-        self._save(state)
+        self._update(lambda s: {**s, "meta": {**s["meta"], key: value}})
 
     def read(self) -> DataFrame:
-        version = self._state()["version"]
-        if not version:
-            return self.spark.createDataFrame([], CATALOGUE)
-        return self.spark.read.schema(CATALOGUE).parquet(f"{self.root}/v{version}")
+        """The newest row of each file name."""
+        state = self._state()
+        load = lambda folder: self.spark.read.schema(CATALOGUE).parquet(f"{self.root}/data/{folder}")
+        base = load(state["base"]) if state["base"] else self.spark.createDataFrame([], CATALOGUE)
+        deltas = None
+        for d in state["deltas"]:  # at most DELTAS, of at most DELTA_ROWS rows
+            new = load(d["folder"])
+            deltas = new if deltas is None else deltas.join(F.broadcast(new.select("filename")), "filename", "left_anti").select(*CATALOGUE.names).unionByName(new)
+        if deltas is None:
+            return base
+        return base.join(F.broadcast(deltas.select("filename")), "filename", "left_anti").select(*CATALOGUE.names).unionByName(deltas)
 
     def count(self) -> int:
         return self.read().count()
 
-    def _write(self, rows: DataFrame) -> None:
-        state = self._state()
-        state["version"] += 1
-        rows.select(*CATALOGUE.names).write.mode("overwrite").parquet(f"{self.root}/v{state['version']}")
-        self._save(state)
+    def _write(self, rows: DataFrame) -> str:
+        folder = uuid.uuid4().hex
+        rows.select(*CATALOGUE.names).write.parquet(f"{self.root}/data/{folder}")
+        return folder
 
     def upsert(self, rows: DataFrame) -> None:
-        """Add rows; a file name that exists gets the new row's values but keeps its id."""
-        old = self.read()
-        ids = old.select("filename", F.col("id").alias("__id"))
-        new = rows.join(ids, "filename", "left").withColumn("id", F.coalesce("__id", "id")).select(*CATALOGUE.names)
-        self._write(old.join(rows.select("filename"), "filename", "left_anti").select(*CATALOGUE.names).unionByName(new))
+        """Add rows; a file name that exists gets the new row's values but keeps its id.
+
+        Of rows for one file name the newest counts, of these the one with the largest id. Only the rows are
+        written; what is there is read for its names and ids, and whole only when deltas are merged.
+        """
+        rows = rows.groupBy("filename").agg(F.max_by(F.struct(*CATALOGUE.names), F.struct("timestamp", "id")).alias("r")).select("r.*")
+        ids = self.read().select("filename", F.col("id").alias("old_id"))
+        folder = self._write(rows.join(ids, "filename", "left").withColumn("id", F.coalesce("old_id", "id")))
+        n = self.spark.read.parquet(f"{self.root}/data/{folder}").count()
+        if self._state()["base"] is None and not self._state()["deltas"]:
+            self._update(lambda s: {**s, "base": folder} if s["base"] is None and not s["deltas"] else {**s, "deltas": [*s["deltas"], {"folder": folder, "rows": n}]})
+        else:
+            self._update(lambda s: {**s, "deltas": [*s["deltas"], {"folder": folder, "rows": n}]})
+        deltas = self._state()["deltas"]
+        if len(deltas) > DELTAS or sum(d["rows"] for d in deltas) > DELTA_ROWS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Merge the deltas into a new base."""
+        before = self._state()
+        folder = self._write(self.read())
+        merged = [d["folder"] for d in before["deltas"]]
+        if self._state()["base"] == before["base"]:
+            self._update(lambda s: {**s, "base": folder, "deltas": [d for d in s["deltas"] if d["folder"] not in merged]} if s["base"] == before["base"] else s)
+        self._sweep()
+
+    @contextmanager
+    def single_flight(self):
+        """The right to sync; :class:`Busy` if someone else has it. Nobody waits."""
+        fs, path = self._path("sync.lock")
+        if fs.exists(path) and fs.getFileStatus(path).getModificationTime() < 1000 * (time.time() - LEASE):
+            fs.delete(path, False)
+        if not self._create("sync.lock", "sync"):
+            raise Busy
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
 
 
 @dataclass(frozen=True)
@@ -82,15 +177,30 @@ class SyncResult:
 
 
 def sync_once(
-    catalogue: Catalogue, remote: DataFrame, commit: str | None = None, archive: str | None = None, fetch=None, limit: int = INCREMENTAL_LIMIT
-) -> SyncResult:
+    catalogue: Catalogue, remote: DataFrame, commit: str | None = None, archive: str | None = None, fetch=None, limit: int = INCREMENTAL_LIMIT,
+    version: Callable[[], str | None] | None = None,
+) -> SyncResult:
     """Bring new files of a remote index into the catalogue.
 
-    Nothing happens if ``commit`` is the stored one. A catalogue that is empty, or more than ``limit`` new
+    Nothing happens if another sync runs, or if ``commit``, or what ``version`` says, is the stored one; a
+    version that can't be had does not stop the sync. A catalogue that is empty, or more than ``limit`` new
     files, takes the zip ``archive``; else files come one by one through ``fetch``, and from the archive if
     that fails. The index's metadata overlays the files' own. Files that can't be read are skipped, and
     rows that vanished upstream stay.
     """
+    if commit is None and version is not None:
+        try:
+            commit = version()
+        except Exception:
+            log.exception("no remote version; going on without")
+    try:
+        with catalogue.single_flight():
+            return _sync(catalogue, remote, commit, archive, fetch, limit)
+    except Busy:
+        return SyncResult("Skipped", 0, "busy")
+
+
+def _sync(catalogue: Catalogue, remote: DataFrame, commit, archive, fetch, limit) -> SyncResult:
     if commit is not None and catalogue.meta("commit") == commit:
         return SyncResult("Skipped", 0, "none")
     local = catalogue.read()

@@ -114,3 +114,58 @@ def test_webhook_status_and_headers(songs):
     assert service.error_body(service.Upstream("x"))["status"] == 502
     assert service.status(songs, "1", {"commit": "c"}, 5)["runtime"] == {"uptimeSeconds": 5, "lyricCount": 2}
     assert service.cache_control("get", True) != service.cache_control("get") and service.cache_control("status") == "no-store"
+
+
+def test_missing_lyrics_are_fetched(spark, songs):
+    """Compatibility routes ask ``fetch`` for files that aren't stored; a search goes on without them, a get fails."""
+    from pyspark.sql import functions as F
+
+    raw = {r["filename"]: r["raw_ttml"] for r in songs.collect()}
+    bare = songs.withColumn("raw_ttml", F.lit(""))
+    asked = []
+
+    def fetch(name):
+        asked.append(name)
+        if name == "test_song_two.ttml":
+            raise OSError("down")
+        return raw[name]
+
+    lost = LRC[2].replace("4.0", "0.0").replace('"Second Song Lyric"', "null").replace('"[00:02.00] Second Song Lyric"', "null")
+    assert service.lrclib_response(service.lrclib_search(bare, "q=Artist", fetch)) == f"[{lost},{LRC[1]}]" and sorted(asked) == sorted(raw)
+    assert service.lrclib_response(service.lrclib_get(bare, "track_name=Test+Song+One&artist_name=Artist+Alpha", fetch), single=True) == LRC[1]
+    with pytest.raises(OSError, match="down"):
+        service.lrclib_get_by_id(bare, "5440178231786117", fetch)
+    with pytest.raises(service.Upstream):
+        service.lrclib_get_by_id(bare, "5440178231786117")
+
+
+def test_failed_lyric_search_leaves_metadata(songs, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    def fail(*a, **k):
+        raise PySparkException("no index")
+
+    monkeypatch.setattr(service.fulltext, "search", fail)
+    assert json.loads(service.search_response(songs, "q=Test+Song+One"))["data"]["pagination"]["total"] >= 1
+    assert json.loads(service.search_response(songs, "lyricText=Hello"))["data"]["items"] == []
+
+
+def test_stored_index(songs, tmp_path):
+    """A search through the stored trigram index equals one through all texts, for phrases of any kind."""
+    from strophe.operators import fulltext
+
+    index = fulltext.TrigramIndex.build(songs, str(tmp_path / "index"))
+    for phrase in ("lyric", "Hello W", "ello world", "zzz", "he", "d Song L", 'a"b', "\\E."):
+        want = [tuple(r) for r in fulltext.search(songs, phrase, 10).collect()]
+        assert [tuple(r) for r in fulltext.search(songs, phrase, 10, index=index).collect()] == want
+    assert service.search_response(songs, "lyricText=Hello", index) == service.search_response(songs, "lyricText=Hello")
+
+
+def test_phrase_table(tmp_path):
+    from strophe.functions.text import load_phrases, simplify_text
+
+    (tmp_path / "t.txt").write_text("# comment\n頭髮\t头发\n發\t发\n髮\t发 髪\n頭\t头\nbroken\n", encoding="utf-8")
+    table = load_phrases(str(tmp_path / "t.txt"))
+    assert table == {"頭髮": "头发", "發": "发", "髮": "发", "頭": "头"}
+    assert simplify_text("頭髮發x頭", {**table, "頭髮": "TF"}) == "TF发x头" and simplify_text("", {}) == ""
+    assert SearchQuery(track="頭髮", table=table).prepared().track == "头发"
