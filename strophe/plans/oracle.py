@@ -1,8 +1,11 @@
-"""DuckDB forms of the column expressions, for comparison only. ASCII names are assumed."""
+"""DuckDB forms of the column expressions, for comparison only. ASCII names are assumed.
+
+Fixed values are stated here again, so that a wrong one in the engine shows.
+"""
 
 from __future__ import annotations
 
-from ..functions.similarity import EDITION_MARKS
+EDITION_MARKS = ("(deluxe", "(explicit", "(special edition", "(bonus track", "(feat", "(with")
 
 
 def s(text: str | None) -> str:
@@ -50,8 +53,33 @@ def best_name(query: str, names: str) -> str:
 
 def artist_points(query: str, names: str) -> str:
     m = f"len(list_filter({names}, lambda n: n <> ''))"
-    met = f"len(list_filter({names}, lambda n: n <> '' AND (contains(n, {query}) OR contains({query}, n) OR {text_same(query, 'n')} > 88.0))) > 0"
-    return f"(CASE WHEN {query} IS NULL OR {query} = '' OR {m} = 0 OR NOT ({met}) THEN 0 WHEN {m} = 1 THEN 10 WHEN {m} = 2 THEN 4 WHEN {m} <= 6 THEN 2 ELSE 0 END)"
+    met = f"len(list_filter({names}, lambda n: n <> '' AND {same_artist(query, 'n')})) > 0"
+    crowd = f"({various(f'[{query}]')} AND ({various(names)} OR {m} > 4))"
+    return (
+        f"(CASE WHEN {query} IS NULL OR {query} = '' OR {m} = 0 THEN 0 WHEN {crowd} THEN 6 WHEN NOT ({met}) THEN 0"
+        f" WHEN {m} = 1 THEN 10 WHEN {m} = 2 THEN 4 WHEN {m} <= 6 THEN 2 ELSE 0 END)"
+    )
+
+
+def same_artist(a: str, b: str) -> str:
+    return f"(contains({b}, {a}) OR contains({a}, {b}) OR {text_same(a, b)} > 88.0)"
+
+
+def various(names: str) -> str:
+    return f"(len(list_filter({names}, lambda v: contains(v, 'various') OR contains(v, '群星'))) > 0)"
+
+
+def two_artists(first: str, second: str, names: str) -> str:
+    """Points of a wanted pair: each takes the first name that it matches and that is free."""
+    n = f"len({names})"
+    near = lambda a: f"list_filter(range(1, {n} + 1), lambda j: {same_artist(a, f'{names}[j]')})"
+    met = f"((len({near(first)}) > 0)::INT + (len(list_filter({near(second)}, lambda k: k IS DISTINCT FROM {near(first)}[1])) > 0)::INT)"
+    share = f"{met}::DOUBLE / (2 + {n} - {met})"
+    crowd = f"({various(f'[{first}, {second}]')} AND ({various(names)} OR {n} > 4))"
+    return (
+        f"(CASE WHEN {n} = 0 THEN NULL WHEN {crowd} THEN 6 WHEN {share} >= 0.99 THEN 10 WHEN {share} >= 0.8 THEN 8"
+        f" WHEN {share} >= 0.6 THEN 6 WHEN {share} >= 0.4 THEN 4 WHEN {share} >= 0.15 THEN 2 ELSE 0 END)"
+    )
 
 
 def classify(x: str) -> str:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.ids import filename_timestamp, lyric_id, lyric_id_of
 from ..functions.lyrics import formatted, lrc_timestamp, snippet
 from ..functions.scoring import score_fields
-from ..functions.similarity import artist_points, compare_name, text_same
+from ..functions.similarity import artist_points, compare_artists, compare_name, text_same
 from ..functions.text import contains_ascii_ci, normalize_name
+from ..functions.text import decode_names as decode_json_names
 from ..operators import fulltext, lookup, metadata, projection, ranking
 from ..operators.lookup import IdQuery
 from ..operators.metadata import SearchQuery
@@ -42,7 +43,11 @@ def _filename(doc_id: int) -> str:
 
 
 def _long(c: str):
-    return F.col(c).cast("long").alias(c)
+    return _long_of(F.col(c), c)
+
+
+def _long_of(c, name: str):
+    return c.cast("long").alias(name)
 
 
 def _songs(df: DataFrame) -> DataFrame:
@@ -56,12 +61,12 @@ def _brief(df: DataFrame) -> DataFrame:
     return df.select("id", "filename", "timestamp", F.array_join("track_names", "|").alias("tracks"))
 
 
-@query(f"SELECT {_BRIEF} FROM songs WHERE id = {lyric_id_of(_filename(42))}")
+@query(f"SELECT {_BRIEF} FROM songs WHERE filename = '1704069720000-42-42.ttml'")
 def lookup_by_id(cat):
     return _brief(lookup.find_by_ids(_songs(cat), IdQuery(id=lyric_id_of(_filename(42))), seq="timestamp"))
 
 
-@query(f"SELECT {_BRIEF} FROM songs WHERE filename = '{_filename(77)}'")
+@query(f"SELECT {_BRIEF} FROM songs WHERE filename = '1704071820000-77-77.ttml'")
 def lookup_by_filename(cat):
     return _brief(lookup.find_by_ids(_songs(cat), IdQuery(filename=_filename(77))))
 
@@ -103,12 +108,18 @@ def author_mismatch(cat):
     return metadata.search_by_fields(_songs(cat), SearchQuery(author_id="nobody", author_username="src3")).select("id", "timestamp")
 
 
-@query("SELECT id, timestamp FROM songs WHERE false")
+@query(f"SELECT id, timestamp FROM songs WHERE {o.any_contains('normalized_track_names', o.s('red plate'))} AND list_contains(author_ids, 'nobody') AND list_contains(author_usernames, 'src3')")
 def author_mismatch_with_text(cat):
     """With text, both author fields are checked again, so nothing is found."""
     return metadata.search_by_fields(_songs(cat), SearchQuery(track="red plate", author_id="nobody", author_username="src3")).select("id", "timestamp")
 
 
+@query("SELECT id, timestamp FROM songs WHERE list_contains(author_usernames, 'src3') AND list_contains(author_ids, '3')")
+def author_both_known(cat):
+    """Two keys that somebody has must both hold."""
+    return metadata.search_by_fields(_songs(cat), SearchQuery(author_id="3", author_username="src3")).select("id", "timestamp")
+
+
 @query("SELECT filename, id FROM songs")
 def lyric_id_hash(cat):
     return cat.select("filename", lyric_id(F.col("filename")).alias("id"))
@@ -182,6 +193,27 @@ def artist_tiers(cat):
     return cat.select("id", artist_points(F.lit("supplier#000000001"), F.col("normalized_artist_names")).cast("long").alias("points"))
 
 
+_CROWD_SQL = "CASE doc_id % 4 WHEN 0 THEN list_concat(normalized_artist_names, ['various artists']) WHEN 1 THEN list_concat(normalized_artist_names, ['a', 'b', 'c', 'd']) WHEN 2 THEN ['supplier#000000002', ''] ELSE normalized_artist_names END"
+_PAIR = ("supplier#000000001", "supplier#00000000")
+
+
+@query(
+    f"lists AS (SELECT id, {_CROWD_SQL} AS raw FROM songs), named AS (SELECT id, raw, list_filter(raw, lambda n: n <> '') AS names FROM lists)"
+    f" SELECT id, {o.two_artists(o.s(_PAIR[0]), o.s(_PAIR[1]), 'names')}::BIGINT AS pair, {o.two_artists(o.s('various'), o.s('x'), 'names')}::BIGINT AS crowd,"
+    f" {o.artist_points(o.s('various'), 'raw')}::BIGINT AS single FROM named"
+)
+def artist_lists(cat):
+    """Lists of several artists, some with a collective name, against a pair, a collective pair and one name."""
+    doc, names = F.regexp_extract("filename", r"-(\d+)\.ttml$", 1).cast("long") % 4, F.col("normalized_artist_names")
+    more = lambda *x: F.array(*map(F.lit, x))
+    raw = F.when(doc == 0, F.concat(names, more("various artists"))).when(doc == 1, F.concat(names, more("a", "b", "c", "d"))).when(doc == 2, more("supplier#000000002", "")).otherwise(names)
+    lists = cat.select("id", raw.alias("raw"))
+    return lists.select(
+        "id", compare_artists(more(*_PAIR), F.col("raw")).cast("long").alias("pair"), compare_artists(more("various", "x"), F.col("raw")).cast("long").alias("crowd"),
+        artist_points(F.lit("various"), F.col("raw")).cast("long").alias("single"),
+    )
+
+
 @query(f"SELECT id, {o.score_fields('red plate', 'supplier#000000001', None)}::BIGINT AS two, {o.score_fields('hot rod', None, 'brand#12')}::BIGINT AS other FROM songs")
 def score_by_fields(cat):
     n = F.lit(None).cast("string")
@@ -295,6 +327,43 @@ def priority_buckets(cat):
     return _both(cat, False).groupBy(_long("priority")).agg(F.count(F.lit(1)).alias("hits"))
 
 
+_SIDES = """sides AS (SELECT id, timestamp, doc_id,
+  CASE WHEN doc_id % 3 < 2 THEN doc_id % 8 END AS score,
+  CASE WHEN doc_id % 3 > 0 THEN -(1 + doc_id % 11)::DOUBLE END AS rank,
+  CASE WHEN doc_id % 3 > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'MainLyric' ELSE 'BackgroundVocal' END END AS field,
+  CASE WHEN doc_id % 3 > 0 THEN 's' || doc_id END AS snippet FROM songs)"""
+
+
+def _sides(cat: DataFrame):
+    """Made-up hits: two of three songs by metadata, two of three by lyrics, and lyric hits of no song."""
+    doc = F.regexp_extract("filename", r"-(\d+)\.ttml$", 1).cast("long")
+    meta = cat.filter(doc % 3 < 2).select("id", "timestamp", (doc % 8).cast("int").alias("score"))
+    field = F.when(doc % 2 == 0, "MainLyric").otherwise("BackgroundVocal")
+    lyric = cat.filter(doc % 3 > 0).select("id", (-1 - doc % 11).cast("double").alias("rank"), field.alias("field"), F.concat(F.lit("s"), doc.cast("string")).alias("snippet"))
+    return meta, lyric.unionByName(lyric.withColumn("id", -1 - F.col("id")))
+
+
+@query(f"{_SIDES}, united AS (SELECT id, timestamp, coalesce(score, 0) AS score, rank, field, snippet FROM sides) {_MERGED} FROM united")
+def merge_all_buckets(cat):
+    """All six buckets of priority; lyric hits whose song is missing are dropped."""
+    return _merged(ranking.merge(_songs(cat), *_sides(cat), explicit=False))
+
+
+@query(f"{_SIDES}, united AS (SELECT id, timestamp, score, rank, field, snippet FROM sides WHERE score IS NOT NULL AND field IS NOT NULL) {_MERGED} FROM united")
+def merge_explicit(cat):
+    return _merged(ranking.merge(_songs(cat), *_sides(cat), explicit=True))
+
+
+_ODD = 'say "a\\E.b" (x'
+
+
+@query("SELECT id, (doc_id % 9 = 0) AS found, CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 0 END::BIGINT AS times FROM songs")
+def phrase_of_special_characters(cat):
+    doc = F.regexp_extract("filename", r"-(\d+)\.ttml$", 1).cast("long")
+    text = F.when(doc % 9 == 0, F.concat("lyric_text", F.lit(f" {_ODD.upper()}) {_ODD}"))).otherwise(F.col("lyric_text"))
+    return cat.select("id", fulltext.matches(text, _ODD).alias("found"), _long_of(fulltext.occurrences(text, _ODD), "times"))
+
+
 @query("SELECT id, lpad(((m // 60000) % 1000)::VARCHAR, 2, '0') AS minutes, '[' || CASE WHEN m // 60000 < 100 THEN lpad((m // 60000)::VARCHAR, 2, '0') ELSE (m // 60000)::VARCHAR END || ':' || lpad((m // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((m % 1000 // 10)::VARCHAR, 2, '0') || ']' AS stamp FROM (SELECT id, doc_id * 12347 % 400000000 AS m FROM songs)")
 def lrc_format(cat):
     doc = F.regexp_extract("filename", r"-(\d+)\.ttml$", 1).cast("long")
@@ -302,13 +371,26 @@ def lrc_format(cat):
     return cat.select("id", F.lpad((F.floor(ms / 60000) % 1000).cast("string"), 2, "0").alias("minutes"), lrc_timestamp(ms).alias("stamp"))
 
 
-@query("SELECT doc_id, 'Line ' || doc_id || chr(10) || '(bg ' || doc_id || ')' || chr(10) || 'Second' AS plain, '[00:01.50] Line ' || doc_id || chr(10) || '[00:01.50] (bg ' || doc_id || ')' || chr(10) || '[00:05.12] Second' AS synced, 8.456::DOUBLE AS duration FROM documents", with_songs=False)
+_STAMP = "'[' || lpad(({0} // 60000)::VARCHAR, 2, '0') || ':' || lpad(({0} // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad(({0} % 1000 // 10)::VARCHAR, 2, '0') || '] '"
+
+
+@query(
+    "WITH d AS (SELECT doc_id, doc_id * 37 % 100000 AS a, doc_id * 37 % 100000 + 2500 + doc_id % 7 * 100 AS b FROM documents)"
+    " SELECT doc_id, 'morning ' || doc_id || chr(10) || '(echo)' || chr(10) || 'noon & night' AS plain,"
+    f" {_STAMP.format('a')} || 'morning ' || doc_id || chr(10) || {_STAMP.format('(a + 1000)')} || '(echo)' || chr(10) || {_STAMP.format('b')} || 'noon & night' AS synced,"
+    " (b + 750) / 1000.0::DOUBLE AS duration FROM d",
+    with_songs=False,
+)
 def ttml_format(spark, sf_dir):
+    """Files with times and words of their own, written out of order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    d = F.col("doc_id").cast("string")
+    a = F.col("doc_id") * 37 % 100000
+    b = a + 2500 + F.col("doc_id") % 7 * 100
+    at = lambda ms: F.format_string("%d.%03ds", (ms / 1000).cast("long"), ms % 1000)
     raw = F.concat(
-        F.lit('<tt xmlns="http://www.w3.org/ns/ttml" xmlns:ttm="http://www.w3.org/ns/ttml#metadata"><body><div><p begin="00:01.500" end="00:04.000">Line '),
-        d, F.lit('<span ttm:role="x-bg" begin="00:01.500" end="00:03.500">bg '), d, F.lit('</span></p><p begin="00:05.123" end="00:08.456">Second</p></div></body></tt>'),
+        F.lit('<tt xmlns="http://www.w3.org/ns/ttml" xmlns:m="http://www.w3.org/ns/ttml#metadata"><body><div><p begin="'), at(b), F.lit('" end="'), at(b + 750),
+        F.lit('"><span>noon </span>&amp; night</p></div><div><p begin="'), at(a), F.lit('" end="'), at(a + 2000), F.lit('">morning '), F.col("doc_id").cast("string"),
+        F.lit('<span m:role="x-bg" begin="'), at(a + 1000), F.lit('" end="'), at(a + 1900), F.lit('">echo</span></p></div></body></tt>'),
     )
     f = docs.withColumn("f", formatted(parse(raw)["lines"]))
     return f.select("doc_id", F.col("f.plain_lyrics").alias("plain"), F.col("f.synced_lyrics").alias("synced"), F.col("f.duration").alias("duration"))
@@ -319,6 +401,59 @@ def lrclib_projection(cat):
     return projection.lrclib_item(cat.withColumn("formatted", F.lit(None).cast("struct<plain_lyrics:string,synced_lyrics:string,duration:double>")))
 
 
+@query(
+    'SELECT id, track_names[1] AS name, track_names[1] AS "trackName", artist_names[1] AS "artistName", album_names[1] AS "albumName",'
+    " CASE WHEN doc_id % 2 = 0 THEN doc_id * 1.5 ELSE 0 END::DOUBLE AS duration, false AS instrumental,"
+    " CASE WHEN doc_id % 2 = 0 THEN 'plain ' || doc_id END AS \"plainLyrics\", CASE WHEN doc_id % 2 = 0 THEN 'synced ' || doc_id END AS \"syncedLyrics\" FROM songs"
+)
+def lrclib_lyrics(cat):
+    """Compatibility items of which every other has lyrics."""
+    doc = F.regexp_extract("filename", r"-(\d+)\.ttml$", 1).cast("long")
+    text = lambda w: F.concat(F.lit(w), doc.cast("string"))
+    lyrics = F.struct(text("plain ").alias("plain_lyrics"), text("synced ").alias("synced_lyrics"), (doc * 1.5).cast("double").alias("duration"))
+    return projection.lrclib_item(cat.withColumn("formatted", F.when(doc % 2 == 0, lyrics)))
+
+
+_JSON_SQL = " || ".join(
+    [
+        """'{"id":' || id || ',"filename":"' || filename || '"'""",
+        *[f"""',"{k}":' || to_json({c})::VARCHAR""" for k, c in (("musicNames", "track_names"), ("artistNames", "artist_names"), ("albumNames", "album_names"), ("ncmMusicIds", "ncm_music_ids"))],
+        "',\"qqMusicIds\":[]'", *[f"""',"{k}":' || to_json({c})::VARCHAR""" for k, c in (("appleMusicIds", "apple_music_ids"), ("spotifyIds", "spotify_ids"))],
+        "',\"isrcs\":[]'", *[f"""',"{k}":' || to_json({c})::VARCHAR""" for k, c in (("authorIds", "author_ids"), ("authorUsernames", "author_usernames"))],
+        """CASE WHEN doc_id % 3 = 0 THEN ',"matchContext":{"snippet":"<mark>' || doc_id || '</mark>"}' WHEN doc_id % 3 = 1 THEN ',"matchContext":{}' ELSE '' END || '}'""",
+    ]
+)
+
+
+@query(f"SELECT id, {_JSON_SQL} AS json FROM songs")
+def native_json(cat):
+    """Items as JSON: with a snippet, with a context that has none, and without a context."""
+    doc = F.regexp_extract("filename", r"-(\d+)\.ttml$", 1).cast("long")
+    shown = F.when(doc % 3 == 0, F.concat(F.lit("<mark>"), doc.cast("string"), F.lit("</mark>")))
+    items = projection.song_item(cat.select(*SONG_COLUMNS, shown.alias("shown")), snippet="shown", has_context=doc % 3 < 2)
+    return projection.to_json(items).select(F.get_json_object("json", "$.id").cast("long").alias("id"), "json")
+
+
+@query("SELECT filename, '<tt>' || doc_id AS raw FROM songs WHERE filename = '1704069720000-42-42.ttml'")
+def raw_file(cat):
+    """A point read of one stored file by its name."""
+    doc = F.regexp_extract("filename", r"-(\d+)\.ttml$", 1)
+    name = "1704069720000-42-42.ttml"
+    return lookup.raw_text(cat.withColumn("raw_ttml", F.concat(F.lit("<tt>"), doc)), name).toDF("raw").select(F.lit(name).alias("filename"), "raw")
+
+
+@query(
+    "SELECT id, CASE doc_id % 5 WHEN 0 THEN array_to_string(track_names, '|') WHEN 1 THEN 'x|' ELSE '' END AS names,"
+    " CASE doc_id % 5 WHEN 0 THEN len(track_names) WHEN 1 THEN 2 ELSE 0 END::BIGINT AS n FROM songs"
+)
+def decode_names(cat):
+    """JSON arrays of names; arrays of anything else, objects and broken text are empty."""
+    doc = F.regexp_extract("filename", r"-(\d+)\.ttml$", 1).cast("long") % 5
+    json = F.when(doc == 0, F.to_json("track_names")).when(doc == 1, '["x", ""]').when(doc == 2, '["a", 1]').when(doc == 3, '{"a": ["b"]}').otherwise("[")
+    names = decode_json_names(json)
+    return cat.select("id", F.array_join(names, "|").alias("names"), F.size(names).cast("long").alias("n"))
+
+
 @query("SELECT id, filename, array_to_string(track_names, '|') AS \"musicNames\", array_to_string(artist_names, '|') AS \"artistNames\", array_to_string(album_names, '|') AS \"albumNames\", array_to_string(ncm_music_ids, '|') AS \"ncmMusicIds\" FROM songs")
 def native_projection(cat):
     items = projection.song_item(_songs(cat))
