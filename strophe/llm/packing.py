@@ -34,6 +34,8 @@ BLOCK_TOKENS = 4_000_000
 CACHE_WORDS = 500_000
 #: Characters outside these, a "<|" or text that is not in NFC takes the library's own whole path.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įĲ-ňŊ-ž]|<\|")
+#: Characters of a text that are encoded at a time, and where it may be cut.
+SLICE, _CUT = 1 << 18, re.compile(r"[ \n]")
 _ASCII = b"\t\n\r" + bytes(range(0x20, 0x7F))
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -73,7 +75,18 @@ class WordBpe:
         return parts[0] if len(parts) == 1 else b"".join(parts)
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+        """The ids as little-endian unsigned 32-bit integers; long texts are cut at white space."""
+        if len(text) <= SLICE:
+            return self._encode(text)
+        parts, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + SLICE)
+            end = cut.start() if cut else len(text)
+            parts.append(self._encode(text[at:end]))
+            at = end
+        return b"".join(parts)
+
+    def _encode(self, text: str) -> bytes:
         if text.isascii():  # no need to look at characters one by one
             odd = bool(text.encode().translate(None, _ASCII)) or "<|" in text
         else:

@@ -128,7 +128,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     ``size`` is the UTF-8 bytes of the text plus 8, ``law`` is ``bytes``. A null text has size 8 and is a
-    group of its own beside the empty text. A group larger than total/shards makes a shard as large as
+    group of its own beside the empty text, for groups are equal texts and null equals none. A group larger than total/shards makes a shard as large as
     itself, for groups are atomic. Slots number a shard's rows from 0 without gaps, in order of a hash
     bucket of doc_id, then doc_id; rows that repeat a doc_id take slots of their own. Fewer groups than
     shards leave the last shards empty, an empty table gives an empty result. Other columns are ignored.

@@ -30,6 +30,13 @@ def test_ids_are_the_library_s(monkeypatch):
         assert np.frombuffer(coder.encode(t or ""), "<u4").tolist() == library_ids(t)
 
 
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 7)
+    coder, odd = WordBpe(tokenizer_path()), ["ΟΔΟΣ ΣΑΣ\n\u0301a e\u0301 \u0301 Å ﬁ", "日本 語 <|endoftext|> x", "I'll  we've\t 's 'd\r\n12 345 ", "a" * 30 + " b " + "ß" * 9, "🙂 🙂\u200d x\u00a0y"]
+    for t in [t for _, t, _ in rows()] + odd:
+        assert np.frombuffer(coder.encode(t or ""), "<u4").tolist() == library_ids(t)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 90), st.integers(0, 90)), max_size=40), st.sampled_from([(16, 4, None), (16, 3, 9), (32, 64, 32), (8, 1, 3)]), st.integers(0, 39))
 def test_packer(docs, limits, flush):

@@ -80,3 +80,29 @@ def test_hot_group(spark):
 def test_few_rows(spark):
     check(spark, [(1, None, None), (2, "", "en"), (3, "a", "en"), (3, "a", "en")], 24)
     assert shard(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+LAWS = """
+WITH d AS (SELECT doc_id, coalesce(text, chr(0)) AS t, coalesce(strlen(text), 0) + 8 AS size FROM documents),
+r AS (SELECT got.*, d.t, d.size AS want FROM got JOIN d USING (doc_id)),
+loads AS (SELECT shard, sum(size) AS load, count(*) AS n, min(slot) AS low, max(slot) AS high, count(DISTINCT slot) AS slots FROM r GROUP BY shard)
+SELECT (SELECT count(*) FROM r) - (SELECT count(*) FROM d) AS lost,
+       (SELECT count(*) FROM r WHERE size <> want) AS wrong_sizes,
+       (SELECT count(*) FROM (SELECT t FROM r GROUP BY t HAVING count(DISTINCT shard) > 1)) AS cut_groups,
+       (SELECT count(*) FROM loads WHERE low <> 0 OR high <> n - 1 OR slots <> n) AS gaps,
+       (SELECT count(*) FROM r WHERE shard NOT BETWEEN 0 AND 23 OR law <> 'bytes' OR grown_shard IS NOT NULL) AS odd,
+       (SELECT max(load) FROM loads) AS largest,
+       (SELECT greatest(sum(size) / 24.0, (SELECT max(s) FROM (SELECT sum(size) AS s FROM r GROUP BY t))) FROM r) AS bound
+"""
+
+
+def test_laws_in_sql(spark):
+    """Size, groups, slots and near equality on a whole bench table, checked by DuckDB."""
+    import duckdb
+
+    path = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    con.register("got", sharding.op7_sharding(spark, path).toArrow())
+    *faults, largest, bound = con.execute(LAWS).fetchone()
+    assert faults == [0] * 5 and largest <= 1.25 * float(bound)
