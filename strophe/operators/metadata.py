@@ -105,25 +105,31 @@ def search_by_fields(songs: DataFrame, query: SearchQuery) -> DataFrame:
     return search_hits(songs.select(*columns), query).orderBy(F.desc("score"), F.desc("timestamp"), F.asc("id"))
 
 
+#: Queries of a batch that go into one scan of the songs.
+BATCH_QUERIES = 10_000
+
+
 def search_batch(songs: DataFrame, queries: DataFrame, per_query: int) -> DataFrame:
     """Many queries at once: ``query_id`` and nullable ``track, artist, album`` (normalised) against all songs.
 
-    Extension. Queries are expanded into the songs' scan as an array, so the catalogue is read once and
-    not shuffled; only hits are. The query list must fit a task: it is checked against 10,000.
+    Extension. Queries are expanded into the songs' scan as an array, so the catalogue is read once for each
+    BATCH_QUERIES of them and not shuffled; only hits are. The list of queries must fit the driver.
     """
     from pyspark.sql import Window
 
-    rows = queries.select("query_id", "track", "artist", "album").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 queries; split the list")
+    rows = queries.select("query_id", "track", "artist", "album").collect()
     kind = f"array<struct<query_id:{queries.schema['query_id'].dataType.simpleString()},track:string,artist:string,album:string>>"
-    wanted = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("query_id", "track", "artist", "album")]) for r in rows]).cast(kind)
     near = lambda names, v: v.isNull() | any_contains(F.col(names), v)
-    some = F.filter(wanted, lambda w: near("normalized_track_names", w["track"]) & near("normalized_artist_names", w["artist"]) & near("normalized_album_names", w["album"]))
-    hits = (
-        songs.withColumn("w", F.explode(some))
-        .select(F.col("w.query_id").alias("query_id"), "id", "timestamp", score_fields(F.col("w.track"), F.col("w.artist"), F.col("w.album")).alias("score"))
-        .filter("score > 0")
-    )
+
+    def hits_of(part: list) -> DataFrame:
+        wanted = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("query_id", "track", "artist", "album")]) for r in part]).cast(kind)
+        some = F.filter(wanted, lambda w: near("normalized_track_names", w["track"]) & near("normalized_artist_names", w["artist"]) & near("normalized_album_names", w["album"]))
+        return songs.withColumn("w", F.explode(some)).select(
+            F.col("w.query_id").alias("query_id"), "id", "timestamp", score_fields(F.col("w.track"), F.col("w.artist"), F.col("w.album")).alias("score")
+        )
+
+    hits = hits_of(rows[:BATCH_QUERIES])
+    for at in range(BATCH_QUERIES, len(rows), BATCH_QUERIES):
+        hits = hits.unionByName(hits_of(rows[at : at + BATCH_QUERIES]))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("timestamp"), F.asc("id"))
-    return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_query)
+    return hits.filter("score > 0").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_query)

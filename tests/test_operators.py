@@ -77,7 +77,9 @@ def test_rough_keyword(songs):
     assert passes("夜曲x") == ["4-d.ttml"]
 
 
-def test_batch(spark, songs):
+@pytest.mark.parametrize("size", [10_000, 2])
+def test_batch(spark, songs, monkeypatch, size):
+    monkeypatch.setattr(metadata, "BATCH_QUERIES", size)
     q = spark.createDataFrame([("a", "me!", "taylor swift", None), ("b", "love story", None, None), ("c", "none", None, None)], "query_id string, track string, artist string, album string")
     got = metadata.search_batch(songs.select(*SONG_COLUMNS), q, 1).collect()
     ids = {r["filename"]: r["id"] for r in songs.collect()}
