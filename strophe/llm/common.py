@@ -91,9 +91,13 @@ def sieved(df: DataFrame, h: str, keys: DataFrame, hit: bool = True) -> DataFram
 
 
 def without(df: DataFrame, h: str, keys: DataFrame, same) -> DataFrame:
-    """Rows of ``df`` that have no partner in ``keys`` (left anti join); only rows the sieve passes are shuffled.
+    """Rows of ``df`` that have no partner in ``keys``; only rows the sieve passes are shuffled.
 
-    ``h`` is a long column of both; ``same(df, keys)`` is the join condition.
+    ``h`` is a long column of both; ``same(df, keys)`` is the join condition, which one key at most meets. An
+    anti join would be planned below the sieve, which would shuffle every row, so an outer one is filtered.
     """
+    (met,) = unused(df, "met")
     near = sieved(df, h, keys.select(h))
-    return sieved(df, h, keys.select(h), hit=False).unionByName(near.join(keys, same(near, keys), "left_anti"))
+    marked = keys.withColumn(met, F.lit(True))
+    lone = near.join(marked, same(near, marked), "left").filter(F.col(met).isNull()).select(*[near[c] for c in df.columns])
+    return sieved(df, h, keys.select(h), hit=False).unionByName(lone)

@@ -159,6 +159,13 @@ def test_long_chain(spark):
     assert {r["root"] for r in got} == {0} and len(got) == 301
 
 
+def test_hub(spark):
+    """A node that thousands of others link to, with chains that hang on these."""
+    edges = [(0, i) for i in range(1, 4000)] + [(i, i + 4000) for i in range(1, 4000, 2)] + [(20_000, 20_001)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got.pop(20_000) == got.pop(20_001) == 20_000 and set(got.values()) == {0} and len(got) == 4000 + 2000
+
+
 def test_operator(spark):
     data = rows()
     got = near_duplicates(table(spark)).collect()
