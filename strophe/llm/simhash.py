@@ -305,7 +305,7 @@ def near_edges(nodes: DataFrame, limit: int = DISTANCE, hot: int = HOT) -> DataF
 
 
 def _by_route(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.repartition(shuffle_width(rows.sparkSession), "route").sortWithinPartitions("route").select("route", *columns)
+    return rows.repartition(shuffle_width(rows.sparkSession), "route").sortWithinPartitions("route", *columns).select("route", *columns)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
