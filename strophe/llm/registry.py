@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL can express one, its DuckDB form."""
 
 from .bpe import op4_bpe
+from .centroids import OP11_SQL, op11_centroid_clustering
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language_id import op2_language_id
 from .packing import op8_packing
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_cnn": op10_quality_cnn,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op11_centroid_clustering": OP11_SQL}
