@@ -4,6 +4,7 @@ from .bpe import op4_bpe
 from .centroids import OP11_SQL, op11_centroid_clustering
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language_id import op2_language_id
+from .line_dedup import OP12_SQL, op12_line_dedup
 from .packing import op8_packing
 from .quality_cnn import op10_quality_cnn
 from .quality_rules import op5_quality_rules
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_cnn": op10_quality_cnn,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_line_dedup": op12_line_dedup,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op11_centroid_clustering": OP11_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op11_centroid_clustering": OP11_SQL, "op12_line_dedup": OP12_SQL}

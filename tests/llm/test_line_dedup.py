@@ -1,0 +1,166 @@
+"""Line dedup against brute force, through insertions and deletions."""
+
+import random
+
+import numpy as np
+import pytest
+from data import lower_az, rows, table
+from pyspark.sql import functions as F
+
+from strophe.llm import line_dedup
+from strophe.llm.line_dedup import LineIndex
+
+
+def key(line):
+    return lower_az(line.strip(" \t\n\x0b\x0c\r"))
+
+
+def plain(data, chars=20, least=3):
+    """(doc_id, text, n_lines, n_dropped) of each row, sorted by repr."""
+    holders = {}
+    for i, t in data:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= chars:
+                holders.setdefault(key(line), set()).add(i)
+    last = {k: max(ids, key=lambda i: (i is not None, i or 0)) for k, ids in holders.items() if len(ids) >= least}
+    out = []
+    for i, t in data:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if key(x) not in last or last[key(x)] == i]
+        out.append((i, "\n".join(kept) if t else t, len(lines), len(lines) - len(kept)))
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in df.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=repr)
+
+
+def lined(seed, n, shared=30):
+    """Texts of lines of which some are common, in varied case and with white space around."""
+    rng = random.Random(seed)
+    common = [f"line number {i} of the many öä" + "x" * (i % 7) for i in range(shared)] + ["short", "ÄÖÜ" * 7, "äöü" * 7, "日本語の長い行です。これは二十文字以上あります"]
+    out = []
+    for i in range(n):
+        lines = [rng.choice(common) if rng.random() < 0.4 else f"a line of document {i} alone {rng.random()}" for _ in range(rng.randint(0, 12))]
+        out.append((i, "\n".join(rng.choice(("", " ", "\t")) + rng.choice((x, x.upper() if x.isascii() else x)) + rng.choice(("", "\r", "  ")) for x in lines)))
+    return out
+
+
+def test_awkward_table(spark):
+    data = [(i, t) for i, t, _ in rows()] + lined(1, 40)
+    assert got(line_dedup.dedup_lines(table(spark, [(i, t, "en") for i, t in data]))) == plain(data)
+
+
+def test_own_columns(spark):
+    extra = ["hi", "lo", "h", "was", "last", "n_docs", "slots", "shard", "salt", "up", "hot", "lists", "lost_id", "out", "n_lines", "n_dropped"]
+    data = lined(3, 20, 4)
+    docs = spark.createDataFrame([(i, t, *extra) for i, t in data], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines_", "n_dropped_"]
+    assert [(r["n_lines"], r["hi"]) for r in out.collect()] == [("n_lines", "hi")] * len(data)
+    assert sorted(((r["doc_id"], r["text"], r["n_lines_"], r["n_dropped_"]) for r in out.collect()), key=repr) == plain(data)
+
+
+def test_empty_and_hot(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert line_dedup.dedup_lines(empty).count() == 0
+    hot = [(i, "the same header on every page\n" * (1 + i % 3) + f"body {i}") for i in range(300)] + [(None, None), (None, "the same header on every page")]
+    assert got(line_dedup.dedup_lines(spark.createDataFrame(hot, "doc_id long, text string").repartition(3))) == plain(hot)
+
+
+@pytest.mark.parametrize("shards", [1024, 0])
+def test_insert_and_delete(spark, monkeypatch, shards):
+    """After each change the index gives what a new one over the same documents gives, and older ones still give theirs."""
+    monkeypatch.setattr(line_dedup, "BUCKETS", 8)  # small shards, which split
+    monkeypatch.setattr(line_dedup, "CAPACITY", 20)
+    monkeypatch.setattr(line_dedup, "BROADCAST_SHARDS", shards)
+    monkeypatch.setattr(line_dedup, "SALT", 3)
+    make = lambda data: spark.createDataFrame(data, "doc_id long, text string")
+    data = lined(5, 60, 60)
+    first, second = data[:30], data[30:]
+    a = LineIndex().insert(make(first))
+    b = a.insert(make(second))
+    assert b.bits > 0 and got(b.cut(make(data))) == plain(data)
+    gone = [59, 58, 57, 3, 4, 40, 999]
+    c = b.delete(make([(i, "") for i in gone]))
+    left = [r for r in data if r[0] not in gone]
+    assert got(c.cut(make(left))) == plain(left)
+    again = [(59, data[59][1]), (3, "line number 1 of the many öäx\nnew")]
+    d = c.insert(make(again))
+    assert got(d.cut(make(left + again))) == plain(left + again)
+    e = d.delete(make([(i, "") for i in range(60) if i % 20]))
+    few = [r for r in left + again if r[0] % 20 == 0]
+    assert got(e.cut(make(few))) == plain(few)
+    assert got(a.cut(make(first))) == plain(first)  # an older index is as it was
+    whole = {(r["hi"], r["lo"]) for r in spark.read.parquet(d.counts).filter(F.col("n_docs") >= 3).collect()}
+    held = spark.read.parquet(d.filters).agg(F.sum("n")).first()[0]
+    assert held == len(whole)
+    same = d.insert(make(again))  # what is there already counts once
+    assert got(same.cut(make(left + again))) == plain(left + again)
+
+
+def test_deletion_of_everything(spark):
+    make = lambda data: spark.createDataFrame(data, "doc_id long, text string")
+    data = lined(6, 12, 3)
+    none = LineIndex().insert(make(data)).delete(make(data))
+    assert spark.read.parquet(none.counts).count() == 0 and spark.read.parquet(none.filters).agg(F.sum("n")).first()[0] in (0, None)
+    assert got(none.insert(make(data)).cut(make(data))) == plain(data)
+    assert LineIndex().delete(make(data)) == LineIndex()
+
+
+def test_filter():
+    """No key that is in the filter is missed, whatever went in and out; few others pass."""
+    rng = np.random.default_rng(1)
+    table_ = np.zeros((line_dedup.BUCKETS, line_dedup.SLOTS), np.int16)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, (line_dedup.CAPACITY, 2))
+    assert line_dedup.put(table_, keys[:5000, 0], keys[:5000, 1]) and line_dedup.put(table_, keys[5000:, 0], keys[5000:, 1])
+    assert (table_ != 0).sum() == len(keys)
+
+    def held(ks):
+        at, fp = line_dedup.places(ks[:, 0], ks[:, 1])
+        return ((table_[at] == fp[:, None]) | (table_[line_dedup.other(at, fp)] == fp[:, None])).any(1)
+
+    assert held(keys).all()
+    assert held(rng.integers(-(1 << 63), (1 << 63) - 1, (100_000, 2))).mean() < 1e-3
+    line_dedup.take(table_, keys[::2, 0], keys[::2, 1])
+    assert held(keys[1::2]).all() and (table_ != 0).sum() == len(keys) // 2
+    assert line_dedup.put(table_, keys[::2, 0], keys[::2, 1]) and held(keys).all()
+    crowded = np.tile(keys[:1], (9, 1))  # one more than the two buckets of a fingerprint have slots
+    assert not line_dedup.put(np.zeros_like(table_), crowded[:, 0], crowded[:, 1])
+
+
+def test_probe(spark):
+    """The probe in Spark's functions finds what numpy put in."""
+    rng = np.random.default_rng(2)
+    table_ = np.zeros((line_dedup.BUCKETS, line_dedup.SLOTS), np.int16)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, (3000, 2))
+    assert line_dedup.put(table_, keys[:1000, 0], keys[:1000, 1])
+    frame = spark.createDataFrame([(int(a), int(b), i) for i, (a, b) in enumerate(keys)], "hi long, lo long, i int")
+    filters = spark.createDataFrame([(table_.ravel().tolist(),)], "slots array<smallint>")
+    found = {r["i"] for r in frame.join(F.broadcast(filters)).filter(line_dedup.probe()).collect()}
+    assert set(range(1000)) <= found and len(found) < 1010
+
+
+def test_digests():
+    assert line_dedup.digests(b"") == [None]
+    a, b, c, d = line_dedup.digests("x\n ABCDEFGHIJKLMNOPQRST\x0b\nabcdefghijklmnopqrst\r\nä23456789012345678ö".encode())
+    assert a is None and b == c and d is None
+    assert line_dedup.digests(("ä" * 20).encode())[0] and not line_dedup.digests(("ä" * 19).encode())[0]
+
+
+def test_long_text():
+    """10 MiB of lines in one text, in bounded memory."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, pyarrow as pa, pandas as pd
+from strophe.llm import line_dedup
+text = "".join(f"line {i} of a text of very many lines, {i * i}\\n" for i in range(200_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+b = next(line_dedup._reference_batches(20)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})])))
+out = line_dedup._cut_with(20)(pd.Series([text]), pd.Series([b["hi"].to_numpy()[:50]]), pd.Series([b["lo"].to_numpy()[:50]]))
+print(out["n"][0], b.num_rows, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024 - before)
+"""
+    n, keys, mb = map(int, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout.split())
+    assert (n, keys) == (50, 200_000) and mb < 400
