@@ -2,6 +2,7 @@
 
 from .bpe import op4_bpe
 from .centroids import OP11_SQL, op11_centroid_clustering
+from .conversations import OP13_SQL, op13_conversation_repair
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language_id import op2_language_id
 from .line_dedup import OP12_SQL, op12_line_dedup
@@ -26,5 +27,12 @@ QUERIES = {
     "op10_quality_cnn": op10_quality_cnn,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_line_dedup": op12_line_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
+}
+ORACLES = {
+    "op1_warc": OP1_SQL,
+    "op9_exact_dedup": OP9_SQL,
+    "op11_centroid_clustering": OP11_SQL,
+    "op12_line_dedup": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op11_centroid_clustering": OP11_SQL, "op12_line_dedup": OP12_SQL}

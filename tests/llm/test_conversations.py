@@ -1,0 +1,182 @@
+"""Conversation repair against a plain search, whole and in chunks."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import pytest
+from data import NAMES
+
+from strophe.llm import conversations
+from strophe.llm.conversations import cheapest, multiply, product, symbol, transcript
+
+SPACE = " \t\n\x0b\x0c\r"
+NEXT = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+
+
+def search(turns):
+    """(cost, audit) of the cheapest edits of (initial, fault) turns, ties ASCII-least, by relaxing all ways in order of place."""
+    best = [{0: (0, "")}] + [{} for _ in turns]
+    for at in range(len(turns) + 1):
+        for _ in range(3):  # insertions
+            for p, (cost, audit) in list(best[at].items()):
+                for c in "ua":
+                    if (p, c) in NEXT:
+                        q, new = NEXT[p, c], (cost + 5, audit + "I")
+                        best[at][q] = min(best[at].get(q, new), new)
+        if at == len(turns):
+            break
+        first, fault = turns[at]
+        for p, (cost, audit) in best[at].items():
+            ways = [(p, cost + 2, "D")]
+            if fault != 1:
+                late = 5 if fault == 2 else 0
+                ways += [(NEXT[p, first], cost + late, "K")] if (p, first) in NEXT else []
+                ways += [(NEXT[p, c], cost + late + 1, "R") for c in "ua" if (p, c) in NEXT]
+            for q, n, e in ways:
+                best[at + 1][q] = min(best[at + 1].get(q, (n, audit + e)), (n, audit + e))
+    return min(best[-1][q] for q in (0, 3) if q in best[-1])
+
+
+def plain(data):
+    """The contract's columns from (conv_id, turn, role, text) rows after damage; dropped rows are None in place of text."""
+    out = []
+    for conv in {r[0] for r in data}:
+        rows = [(t, " " if r is None else r, " " if x is None else x) for i, t, r, x in data if i == conv and x != ...]
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        seen, kinds = set(), []
+        for _, role, text in rows:
+            bare = text.strip(SPACE)
+            kinds.append("b" if not bare else "d" if (role, text) in seen else "t" if bare[-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = {t for t, _, _ in rows if t is not None}
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        wrong = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+        cost, audit = search([(r[:1], 0 if k == "" else 2 if k == "t" else 1) for (_, r, _), k in zip(rows, kinds)])
+        said, at = [], 0
+        led = False
+        for e in audit:
+            role, text = (None, "") if e == "I" else rows[at][1:]
+            at += e != "I"
+            if e == "K":
+                led = led or (not said and role[:1] == "s")
+                said.append(f"{role}:{text}")
+            elif e != "D":
+                said.append(f"{'assistant' if (len(said) - led) % 2 else 'user'}:{text}")
+        digest = hashlib.sha256("\n".join(said).encode()).hexdigest()
+        out.append((conv, gaps, kinds.count("b"), kinds.count("d"), kinds.count("t"), wrong, cost, audit, digest))
+    return sorted(out, key=repr)
+
+
+COLUMNS = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def run(spark, data, parts=3):
+    extra = [c for c in dict.fromkeys([*NAMES, "p", "c", "i", "fault", "lead", "mark", "spread", "symbols", "transcript", "audit", "cost", "hash"]) if c not in ("conv_id", "turn", "role", "text")]
+    rows = [(i, t, r, "" if x is ... else x, 0 if x is ... else 1, *["x"] * len(extra)) for i, t, r, x in data]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, copies int, " + ", ".join(f"{c} string" for c in extra)).repartition(parts)
+    return sorted((tuple(r[c] for c in COLUMNS) for r in conversations.with_hashes(conversations.repair(df, "copies")).collect()), key=repr)
+
+
+def chats(seed, n, longest=9):
+    """Conversations with faults of every kind, nulls, ties and repeated rows."""
+    rng = random.Random(seed)
+    texts = ["Yes.", "No!", "Why?", "cut off", " ", "", "\n\t", None, "End.\n", "ünïcode…", "3.", "x" * 40 + "a.", "x" * 40 + "b."]
+    out = []
+    for i in range(n):
+        for t in range(rng.randint(1, longest)):
+            role = rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None, "u", "sys"])
+            turn = rng.choice([t, t, t, t, t + 3, None])
+            row = (i, turn, role, rng.choice(texts) if rng.random() < 0.6 else f"text {rng.random()}.")
+            out += [row] * (2 if rng.random() < 0.1 else 1)
+    return out
+
+
+def test_against_search(spark):
+    data = chats(1, 150) + [(None, 1, "user", "Hi."), (None, 2, "assistant", "Ho."), (900, 1, "user", ...), (901, 1, "user", ...), (901, 2, "user", "x.")]
+    assert run(spark, data) == plain(data)
+
+
+@pytest.mark.parametrize("size", [1, 3, 40])
+def test_chunks(spark, monkeypatch, size):
+    """Long conversations, cut into chunks of any size and over partitions, are repaired as if they were whole."""
+    monkeypatch.setattr(conversations, "CHUNK", size)
+    monkeypatch.setattr(conversations, "FAN", 2)
+    monkeypatch.setattr(conversations, "RUN", 2)
+    rng = random.Random(size)
+    long = [(7, t, rng.choice(["user", "assistant", "assistant", "system"]), rng.choice(["a.", "b.", f"{t}.", "cut", "", f"{t}!"])) for t in range(160)]
+    nothing = [(i, t, "user", ...) for i in (3, 8, 50) for t in range(5)]
+    same = [(9, None, "user", "again.")] * 30
+    data = chats(2, 12, 20) + long + nothing + same + [(None, t, "assistant", f"{t}.") for t in range(9)]
+    data = [r for r in data if r[0] != 3] + nothing[:5]
+    assert run(spark, data) == plain(data)
+
+
+def test_sizes(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert conversations.with_hashes(conversations.repair(empty)).collect() == []
+    assert conversations.with_hashes(conversations.repair(empty)).columns == list(COLUMNS)
+    big = [(1, 0, "user", "long " * 400_000 + "."), (1, 1, "assistant", "word " * 900_000), (1, 2, "assistant", "Done."), (2, 0, "user", "Hi.")]
+    assert run(spark, big) == plain(big)
+
+
+def test_damage(spark):
+    data = [(i, t, ("user", "assistant", None)[(i + t) % 3], (f"A. b! c? {i}.", None)[t % 9 == 8]) for i in range(40) for t in range(10)] + [(None, None, "user", "x."), (5, None, None, None)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = sorted((tuple(r) for r in conversations.damage(df).collect()), key=repr)
+    want = []
+    for i, t, r, x in data:
+        code = zlib.crc32(f"{' ' if i is None else i}:{' ' if t is None else t}".encode()) % 20
+        r, x = " " if r is None else r, " " if x is None else x
+        x = "" if code <= 1 else x.translate(dict.fromkeys(map(ord, ".!?"))) if code == 2 else x
+        want.append((i, t, "user" if code == 4 else r, x, {0: 0, 3: 2}.get(code, 1)))
+    assert got == sorted(want, key=repr)
+
+
+def test_exhaustive():
+    """Every sequence of edits of short conversations: none is cheaper or, at that cost, ASCII-smaller."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def every(turns, room):
+        """All (cost, audit, initials) of edits with at most ``room`` insertions."""
+        out = []
+        if room:
+            out += [(n + 5, "I" + a, c + s) for c in "ua" for n, a, s in every(turns, room - 1)]
+        if not turns:
+            return [*out, (0, "", "")]
+        (first, fault), rest = turns[0], turns[1:]
+        for n, a, s in every(rest, room):
+            out.append((n + 2, "D" + a, s))
+            if fault != 1:
+                late = 5 if fault == 2 else 0
+                out.append((n + late, "K" + a, first + s))
+                out += [(n + late + 1, "R" + a, c + s) for c in "ua"]
+        return out
+
+    import re
+
+    form = re.compile(r"(s?(ua)+)?\Z")
+    kinds = [("s", 0), ("u", 0), ("a", 0), ("o", 0), ("u", 1), ("u", 2), ("s", 2)]
+    for n in range(4):
+        for turns in itertools.product(kinds, repeat=n):
+            want = min((c, a) for c, a, s in every(turns, 2) if form.match(s))
+            symbols = "".join(symbol("tool" if r == "o" else r, f) for r, f in turns)
+            assert cheapest(product(symbols)) == want == search(turns), turns
+
+
+def test_associative():
+    rng = random.Random(3)
+    for _ in range(60):
+        s = "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 40)))
+        cuts = sorted(rng.sample(range(len(s) + 1), 2))
+        a, b, c = s[: cuts[0]], s[cuts[0] : cuts[1]], s[cuts[1] :]
+        left = multiply(multiply(product(a), product(b)), product(c))
+        assert left == multiply(product(a), multiply(product(b), product(c))) == product(s)
+
+
+def test_transcript_state():
+    rows = [("system", "S."), ("user", "U."), ("user", "V."), ("assistant", "A.")]
+    assert transcript(rows, "KKIKK") == (["system:S.", "user:U.", "assistant:", "user:V.", "assistant:A."], 3)
+    assert transcript(rows[2:], "RR", 2) == (["assistant:V.", "user:A."], 2)
