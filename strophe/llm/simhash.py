@@ -14,9 +14,10 @@ cut once more by the same argument over parts of the other bits, so no link is l
 
 ``near_copies`` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which
 differ in about ten of 64 bits, too many for blocks. There the lead keys are bands of minima of the shingle
-hashes, the search joins fingerprints at growing distances, which gives a minimum spanning forest of each
-lead key, and the edges of the forests are confirmed with the texts. Two texts at 0.8 share a band with a
-probability of 0.99997.
+hashes; two texts at 0.8 share a band with a probability of 0.99997. The sets of shingle hashes travel to the index
+with the rows, once for each group of texts that share bands. The search goes through the tree at growing
+distances, and each pair that it finds is settled at once with the sets: only pairs that are alike join their
+components, so what is rejected hides nothing.
 
 Components come from alternating large-star and small-star rounds.
 """
@@ -46,8 +47,14 @@ CUTS = 4
 SEGMENT = 1 << 17
 #: near_copies: words of a shingle, least similarity, bands and their rows, distances at which fingerprints are joined.
 COPY_SHINGLE, SIMILARITY, BANDS, ROWS, RADII = 5, 0.8, 20, 4, (0, 2, 4, 6, 8, 10, 12, 14, 16, 20)
-#: near_copies: bands that are combined with a crowded one, and members of a crowded key that all its parts hold.
-SECOND, PIVOTS = 5, 64
+#: near_copies: bands that are combined with a crowded one; shingles of a text up to which its set is whole, beyond it a part
+#: by hash, of this size at least half; shingles under a lead key beyond which it is dealt out.
+SECOND, SET, KEY_SHINGLES = 5, 1 << 14, 1 << 23
+#: Sets of up to so many shingles are exact in 32 bits; the margins around the threshold in which texts decide about others, by
+#: standard deviations of a part and for chance equality of hashes.
+EXACT, SIGMAS, CHANCE = 4096, 4, 0.002
+#: Pairs that are settled together, and elements of sets that are looked up together.
+SETTLED, LOOKUP = 1 << 16, 1 << 22
 #: Bytes of a text whose words are held at a time.
 SLICE = 1 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -177,15 +184,24 @@ class GrayIndex:
             out.append(np.where(low == high, low, -1))
         return out
 
-    def join(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Edges (positions in the input) that join the components of rows with equal keys within ``limit`` bits."""
-        n, out = len(self.fps), []
+    def join(self, limit: int, above: int = -1, settle=None) -> tuple[np.ndarray, np.ndarray]:
+        """Edges (positions in the input) that join the components of rows with equal keys within ``limit`` bits.
+
+        ``settle`` takes arrays of positions and says of each pair whether it is one; only these join components.
+        Pairs that differ in no more than ``above`` bits have been settled before and are passed over.
+        """
+        n, out, most = len(self.fps), [], FRONTIER if settle is None else SETTLED
         settled, found, held = self._settled(), [], 0
 
         def merge():
             nonlocal settled, found, held
             if held:
                 a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+                if settle is not None:
+                    open_ = self.label[a] != self.label[b]
+                    a, b, d = a[open_], b[open_], d[open_]
+                    sure = settle(self.order[a], self.order[b])
+                    a, b, d = a[sure], b[sure], d[sure]
                 pick = forest(self.label, a, b, d)
                 out.append((a[pick], b[pick]))
                 settled, found, held = self._settled(), [], 0
@@ -199,10 +215,10 @@ class GrayIndex:
                     near = (node > q) & (self.keys[q] == self.keys[node])
                     q, node = q[near], node[near]
                     diff = np.bitwise_count(self.fps[q] ^ self.fps[node])
-                    near = (diff <= limit) & (self.label[q] != self.label[node])
+                    near = (diff <= limit) & (diff > above) & (self.label[q] != self.label[node])
                     found.append((q[near], node[near], diff[near]))
                     held += int(near.sum())
-                    if held > FRONTIER:
+                    if held > most:
                         merge()
                     continue
                 _, ends, key, key_own, fp, fp_own = self.levels[depth]
@@ -214,7 +230,7 @@ class GrayIndex:
                 q, node, diff = q[live], node[live], diff[live]
                 last = depth == len(self.levels) - 1
                 width, below = (LEAF, n) if last else (FAN, len(self.levels[depth + 1][0]))
-                step = max(1, FRONTIER // width)
+                step = max(1, most // width)
                 for at in range(0, len(q), step):
                     child = (node[at : at + step, None] * width + np.arange(width)).ravel()
                     ok = child < below
@@ -224,23 +240,27 @@ class GrayIndex:
         return self.order[a], self.order[b]
 
 
-def segments(batches, *names):
-    """Arrays of the columns of whole lead keys (``route``), which arrive sorted, of about SEGMENT rows together."""
-    held, rows = [], 0
+def segments(batches, *names, heavy: str | None = None):
+    """Arrays of the columns of whole lead keys (``route``), which arrive sorted, of about SEGMENT rows together.
+
+    Of the column ``heavy``, which holds sets, no more than about KEY_SHINGLES elements come together.
+    """
+    held, rows, weight = [], 0, 0
     for batch in batches:
         part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("route", *names)]
         if not batch.num_rows:
             continue
-        if rows >= SEGMENT:
+        if rows >= SEGMENT or weight >= KEY_SHINGLES:
             cut = int(np.searchsorted(part[0] != held[-1][0][-1], True))  # rows of the key that is still open
             held.append([c[:cut] for c in part])
             rows += cut
             if cut == batch.num_rows:
                 continue
             yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            held, rows, part = [], 0, [c[cut:] for c in part]
+            held, rows, weight, part = [], 0, 0, [c[cut:] for c in part]
         held.append(part)
         rows += len(part[0])
+        weight += sum(map(len, part[1 + names.index(heavy)])) // 4 if heavy else 0
     if rows:
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
@@ -383,32 +403,123 @@ def minima(hashes: np.ndarray, count: int) -> np.ndarray:
 def _sketch_batches(shingle, bands, rows):
     def run(batches):
         for b in batches:
-            fps, keys = [], []
+            fps, sizes, keys = [], [], []
             for t in b.column("text"):
                 hashes = shingle_set(t.as_py(), shingle)
                 fps.append(majority([hashes]))
+                sizes.append(len(hashes))
                 low = minima(hashes, bands * rows).reshape(bands, rows)
                 keys.append([xxhash.xxh3_64_intdigest(low[i].tobytes(), i) for i in range(bands)])
             fps = np.array(fps, np.uint64).view(np.int64)
             keys = np.array(keys, np.uint64).view(np.int64).reshape(len(fps), bands)
             at = np.repeat(np.arange(len(fps)), bands)
             yield pa.RecordBatch.from_arrays(
-                [b.column("node").take(pa.array(at)), pa.array(fps[at]), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(fps))), pa.array(keys.ravel())],
-                names=["node", "fp", "band", "route"],
+                [b.column("node").take(pa.array(at)), pa.array(fps[at]), pa.array(np.array(sizes, np.int64)[at]), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(fps))), pa.array(keys.ravel())],
+                names=["node", "fp", "size", "band", "route"],
             )
 
     return run
 
 
-def _candidate_batches(radii):
+def level_of(size: int) -> int:
+    """Low bits that are zero in the hashes that stand for a set of this size; 0 takes them all."""
+    return max(0, -(-size // SET) - 1).bit_length()
+
+
+def part_of(hashes: np.ndarray) -> np.ndarray:
+    """What travels of a set: the low halves of its hashes, of a large set of those that the hash picks."""
+    low = hashes.astype(np.uint32)
+    return np.unique(low[low & ((1 << level_of(len(hashes))) - 1) == 0])
+
+
+def _set_batches(shingle):
     def run(batches):
-        for keys, fps, nodes in segments(batches, "fp", "node"):
-            index = GrayIndex(keys.view(np.uint64), fps.view(np.uint64))
+        for b in batches:
+            parts = [part_of(shingle_set(t.as_py(), shingle)).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(parts, pa.binary())], names=["set_node", "part"])
+
+    return run
+
+
+class SetTest:
+    """Settles pairs of sets, given by what travels of them and their sizes."""
+
+    def __init__(self, parts, sizes: np.ndarray, least: float):
+        self.least, self.sizes = least, sizes
+        values = [np.frombuffer(p, np.uint32) for p in parts]
+        self.lens = np.array([len(v) for v in values], np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        flat = np.concatenate(values) if len(values) else np.zeros(0, np.uint32)
+        names, at = np.unique(flat, return_inverse=True)
+        self.flat = at.astype(np.int32)
+        self.mark = np.zeros(len(names), bool)
+        self.levels = np.array([level_of(n) for n in sizes.tolist()], np.int64)
+        self.counts = {}  # members of each set that a higher level would leave
+        for level in sorted(set(self.levels.tolist())):
+            left = np.concatenate(([0], np.cumsum(flat & ((1 << level) - 1) == 0)))
+            self.counts[level] = left[self.starts + self.lens] - left[self.starts]
+        self.doubtful: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def shared(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Members that the set ``a`` shares with each of the others."""
+        mine = self.flat[self.starts[a] : self.starts[a] + self.lens[a]]
+        self.mark[mine] = True
+        lens, out = self.lens[others], np.zeros(len(others), np.int64)
+        ends = np.cumsum(lens)
+        lo = 0
+        while lo < len(others):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + LOOKUP, "right")))
+            n = lens[lo:hi]
+            at = np.repeat(self.starts[others[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            hits = np.concatenate(([0], np.cumsum(self.mark[self.flat[at]])))
+            ends_here = np.cumsum(n)
+            out[lo:hi] = hits[ends_here] - hits[ends_here - n]
+            lo = hi
+        self.mark[mine] = False
+        return out
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs are alike for sure; those that only the texts can settle are noted as doubtful."""
+        sure = np.zeros(len(a), bool)
+        small, large = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        worth = np.flatnonzero(small >= self.least * large)
+        worth = worth[np.argsort(a[worth], kind="stable")]
+        firsts = np.flatnonzero(np.diff(a[worth], prepend=-1))
+        doubt = []
+        for lo, hi in zip(firsts, [*firsts[1:], len(worth)], strict=True):
+            at = worth[lo:hi]
+            x, others = int(a[at[0]]), b[at]
+            both = self.shared(x, others)
+            level = np.maximum(self.levels[x], self.levels[others])
+            union = np.zeros(len(at), np.int64)
+            for v in set(level.tolist()):
+                mine = level == v
+                union[mine] = self.counts[v][x] + self.counts[v][others[mine]]
+            union -= both
+            part = level > 0
+            margin = np.where(part, SIGMAS * np.sqrt(0.25 / np.maximum(union, 1)), np.where(large[at] > EXACT, CHANCE, 0.0))
+            sure[at] = both >= (self.least + margin) * union
+            unsure = ~sure[at] & (both >= (self.least - margin) * union)
+            doubt.append(at[unsure])
+        doubt = np.concatenate(doubt) if doubt else np.zeros(0, np.int64)
+        if len(doubt):
+            self.doubtful.append((a[doubt], b[doubt]))
+        return sure
+
+
+def _copy_batches(radii, least):
+    """Edges u, v of the forests of alike texts, and pairs about which the texts must decide (``sure`` is false)."""
+
+    def run(batches):
+        for keys, fps, nodes, sizes, parts in segments(batches, "fp", "node", "size", "part", heavy="part"):
+            index, test, above = GrayIndex(keys.view(np.uint64), fps.view(np.uint64)), SetTest(parts, sizes, least), -1
             for radius in radii:
-                a, b = index.join(radius)
-                if len(a):
-                    u, v = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                found = [(*index.join(radius, above, test), True), *[(*x, False) for x in test.doubtful]]
+                test.doubtful, above = [], radius
+                for a, b, sure in found:
+                    if len(a):
+                        u, v = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), sure))], names=["u", "v", "sure"])
 
     return run
 
@@ -431,47 +542,65 @@ def _confirmed_batches(shingle, least):
     return run
 
 
+def _dealt(rows: DataFrame, hot: int) -> DataFrame:
+    """``node, fp, size, route`` of the lead keys that several nodes have, one key for each group of nodes, dealt out where crowded.
+
+    Keys with the same members would settle the same pairs, so one of them is enough. The members of a key with over
+    ``hot`` nodes, or KEY_SHINGLES, are dealt into parts, and every two parts meet under a key of their own.
+    """
+    members = [F.count(F.lit(1)).alias("count"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.sum(F.least("size", F.lit(2 * SET))).alias("words")]
+    sizes = rows.groupBy("route").agg(*members).filter("count > 1").groupBy("count", "x", "y", "words").agg(F.min("route").alias("route"))
+    share = F.greatest(F.col("count") / hot, F.col("words") / KEY_SHINGLES)
+    parts = F.when(share > 1, F.ceil(2 * share)).otherwise(1).cast("int")
+    met = rows.join(materialise(sizes.select("route", parts.alias("parts")), "route-sizes"), "route")
+    own = F.pmod(F.xxhash64("route", "node"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("own"))
+    shared = met.filter("parts > 1").withColumn("own", own).withColumn("other", F.explode(others))
+    shared = shared.select("node", "fp", "size", F.xxhash64("route", F.least("own", "other"), F.greatest("own", "other")).alias("route"))
+    return met.filter("parts = 1").select("node", "fp", "size", "route").unionByName(shared)
+
+
 def _shared(sketches: DataFrame, hot: int, bands: int) -> DataFrame:
-    """``node, fp, route`` rows of the lead keys that several nodes have.
+    """``node, fp, size, route`` rows under which all pairs that share a band can meet.
 
     A band's key with over ``hot`` nodes is combined with the keys of the next SECOND bands: two texts that
-    share five of 20 bands share a pair of these. Combined keys that are still crowded hold texts that are
-    nearly all alike; they are dealt into parts, which are tied together by PIVOTS common members.
+    share five of 20 bands share a pair of these.
     """
-    sizes = materialise(sketches.groupBy("route").count().filter("count > 1"), "route-sizes")
-    shared = sketches.join(sizes, "route")
-    out = shared.filter(F.col("count") <= hot).select("node", "fp", "route")
-    if sizes.filter(F.col("count") > hot).isEmpty():
-        return out
-    first = shared.filter(F.col("count") > hot).select("node", "fp", "band", "route")
+    counts = materialise(sketches.groupBy("route").agg(F.count(F.lit(1)).alias("count")).filter("count > 1"), "route-counts")
+    few = sketches.join(counts.filter(F.col("count") <= hot), "route", "left_semi").select("node", "fp", "size", "route")
+    crowded = counts.filter(F.col("count") > hot).select("route")
+    if crowded.isEmpty():
+        return _dealt(few, hot)
+    first = sketches.join(crowded, "route", "left_semi")
     second = sketches.select("node", F.col("band").alias("band2"), F.col("route").alias("route2"))
     step = F.pmod(F.col("band2") - F.col("band"), F.lit(bands))
-    pairs = materialise(first.join(second, "node").filter((step > 0) & (step <= SECOND)).select("node", "fp", F.xxhash64("route", "route2").alias("route")), "route-pairs")
-    sizes = pairs.groupBy("route").count().filter("count > 1")
-    parts = F.ceil(F.col("count") / hot).cast("int")
-    unit = F.shiftrightunsigned(F.xxhash64("node", "route"), 11) / F.lit(float(1 << 53))
-    everywhere = (F.col("count") > hot) & (unit < F.lit(float(PIVOTS)) / F.col("count"))
-    part = F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("route", "node"), parts).cast("int")))
-    dealt = pairs.join(sizes, "route").select("node", "fp", "route", F.explode(part).alias("part"))
-    return out.unionByName(dealt.select("node", "fp", F.xxhash64("route", "part").alias("route")))
+    pairs = first.join(second, "node").filter((step > 0) & (step <= SECOND)).select("node", "fp", "size", F.xxhash64("route", "route2").alias("route"))
+    return _dealt(materialise(few.unionByName(pairs), "route-rows"), hot)
 
 
 def copy_edges(texts: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:
-    """Edges ``u, v`` between nodes of ``node, text`` rows (distinct nodes) whose similarity is ``least`` or more.
+    """Edges ``u, v`` between nodes of ``node, text`` rows (equal nodes have equal texts) whose similarity is ``least`` or more.
 
-    They connect what all such pairs would connect, but for pairs that share no band and for those joined in
-    each of their forests only over texts that are less alike than themselves.
+    They connect what all such pairs would connect, but for pairs that share no band or differ in more than the
+    last of RADII. Sets of over EXACT shingles that come close to the threshold are settled by the texts.
     """
-    sketches = materialise(in_batches(texts.select("node", "text")).mapInArrow(_sketch_batches(shingle, bands, rows), "node long, fp long, band int, route long"), "sketches")
-    shared = _shared(sketches, hot, bands)
-    found = materialise(_by_route(shared, "fp", "node").mapInArrow(_candidate_batches(RADII), "u long, v long").distinct(), "candidates")
-    ends = found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).distinct()
-    wanted = materialise(sieved(texts, "node", materialise(ends, "ends")).select("node", "text"), "candidate-texts")
-    pairs = (
-        found.join(wanted.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-        .join(wanted.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    )
-    return in_batches(pairs.select("u", "v", "a", "b")).mapInArrow(_confirmed_batches(shingle, least), "u long, v long")
+    sketches = materialise(in_batches(texts.select("node", "text")).mapInArrow(_sketch_batches(shingle, bands, rows), "node long, fp long, size long, band int, route long"), "sketches")
+    single = sketches.filter("band = 0").groupBy("node").count().filter("count > 1").isEmpty()
+    sketches = sketches if single else materialise(sketches.dropDuplicates(["node", "band"]), "sketches")
+    shared = materialise(_shared(sketches, hot, bands), "lead-keys")
+    wanted = materialise(shared.select("node").distinct(), "wanted")
+    sets = in_batches(sieved(texts, "node", wanted).select("node", "text")).mapInArrow(_set_batches(shingle), "set_node long, part binary")
+    sets = sets if single else sets.dropDuplicates(["set_node"])
+    held = shared.join(sets, F.col("node") == F.col("set_node")).select("route", "fp", "node", "size", "part")
+    dealt = held.repartition(shuffle_width(texts.sparkSession), "route").sortWithinPartitions("route", "fp", "node")
+    found = materialise(in_batches(dealt).mapInArrow(_copy_batches(RADII, least), "u long, v long, sure boolean").distinct(), "edges-found")
+    sure, open_ = found.filter("sure").select("u", "v"), found.filter("not sure").select("u", "v")
+    if open_.isEmpty():
+        return sure
+    ends = open_.select(F.col("u").alias("node")).union(open_.select(F.col("v").alias("node"))).distinct()
+    long = materialise(sieved(texts, "node", materialise(ends, "ends")).select("node", "text"), "doubtful-texts")
+    pairs = open_.join(long.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(long.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    return sure.unionByName(in_batches(pairs.select("u", "v", "a", "b")).mapInArrow(_confirmed_batches(shingle, least), "u long, v long"))
 
 
 def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:

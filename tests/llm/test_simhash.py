@@ -236,3 +236,73 @@ def test_long_text_in_slices(monkeypatch):
     want, sets = brute_fingerprint(text), shingle_set(text, 5)
     monkeypatch.setattr(simhash, "SLICE", 50)
     assert fingerprint(text) == want and (shingle_set(text, 5) == sets).all() and len(sets) == len(brute_shingles(text))
+
+
+def template_family(rng, n, words=300, own=(36, 50)):
+    """Texts around common words, near the threshold to each other; every second one is an edited copy of the one before."""
+    common, out = [f"t{i}" for i in range(words)], []
+    for i in range(n):
+        text = list(out[-1]) if i % 2 else common + [f"o{rng.random()}" for _ in range(rng.randint(*own))]
+        for _ in range(rng.randint(1, 3) if i % 2 else 0):
+            text[rng.randrange(words, len(text))] = f"z{rng.random()}"
+        out.append(text)
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize(("own", "hot"), [((36, 50), 20_000), ((60, 200), 20_000), ((36, 50), 50)])
+def test_recall_in_template_families(spark, own, hot):
+    """Of all pairs at 0.8 or more at least 0.95 are linked, and nothing else is, also under crowded keys; the same in each run."""
+    texts = template_family(random.Random(hot + own[1]), 240, own=own) + template_family(random.Random(1), 60, 40, (5, 12))
+    sets = [set(shingle_set(t, 5).tolist()) for t in texts]
+    both = lambda a, b: len(sets[a] & sets[b])
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if both(a, b) >= 0.8 * (len(sets[a]) + len(sets[b]) - both(a, b))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r["node"]: r["doc_id"] for r in docs.selectExpr("xxhash64(text) as node", "doc_id").collect()}
+    runs = [sorted((ids[r["node"]], r["component_id"]) for r in near_copies(docs.repartition(k), hot=hot).collect()) for k in (3, 5)]
+    assert runs[0] == runs[1]
+    got = dict(runs[0])
+    assert len(pairs) >= 100 and sum(got.get(a, a) == got.get(b, b) for a, b in pairs) >= 0.95 * len(pairs)
+    assert same_partition([got.get(i, i) for i in range(len(texts))], joined(len(texts), pairs))
+
+
+def test_rejected_pairs_hide_nothing():
+    """A pair that ``settle`` rejects joins nothing, and none is asked about twice."""
+    rng = random.Random(8)
+    fps = np.array(clustered(rng, 400), np.uint64)
+    index, asked, good = GrayIndex(np.zeros(len(fps), np.uint64), fps), [], set()
+
+    def settle(a, b):
+        pairs = [(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())]
+        asked.extend(pairs)
+        return np.array([(x + y) % 3 == 0 for x, y in pairs], bool)
+
+    above = -1
+    for radius in (0, 2, 4, 8, 12):
+        for a, b in zip(*index.join(radius, above, settle)):
+            good.add((min(a, b), max(a, b)))
+        above = radius
+    near = [(a, b) for b in range(len(fps)) for a in range(b) if int(fps[a] ^ fps[b]).bit_count() <= 12]
+    assert len(asked) == len(set(asked)) and set(asked) <= set(near)
+    assert same_partition(joined(len(fps), good), joined(len(fps), [(a, b) for a, b in near if (a + b) % 3 == 0]))
+
+
+@pytest.mark.parametrize("size", [1 << 14, 64])
+def test_settling_by_sets(monkeypatch, size):
+    """Whole sets decide exactly; parts of large ones are right or in doubt."""
+    monkeypatch.setattr(simhash, "SET", size)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
+    sets = [base[:0], base[:1]]
+    for k in range(120):
+        n = int(rng.choice([5, 60, 130, 700]))
+        sets.append(np.unique(np.concatenate((base[: n - int(n * 0.2 * rng.random())], rng.integers(0, 1 << 63, int(n * 0.15 * rng.random())).astype(np.uint64)))))
+    test = simhash.SetTest([simhash.part_of(s).tobytes() for s in sets], np.array([len(s) for s in sets]), 0.8)
+    a, b = np.triu_indices(len(sets), 1)
+    sure = test(a, b)
+    doubtful = set() if not test.doubtful else set(zip(*(x.tolist() for x in map(np.concatenate, zip(*test.doubtful)))))
+    for x, y, s in zip(a.tolist(), b.tolist(), sure.tolist()):
+        both = len(np.intersect1d(sets[x], sets[y]))
+        union = len(sets[x]) + len(sets[y]) - both
+        if (x, y) not in doubtful:
+            assert s == (both >= 0.8 * union), (x, y, both, union)
+    assert len(doubtful) == 0 if size > 100 else len(doubtful) < len(a) / 2
