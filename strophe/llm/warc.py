@@ -53,8 +53,8 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-#: Bytes of a member written here before its deflate stream.
-_START = 12 + 12
+#: Bytes of a member written here before its deflate stream, and the name of the extra field that holds the member's length.
+_START, _OWN = 12 + 12, b"St"
 
 
 def _urn(page_id: int | None) -> str:
@@ -80,7 +80,7 @@ def member(page_id: int | None, url: str | None, payload: bytes, length: int, di
     raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     z = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = z.compress(raw) + z.flush()
-    extra = b"sl" + struct.pack("<HQ", 8, _START + len(body) + 8)
+    extra = _OWN + struct.pack("<HQ", 8, _START + len(body) + 8)
     start = b"\x1f\x8b\x08\x04" + b"\0\0\0\0" + b"\0\xff" + struct.pack("<H", len(extra)) + extra
     return start + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
@@ -276,16 +276,30 @@ def records(f, size: int, start: int, end: int, wanted, with_payload: bool):
         return
     pos = _first(w, start, end)
     while pos is not None and pos < end:
-        known = w.get(pos, 4)[3] == 4 and w.get(pos + 10, 4) == struct.pack("<H", 12) + b"sl"
+        after = _next_member(w, pos)
         member_ = _Member(w, pos)
-        for record, payload, take in _parsed(member_, wanted, with_payload, alone=known):
+        for record, payload, take in _parsed(member_, wanted, with_payload, alone=after is not None):
             if take:
                 yield record, payload
-        pos = pos + struct.unpack("<Q", w.get(pos + 16, 8))[0] if known else member_.end()
+        pos = member_.end() if after is None else after
         if pos >= size:
             return
 
 
+def _next_member(w: _Window, pos: int) -> int | None:
+    """Where the member at ``pos``, which holds one record, ends by its own word; None if it must be inflated to tell.
+
+    Only members written here are known to hold one record. The skip lengths of other writers (first half of
+    their field) are the member's, too, but say nothing of how many records it holds, so such members are
+    inflated; nothing is passed over unread.
+    """
+    head = w.get(pos, min(24, w.size - pos))
+    if len(head) < 24 or not head[3] & 4 or head[10:16] != struct.pack("<H", 12) + _OWN + struct.pack("<H", 8):
+        return None
+    end = pos + struct.unpack("<Q", head[16:24])[0]
+    return end if end == w.size or (pos + _START < end < w.size - 1 and w.get(end, 2) == b"\x1f\x8b") else None
+
+
 def _first(w: _Window, start: int, end: int) -> int | None:
     """Position of the first member at or after start whose data begins a WARC record."""
     pos = start

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import struct
 from collections import Counter
 
 import pytest
@@ -133,6 +134,50 @@ FOREIGN = [
 ]
 
 
+def with_extra(data, extra):
+    """A gzip member with the fields in its head."""
+    return data[:3] + b"\x04" + data[4:10] + struct.pack("<H", len(extra)) + extra + data[10:]
+
+
+def skip_lengths(raw, two=True, wrong=0):
+    """A member with the field of skip lengths: of the compressed and the plain member in 32 bits each, or one in 64 bits."""
+    data = gzip.compress(raw)
+    size = len(data) + 14 + wrong
+    return with_extra(data, b"sl" + struct.pack("<H", 8) + (struct.pack("<II", size, len(raw)) if two else struct.pack("<Q", size)))
+
+
+@pytest.mark.parametrize("split", [120, 5000, 1 << 20])
+@pytest.mark.parametrize("form", ["two", "one", "wrong", "other", "mixed", "groups"])
+def test_extra_fields_of_other_writers(form, split):
+    """Whatever the extra fields say, each record comes back once, in any split."""
+    raw = [record("resource", (b"block %d " % i) * (1 + 200 * (i % 3)), "a/b", i) for i in range(20)]
+    make = {
+        "two": skip_lengths, "one": lambda r: skip_lengths(r, False), "wrong": lambda r: skip_lengths(r, wrong=-7), "groups": skip_lengths,
+        "other": lambda r: with_extra(gzip.compress(r), b"XX\x02\0abSt\x08\0" + b"\xff" * 8), "mixed": lambda r: skip_lengths(r, len(r) % 2 == 0) if len(r) % 3 else gzip.compress(r),
+    }[form]
+    parts = [b"".join(raw[i : i + 4]) for i in range(0, 20, 4)] if form == "groups" else raw
+    data = b"".join(map(make, parts)) + (member(77, "u", b"ours", 4, "d", None) if form == "mixed" else b"")
+    got = [r["page_id"] for at in range(0, len(data), split) for r, _ in records(io.BytesIO(data), len(data), at, min(len(data), at + split), lambda r: True, True)]
+    assert got == [*range(20), *([77] if form == "mixed" else [])]
+
+
+def test_a_wrong_length_of_our_own_field():
+    """A length that doesn't lead to a member is not believed."""
+    bad = bytearray(member(1, "u", b"one", 3, "d", None))
+    bad[16:24] = struct.pack("<Q", 40)
+    data = bytes(bad) + member(2, "u", b"two", 3, "d", None)
+    assert [r["page_id"] for r, _ in records(io.BytesIO(data), len(data), 0, len(data), lambda r: True, True)] == [1, 2]
+
+
+def test_payload_of_64_mib(spark, tmp_path):
+    """A payload of 64 MiB goes through Spark and comes back whole."""
+    text = "0123456789abcdef" * (4 << 20)
+    write_warc(table(spark, [(1, "u", text), (2, "u", "small " * 30)]), str(tmp_path / "w"))
+    got = {r["page_id"]: r for r in read_warc(spark, str(tmp_path / "w")).selectExpr("page_id", "payload_bytes", "sha2(payload, 256) as h", "payload_digest").collect()}
+    want = hashlib.sha256(text.encode()).hexdigest()
+    assert (got[1]["payload_bytes"], got[1]["h"], got[1]["payload_digest"]) == (64 << 20, want, want) and got[2]["payload_bytes"] == 180
+
+
 @pytest.mark.parametrize("form", ["plain", "a member each", "one member", "members of three"])
 def test_archives_of_other_writers(spark, tmp_path, form):
     """Plain files and gzip members of one, some or all records give every record with its payload."""
