@@ -29,9 +29,11 @@ TOKENS = 2048
 SEGMENTS = 64
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Tokens that a partition gathers before it packs them, and entries of a worker's word cache.
+#: Tokens that a partition gathers before it packs them, bytes that a worker's word cache takes, and characters of the longest words in it.
 BLOCK_TOKENS = 4_000_000
-CACHE_WORDS = 500_000
+CACHE_BYTES, CACHED = 160 << 20, 128
+#: Bytes of an entry beyond its word and ids.
+_ENTRY = 200
 #: Characters outside these, a "<|" or text that is not in NFC takes the library's own whole path.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įĲ-ňŊ-ž]|<\|")
 #: Characters of a text that are encoded at a time, and where it may be cut.
@@ -61,7 +63,13 @@ class WordBpe:
         self.model = self.whole.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.level = level
-        self.cache, self.words = {}, {}
+        self.cache, self.words, self.held = {}, {}, 0
+
+    def keep(self, known: dict, w: str, ids: bytes) -> None:
+        """Remember a word unless it is long; a full cache is emptied."""
+        if len(w) <= CACHED:
+            known[w] = ids
+            self.held += _ENTRY + len(w) + len(ids)
 
     def stretch(self, s: str) -> bytes:
         parts = []
@@ -70,7 +78,8 @@ class WordBpe:
             if ids is None:
                 mapped = w if w.isascii() else self.level.pre_tokenize_str(w)[0][0]
                 tokens = self.model.tokenize(mapped)
-                ids = self.words[w] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+                ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+                self.keep(self.words, w, ids)
             parts.append(ids)
         return parts[0] if len(parts) == 1 else b"".join(parts)
 
@@ -97,14 +106,16 @@ class WordBpe:
         try:
             return b"".join([cache[w] for w in words])
         except KeyError:
-            if len(cache) > CACHE_WORDS:
+            if self.held > CACHE_BYTES:
                 cache.clear()
-            if len(self.words) > CACHE_WORDS:
                 self.words.clear()
+                self.held = 0
+            own = {}
             for w in words:
-                if w not in cache:
-                    cache[w] = self.stretch(w)
-            return b"".join([cache[w] for w in words])
+                if w not in cache and w not in own:
+                    own[w] = self.stretch(w)
+                    self.keep(cache, w, own[w])
+            return b"".join([own[w] if w in own else cache[w] for w in words])
 
 
 class Pool:

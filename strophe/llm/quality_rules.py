@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 50, 50
 ALL = ""
 CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "quote", "symbol", "other")
 _STRIP = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
-_FLUSH = 500_000
+#: Bytes of a word from which its form is counted by a digest, and different words that a task counts before it passes them on.
+LONG_WORD, _FLUSH = 64, 500_000
 #: Characters of a text that are classed at a time.
 SLICE = 1 << 20
 
@@ -73,7 +75,15 @@ def class_counts(text: str) -> np.ndarray:
 
 
 def common_form(word: bytes) -> str:
-    return _STRIP.sub("", word.decode("utf-8", "surrogatepass").lower())
+    """The word in lower case without marks at its ends; of a long word a digest of that, which begins as no form does."""
+    form = _STRIP.sub("", word.decode("utf-8", "surrogatepass").lower())
+    return form if len(word) <= LONG_WORD else "#" + xxhash.xxh3_128_hexdigest(form.encode("utf-8", "surrogatepass")) if form else ""
+
+
+def counted(words: list[bytes]):
+    """What is counted for each word until forms are made: the word, or for a long one its form behind a byte that begins none."""
+    for w in words:
+        yield w if len(w) <= LONG_WORD else b"\xff" + common_form(w).encode()
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -142,7 +152,7 @@ def _reference_batches(batches):
             classes[lang] = classes.get(lang, 0) + class_counts(text)
             counter = words.setdefault(lang, Counter())
             for some in word_slices(text.encode("utf-8", "surrogatepass")):
-                counter.update(some)
+                counter.update(some if max(map(len, some), default=0) <= LONG_WORD else counted(some))
         if sum(map(len, words.values())) > _FLUSH:
             words = {g: _formed(c) for g, c in words.items()}
             yield flush()
@@ -153,7 +163,7 @@ def _reference_batches(batches):
 def _formed(counts: Counter) -> Counter:
     out: Counter = Counter()
     for w, n in counts.items():
-        out[common_form(w)] += n
+        out[w[1:].decode() if w[:1] == b"\xff" else common_form(w)] += n
     return out
 
 

@@ -25,7 +25,7 @@ def test_ids_are_the_library_s(monkeypatch):
     for _ in range(2):  # cold and from the cache
         for _, t, _ in rows():
             assert np.frombuffer(coder.encode(t or ""), "<u4").tolist() == library_ids(t)
-    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1500)
     for _, t, _ in rows()[:9]:
         assert np.frombuffer(coder.encode(t or ""), "<u4").tolist() == library_ids(t)
 

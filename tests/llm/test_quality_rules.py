@@ -137,3 +137,39 @@ def test_flush_and_empty(spark, monkeypatch):
     none = q.references(empty)
     assert none.classes == {} and q.judge(empty, none).collect() == []
     assert q.judge(table(spark), none).count() == len(rows())
+
+
+def test_long_words_are_counted_by_digests(spark):
+    """A common long word has a bin of its own, whatever its length, and is found again."""
+    word = "Base64" + "abcdEFGH" * 2000
+    text = " ".join([word, "(" + word.lower() + ")", *(f"w{i % 40}" for i in range(98))])
+    ref = q.references(spark.createDataFrame([(i, text, "en") for i in range(5)], "doc_id long, text string, lang string"))
+    name = q.common_form(word.encode())
+    assert len(name) == 33 and name in ref.words["en"] and ref.histograms["en"][ref.words["en"][name]] == 10
+    assert q.common_form(("(" + word.lower() + ").").encode()) == name and q.common_form(b"(" + b"Word" * 3 + b")") == "wordwordword"
+    assert q.distances(text, *q.numbered(text), "en", ref) == (0.0, 0.0) and q.common_form(b"*" * 500) == ""
+
+
+def test_many_long_words_in_bounded_memory():
+    """6,000 texts of one distinct word of 10 kB each leave nothing of that size behind."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, pyarrow as pa
+from strophe.llm import packing, quality_rules
+rng = random.Random(1)
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+def batches():
+    for i in range(60):
+        yield pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "lang": ["en"] * 100, "text": ["".join(rng.choices("abcdefgh", k=10_000)) for _ in range(100)]})
+run = packing._pack_batches(packing.tokenizer_path(), 1, 2048, 64, None, False)
+sum(b.num_rows for b in run(iter([next(batches())])))
+sum(b.num_rows for b in quality_rules._reference_batches(iter([next(batches())])))
+before = peak()
+n = sum(b.num_rows for b in quality_rules._reference_batches(batches()))
+m = sum(b.num_rows for b in packing._pack_batches(packing.tokenizer_path(), 1, 2048, 64, None, False)(batches()))
+print(n, m, peak() - before)
+"""
+    n, m, mb = map(int, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout.split())
+    assert n >= 6000 and m >= 6000 and mb < 200
