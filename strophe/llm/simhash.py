@@ -484,6 +484,8 @@ class SetTest:
         small, large = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
         worth = np.flatnonzero(small >= self.least * large)
         worth = worth[np.argsort(a[worth], kind="stable")]
+        if not len(worth):
+            return sure
         firsts = np.flatnonzero(np.diff(a[worth], prepend=-1))
         doubt = []
         for lo, hi in zip(firsts, [*firsts[1:], len(worth)], strict=True):

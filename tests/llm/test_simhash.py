@@ -305,4 +305,6 @@ def test_settling_by_sets(monkeypatch, size):
         union = len(sets[x]) + len(sets[y]) - both
         if (x, y) not in doubtful:
             assert s == (both >= 0.8 * union), (x, y, both, union)
+    sizes = [len(x) for x in sets]
+    assert not test(np.array([0]), np.array([sizes.index(max(sizes))])).any()  # sizes alone tell
     assert len(doubtful) == 0 if size > 100 else len(doubtful) < len(a) / 2
