@@ -1,24 +1,21 @@
 """Phrase search in lyrics with trigram semantics and column-weighted BM25.
 
-A stored :class:`TrigramIndex` holds the postings of the texts' trigrams, in folders by a hash of the trigram,
-and the corpus statistics. With it a search reads the folders of the phrase's trigrams and only the texts
-that have all of them; without it, all texts.
+A catalogue's :class:`TextIndex` finds and ranks phrases without reading texts. The forms here read all texts;
+they state the rule, serve catalogues without an index, and cut the snippets.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lyrics import exact_snippet, quoted, snippet
 from ..functions.text import simplify_text
+from .textindex import K1, MIN_CHARS, WEIGHTS, B, TextIndex
 
-K1, B = 1.2, 0.75
-MAIN_WEIGHT, BACKGROUND_WEIGHT = 1.0, 0.25
-#: A phrase shorter than a trigram matches nothing.
-MIN_CHARS = 3
+MAIN_WEIGHT, BACKGROUND_WEIGHT = WEIGHTS
+#: Ids that are pushed to the scan of the texts.
+PUSHED = 1000
 
 
 def matches(text: Column, keyword: str) -> Column:
@@ -57,71 +54,27 @@ def bm25(docs: DataFrame, keyword: str, statistics: DataFrame | None = None) ->
     return scored.withColumn("rank", rank).select(*docs.columns, "rank")
 
 
-def search(docs: DataFrame, keyword: str, limit: int, exact: bool = False, index: TrigramIndex | None = None) -> DataFrame:
+def search(docs: DataFrame, keyword: str, limit: int, exact: bool = False, index: TextIndex | None = None) -> DataFrame:
     """The best ``limit`` hits: ``id, timestamp, rank, field, snippet``; ties by id.
 
     ``field`` is MainLyric unless only the background text has a line with the phrase; a phrase across
     lines has no snippet. ``exact`` takes the Arrow path for snippets, which differs only where
-    lower-casing changes a text's length; it runs on the best hits alone. ``index`` must be that of ``docs``.
+    lower-casing changes a text's length; it runs on the best hits alone. With ``index``, which must be that of
+    ``docs``, hits are found and ranked from its postings, and texts are read for the best hits, whose ids and ranks
+    pass through the driver; without it, all texts are read.
     """
     keyword = simplify_text(keyword)
+    docs = docs.select("id", "timestamp", "lyric_text", "bg_vocal_text")
     if len(keyword.strip()) == 0:
         return docs.select("id", "timestamp", F.lit(0.0).alias("rank"), F.lit("").alias("field"), F.lit("").alias("snippet")).limit(0)
-    docs, statistics = docs.select("id", "timestamp", "lyric_text", "bg_vocal_text"), None
-    if index is not None:
-        docs = docs.join(index.candidates(docs.sparkSession, keyword), "id", "left_semi")
-        statistics = index.statistics(docs, keyword)
-    top = bm25(docs, keyword, statistics).orderBy("rank", "id").limit(limit)
+    if index is None:
+        top = bm25(docs, keyword).orderBy("rank", "id").limit(limit)
+    else:
+        best = index.top(docs.sparkSession, keyword, limit)
+        ranks = docs.sparkSession.createDataFrame(best, "best_id long, rank double")
+        wanted = docs.filter(F.col("id").isin([i for i, _ in best])) if len(best) <= PUSHED else docs
+        top = wanted.join(F.broadcast(ranks) if len(best) <= PUSHED else ranks, F.col("id") == F.col("best_id")).drop("best_id")
     cut = exact_snippet(keyword) if exact else lambda c: snippet(F.col(c), keyword)
     top = top.withColumns({"in_main": cut("lyric_text"), "in_bg": cut("bg_vocal_text")})
     field = F.when(F.col("in_main").isNull() & F.col("in_bg").isNotNull(), "BackgroundVocal").otherwise("MainLyric")
-    return top.select("id", "timestamp", "rank", field.alias("field"), F.coalesce("in_main", "in_bg").alias("snippet"))
-
-
-def trigram_index(docs: DataFrame) -> DataFrame:
-    """Extension: ``gram, id``, each distinct trigram of a song's texts, for a stored posting table."""
-    text = F.lower(F.concat_ws("\n\n\n", "lyric_text", "bg_vocal_text"))
-    c = F.col("c")  # characters as an array: a position in a string would be searched from its start
-    grams = F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
-    chars = docs.select("id", F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)).alias("c")).filter(F.size("c") >= 3)
-    return chars.select(F.explode(F.array_distinct(grams)).alias("gram"), "id")
-
-
-def candidates(index: DataFrame, keyword: str) -> DataFrame:
-    """Extension: ids whose texts hold all trigrams of the phrase; a superset of its hits."""
-    low = keyword.lower()
-    grams = list(dict.fromkeys(low[i : i + 3] for i in range(len(low) - 2)))
-    if not grams:
-        return index.select("id").limit(0)
-    return index.filter(F.col("gram").isin(grams)).groupBy("id").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams)).select("id")
-
-
-#: Folders of a stored index.
-BUCKETS = 64
-
-
-class TrigramIndex(NamedTuple):
-    """A stored index: ``postings`` by bucket, and ``totals`` of the corpus it was built of."""
-
-    path: str
-
-    @classmethod
-    def build(cls, docs: DataFrame, path: str) -> TrigramIndex:
-        grams = trigram_index(docs).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-        grams.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        length = trigrams(F.col("lyric_text")) + trigrams(F.col("bg_vocal_text"))
-        docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(length).alias("total")).write.mode("overwrite").parquet(f"{path}/totals")
-        return cls(path)
-
-    def candidates(self, spark: SparkSession, keyword: str) -> DataFrame:
-        """Ids of the texts that hold all trigrams of the phrase; reads only the folders of these."""
-        grams = F.array(*[F.lit(keyword.lower()[i : i + 3]) for i in range(len(keyword) - 2)]).cast("array<string>")
-        buckets = spark.range(1).select(F.array_distinct(F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))).first()[0]
-        return candidates(spark.read.schema("gram string, id long, bucket int").parquet(f"{self.path}/postings").filter(F.col("bucket").isin(buckets)), keyword)
-
-    def statistics(self, docs: DataFrame, keyword: str) -> DataFrame:
-        """:func:`corpus_statistics`, with the hits counted among the candidates."""
-        totals = docs.sparkSession.read.parquet(f"{self.path}/totals").first()
-        hit = matches(F.col("lyric_text"), keyword) | matches(F.col("bg_vocal_text"), keyword)
-        mean = totals["total"] / totals["n_docs"] if totals["n_docs"] else None
-        return docs.agg(F.lit(totals["n_docs"]).alias("n_docs"), F.lit(mean).cast("double").alias("mean_length"), F.count_if(hit).alias("n_hits"))
+    return top.select("id", "timestamp", "rank", field.alias("field"), F.coalesce("in_main", "in_bg").alias("snippet")).orderBy("rank", "id")

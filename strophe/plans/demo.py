@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import filename_timestamp, lyric_id
 from ..functions.text import normalize_names
 from ..schema import CATALOGUE
+from ..sources.catalogue import Catalogue
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +20,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The demonstration catalogue, stored once a session in the shared folder, as an engine's catalogue is."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session that names none writes below its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    return base.rstrip("/")
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Catalogue:
+    """The demonstration catalogue, stored once a session in the shared folder by two upserts.
+
+    The first has other lyrics for each seventh song, which the second replaces.
+    """
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _STORED:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{base.rstrip('/')}/strophe-demo/{key[0]}-{uuid.uuid4().hex}"
-        build(spark, sf_dir).write.parquet(path)
+        path = f"{shared_dir(spark)}/strophe-demo/{key[0]}-{uuid.uuid4().hex}"
+        stored, songs = Catalogue(spark, path), build(spark, sf_dir)
+        later = F.col("timestamp") / 60000 % 7 == 3
+        stored.upsert(songs.withColumn("lyric_text", F.when(later, F.concat(F.lit("no intention of attention yet\n"), "lyric_text")).otherwise(F.col("lyric_text"))))
+        stored.upsert(songs.filter(later))
         _STORED[key] = path
-    return spark.read.schema(CATALOGUE).parquet(_STORED[key])
+    return Catalogue(spark, _STORED[key])
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).read()
 
 
 def build(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,17 +20,20 @@ from ..sources import index as index_source
 from ..sources.ttml import parse
 from . import oracle as o
 from . import service
-from .demo import SONGS_SQL, catalogue
+from .demo import SONGS_SQL, catalogue, engine
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, with_songs: bool = True):
-    """Register a function of the catalogue (or of (spark, sf_dir)) under its name."""
+def query(sql: str | None = None, with_songs: bool = True, with_engine: bool = False):
+    """Register a function of the catalogue's rows, with the stored catalogue itself or not, or of (spark, sf_dir) under its name."""
 
     def add(f):
-        QUERIES[f.__name__] = (lambda spark, sf_dir: f(catalogue(spark, sf_dir))) if with_songs else f
+        if with_engine:
+            QUERIES[f.__name__] = lambda spark, sf_dir: f(catalogue(spark, sf_dir), engine(spark, sf_dir))
+        else:
+            QUERIES[f.__name__] = (lambda spark, sf_dir: f(catalogue(spark, sf_dir))) if with_songs else f
         if sql is not None:
             ORACLES[f.__name__] = f"WITH {SONGS_SQL}{',' if not sql.lstrip().upper().startswith('SELECT') else ''} {sql}" if with_songs else sql
         return f
@@ -259,15 +262,43 @@ def fts_match(cat):
     return cat.filter(fulltext.matches(F.col("lyric_text"), _PHRASE) | fulltext.matches(F.col("bg_vocal_text"), _PHRASE)).select("id")
 
 
-@query(f"SELECT id FROM songs WHERE contains(lower(lyric_text), '{_PHRASE}') OR contains(lower(bg_vocal_text), '{_PHRASE}')")
-def trigram_candidates(cat):
-    """Extension: the posting table narrows, the phrase test decides."""
-    few = fulltext.candidates(fulltext.trigram_index(cat), _PHRASE)
-    return fts_match(cat.join(few, "id", "left_semi"))
+@query(
+    f"SELECT id, len(regexp_extract_all(lower(lyric_text), '{_PHRASE}'))::BIGINT AS in_main, len(regexp_extract_all(lower(bg_vocal_text), '{_PHRASE}'))::BIGINT AS in_bg,"
+    f" (greatest(length(lyric_text) - 2, 0) + greatest(length(bg_vocal_text) - 2, 0))::BIGINT AS d FROM songs WHERE contains(lower(lyric_text), '{_PHRASE}') OR contains(lower(bg_vocal_text), '{_PHRASE}')",
+    with_engine=True,
+)
+def index_phrase_hits(cat, stored):
+    """Songs with a phrase and how often each text has it, from the places in the index alone."""
+    return stored.text_index().hits(cat.sparkSession, _PHRASE).select("id", _long("in_main"), _long("in_bg"), "d")
+
+
+@query(
+    "SELECT count(*) AS n_docs, sum(greatest(length(lyric_text) - 2, 0) + greatest(length(bg_vocal_text) - 2, 0))::BIGINT AS length,"
+    " count(*) FILTER (timestamp // 60000 % 7 = 3) AS replaced FROM songs",
+    with_engine=True,
+)
+def catalogue_counts(cat, stored):
+    """What the states of the catalogue add up to after two upserts: songs, trigrams, and songs that the second replaced."""
+    index, state = stored.text_index(), stored._state()
+    return cat.sparkSession.createDataFrame([(index.docs, index.length, sum(d["replaced"][0] for d in state["deltas"]))], "n_docs long, length long, replaced long")
+
+
+@query("SELECT id, filename, md5(lyric_text) AS lyric, md5(bg_vocal_text) AS background FROM songs")
+def upserted_rows(cat):
+    """The catalogue's rows after two upserts, of which the second replaced each seventh song."""
+    return cat.select("id", "filename", F.md5("lyric_text").alias("lyric"), F.md5("bg_vocal_text").alias("background"))
+
+
+@query(f"{o.bm25(_PHRASE)} SELECT id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank, id LIMIT 50", with_engine=True)
+def fts_bm25_topk(cat, stored):
+    """Ranked from the index; no text is read."""
+    best = stored.text_index().top(cat.sparkSession, _PHRASE, 50)
+    return cat.sparkSession.createDataFrame(best, "id long, rank double").select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"{o.bm25(_PHRASE)} SELECT id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank, id LIMIT 50")
-def fts_bm25_topk(cat):
+def fts_bm25_scan(cat):
+    """The same from the texts, as a catalogue without an index is searched."""
     return fulltext.bm25(cat.select("id", "lyric_text", "bg_vocal_text"), _PHRASE).orderBy("rank", "id").limit(50).select("id", F.round("rank", 6).alias("rank"))
 
 
@@ -290,41 +321,41 @@ def _merged(hits: DataFrame) -> DataFrame:
     return ranking.ordered(hits).select("id", "timestamp", _long("score"), F.round("rank", 6).alias("rank"), "field", "snippet", _long("priority"))
 
 
-def _both(cat: DataFrame, explicit: bool, page: Pagination = Pagination()) -> DataFrame:  # noqa: B008
+def _both(cat: DataFrame, stored, explicit: bool, page: Pagination = Pagination()) -> DataFrame:  # noqa: B008
     songs = _songs(cat)
     meta = metadata.search_hits(songs, SearchQuery(track="red plate"))
-    lyric = fulltext.search(cat, _PHRASE, page.lyric_window)
+    lyric = fulltext.search(cat, _PHRASE, page.lyric_window, index=stored.text_index())
     return ranking.merge(songs, meta, lyric, explicit)
 
 
 _UNITED = f"{_TRACK_SQL}, {_LYRIC_SQL}, united AS (SELECT coalesce(h.id, l.id) AS id, coalesce(h.timestamp, l.timestamp) AS timestamp, coalesce(score, 0) AS score, rank, field, snippet FROM hits h FULL JOIN lyric l ON h.id = l.id)"
 
 
-@query(f"{_UNITED} {_MERGED} FROM united")
-def hybrid_implicit(cat):
-    return _merged(_both(cat, False))
+@query(f"{_UNITED} {_MERGED} FROM united", with_engine=True)
+def hybrid_implicit(cat, stored):
+    return _merged(_both(cat, stored, False))
 
 
-@query(f"{_TRACK_SQL}, {_LYRIC_SQL.replace('LIMIT 150', 'LIMIT 500')} SELECT h.id, h.timestamp, score::BIGINT AS score, round(rank, 6) AS rank, field, snippet, {_PRIORITY} AS priority FROM hits h JOIN lyric l ON h.id = l.id")
-def hybrid_explicit(cat):
-    return _merged(_both(cat, True, Pagination(4, 50)))
+@query(f"{_TRACK_SQL}, {_LYRIC_SQL.replace('LIMIT 150', 'LIMIT 500')} SELECT h.id, h.timestamp, score::BIGINT AS score, round(rank, 6) AS rank, field, snippet, {_PRIORITY} AS priority FROM hits h JOIN lyric l ON h.id = l.id", with_engine=True)
+def hybrid_explicit(cat, stored):
+    return _merged(_both(cat, stored, True, Pagination(4, 50)))
 
 
-@query(f"{_LYRIC_SQL}, united AS (SELECT id, timestamp, 7 AS score, rank, field, snippet FROM lyric) {_MERGED} FROM united")
-def hybrid_lyric_only(cat):
+@query(f"{_LYRIC_SQL}, united AS (SELECT id, timestamp, 7 AS score, rank, field, snippet FROM lyric) {_MERGED} FROM united", with_engine=True)
+def hybrid_lyric_only(cat, stored):
     """Lyrics alone: every song is a perfect metadata hit, so rank orders the lyric hits."""
-    return _merged(service.search_lyric(cat, SearchQuery(lyric_text=_PHRASE), Pagination()))
+    return _merged(service.search_lyric(cat, SearchQuery(lyric_text=_PHRASE), Pagination(), stored.text_index()))
 
 
-@query(f"{_LYRIC_SQL}, united AS (SELECT id, timestamp, 0 AS score, rank, field, snippet FROM lyric) {_MERGED} FROM united")
-def hybrid_weak_keyword(cat):
+@query(f"{_LYRIC_SQL}, united AS (SELECT id, timestamp, 0 AS score, rank, field, snippet FROM lyric) {_MERGED} FROM united", with_engine=True)
+def hybrid_weak_keyword(cat, stored):
     """A keyword that no name meets falls through to the lyrics."""
-    return _merged(service.search_lyric(cat, SearchQuery(q=_PHRASE), Pagination()))
+    return _merged(service.search_lyric(cat, SearchQuery(q=_PHRASE), Pagination(), stored.text_index()))
 
 
-@query(f"{_UNITED}, p AS ({_MERGED} FROM united) SELECT priority, count(*) AS hits FROM p GROUP BY priority")
-def priority_buckets(cat):
-    return _both(cat, False).groupBy(_long("priority")).agg(F.count(F.lit(1)).alias("hits"))
+@query(f"{_UNITED}, p AS ({_MERGED} FROM united) SELECT priority, count(*) AS hits FROM p GROUP BY priority", with_engine=True)
+def priority_buckets(cat, stored):
+    return _both(cat, stored, False).groupBy(_long("priority")).agg(F.count(F.lit(1)).alias("hits"))
 
 
 _SIDES = """sides AS (SELECT id, timestamp, doc_id,

@@ -73,11 +73,11 @@ NO_LYRICS = "id long, timestamp long, rank double, field string, snippet string"
 
 
 def search_lyric(
-    catalogue: DataFrame, query: SearchQuery, page: Pagination, index: fulltext.TrigramIndex | None = None, held: list | None = None, lyrics: bool = True
+    catalogue: DataFrame, query: SearchQuery, page: Pagination, index: fulltext.TextIndex | None = None, held: list | None = None, lyrics: bool = True
 ) -> DataFrame:
     """All merged hits of a hybrid search for a page, ordered; lyric hits are limited by the page's window.
 
-    ``index`` is the catalogue's stored trigram index. Metadata hits are scored once; to keep them for the
+    ``index`` is the catalogue's text index. Metadata hits are scored once; to keep them for the
     merge they are persisted, and appended to ``held`` for the caller to release. Without ``held`` they are
     scored again. Without ``lyrics`` no lyric is a hit.
     """
@@ -97,7 +97,7 @@ def search_lyric(
     return ranking.ordered(ranking.merge(songs, meta, lyric, explicit, full))
 
 
-def search_page(catalogue: DataFrame, query: SearchQuery, page: Pagination, index: fulltext.TrigramIndex | None = None) -> tuple[DataFrame, dict]:
+def search_page(catalogue: DataFrame, query: SearchQuery, page: Pagination, index: fulltext.TextIndex | None = None) -> tuple[DataFrame, dict]:
     """Native items of a page, in order, and the page's description.
 
     If the lyric search fails, the page has metadata hits only.
@@ -125,7 +125,7 @@ def search_page(catalogue: DataFrame, query: SearchQuery, page: Pagination, inde
             df.unpersist()
 
 
-def search_response(catalogue: DataFrame, query: str, index: fulltext.TrigramIndex | None = None) -> str:
+def search_response(catalogue: DataFrame, query: str, index: fulltext.TextIndex | None = None) -> str:
     asked, page = dialect.parse_search(query)
     items, info = search_page(catalogue, asked, page, index)
     rows = [json.loads(r["json"]) for r in projection.to_json(items).collect()]

@@ -1,9 +1,14 @@
+import contextlib
+import json
+import os
+import time
 import zipfile
 
 import pytest
 from helpers import ttml
 from pyspark.sql import functions as F
 
+from strophe.functions.ids import lyric_id_of
 from strophe.functions.lyrics import formatted
 from strophe.sources import catalogue, files, index
 from strophe.sources.catalogue import Catalogue, SyncResult, sync_once
@@ -117,23 +122,72 @@ def test_upsert_writes_the_new_rows_only(spark, tmp_path, monkeypatch):
     assert cat._state()["deltas"] == [] and have() == want | {"4-a.ttml": "merged"}
 
 
-def test_states_survive_crashes_and_races(spark, tmp_path):
-    """An incomplete state is passed over, and a writer that comes second builds on the first one's state."""
+def test_no_update_is_lost(spark, tmp_path):
+    """A writer that another one overtakes between reading and publishing builds on the other's state."""
     cat = Catalogue(spark, str(tmp_path / "cat"))
     cat.set_meta("a", "1")
-    last = max((tmp_path / "cat/log").glob("*.json"))
-    (last.parent / f"{int(last.stem) + 1:012d}.json").write_text('{"base"')
-    assert cat.meta("a") == "1"
-    other, real = Catalogue(spark, str(tmp_path / "cat")), cat._create
+    other, real = Catalogue(spark, str(tmp_path / "cat")), cat._publish
 
     def late(name, text):
-        cat._create = real
+        cat._publish = real
         other.set_meta("b", "2")
+        other.set_meta("a", "4")
         return real(name, text)
 
-    cat._create = late
+    cat._publish = late
     cat.set_meta("c", "3")
-    assert (cat.meta("a"), cat.meta("b"), cat.meta("c")) == ("1", "2", "3")
+    assert (cat.meta("a"), cat.meta("b"), cat.meta("c")) == ("4", "2", "3")
+    assert sorted(p.name for p in (tmp_path / "cat/log").glob("*.json")) == [f"{i:012d}.json" for i in range(1, 5)]
+
+
+def test_publishing(spark, tmp_path, monkeypatch):
+    """A name is given once, to a whole file, by links and by renaming alike; drafts that a crash left are no states."""
+    cat = Catalogue(spark, str(tmp_path / "cat"))
+    cat.set_meta("a", "1")
+    (tmp_path / "cat/drafts/left").write_text('{"base"')
+    assert not cat._publish("log/000000000001.json", "other") and cat._publish("log/000000000002.json", json.dumps(cat._state())) and cat.meta("a") == "1"
+    real = cat._path
+
+    class Named:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def getScheme(self):
+            return "shared"
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(cat, "_path", lambda name: (Named(real(name)[0]), real(name)[1]))
+    assert cat._publish("x/1", "one") and not cat._publish("x/1", "two") and (tmp_path / "cat/x/1").read_text() == "one"
+    assert [p.name for p in (tmp_path / "cat/drafts").iterdir() if not p.name.startswith(".")] == ["left"]
+
+
+def test_threads(spark, tmp_path):
+    """Writers side by side lose nothing: marks, rows, ids and counts are those of all of them."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "cat")
+    Catalogue(spark, root).upsert(songs(spark, ("0-base.ttml", "base")))
+
+    def marks(k):
+        for i in range(25):
+            Catalogue(spark, root).set_meta(f"{k}-{i}", str(i))
+
+    def upserts(k):
+        for i in range(4):
+            Catalogue(spark, root).upsert(songs(spark, (f"{k}-{i}.ttml", f"song {k} {i}"), ("9-same.ttml", f"by {k}")))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda f: f[0](f[1]), [(marks, "x"), (marks, "y"), (upserts, 1), (upserts, 2)]))
+    cat = Catalogue(spark, root)
+    assert {f"{k}-{i}": str(i) for k in "xy" for i in range(25)}.items() <= cat._state()["meta"].items()
+    rows = {r["filename"]: r["lyric_text"] for r in cat.read().collect()}
+    assert rows.keys() == {f"{k}-{i}.ttml" for k in (1, 2) for i in range(4)} | {"0-base.ttml", "9-same.ttml"} and rows["9-same.ttml"] in ("by 1", "by 2")
+    assert cat.count() == cat.read().count() == 10
+    assert cat.text_index().length == sum(max(0, len(t) - 2) for t in rows.values())
+    found = {r["id"] for r in cat.text_index().hits(spark, "by ").collect()}
+    assert found == {lyric_id_of("9-same.ttml")}
 
 
 def test_single_flight_and_version(spark, tmp_path, monkeypatch):
@@ -149,10 +203,78 @@ def test_single_flight_and_version(spark, tmp_path, monkeypatch):
     assert sync_once(cat, remote, archive=zipped, version=no_version) == SyncResult("Updated", 1, "full") and cat.meta("commit") is None
     assert sync_once(cat, remote, archive=zipped, version=lambda: "v1").status == "Skipped" and cat.meta("commit") == "v1"
     assert sync_once(cat, remote, archive=zipped, version=lambda: "v1") == SyncResult("Skipped", 0, "none")
-    cat._create("sync.lock", "left by a crash")
-    assert sync_once(cat, remote, archive=zipped).strategy == "busy"
-    monkeypatch.setattr(catalogue, "LEASE", -10)
-    assert sync_once(cat, remote, archive=zipped).strategy != "busy"
+
+
+def test_expired_lease(spark, tmp_path, monkeypatch):
+    """A lease that isn't renewed goes to the next sync; what the old holder commits after that is refused, and the new lease stays."""
+    cat = Catalogue(spark, str(tmp_path / "cat"))
+    zipped = archive(tmp_path / "all.zip", ["1-a.ttml"])
+    remote = spark.createDataFrame([("1-a.ttml", [])], "filename string, metadata array<struct<key:string,values:array<string>>>")
+    monkeypatch.setattr(catalogue.Catalogue, "_renewed", lambda self, renew: contextlib.nullcontext())
+    with cat.single_flight() as old:
+        old.set_meta("by", "old")
+        assert sync_once(cat, remote, archive=zipped).strategy == "busy"
+        cat._update(lambda s: {**s, "lease": {**s["lease"], "until": time.time() - 1}})  # the holder was cut off for too long
+        with cat.single_flight() as new:
+            new.set_meta("by", "new")
+            for commit in (lambda: old.set_meta("by", "old again"), lambda: old.upsert(songs(spark, ("2-b.ttml", "late")))):
+                with pytest.raises(catalogue.Fenced):
+                    commit()
+            new.upsert(songs(spark, ("3-c.ttml", "kept")))
+            assert new.lease == old.lease + 1
+            with pytest.raises(catalogue.Busy), cat.single_flight():
+                pass
+        assert cat.meta("by") == "new" and cat.count() == 1
+        with cat.single_flight() as third:
+            held = cat._state()["lease"]
+            assert held["number"] == third.lease and held["until"] > time.time()
+    assert sync_once(cat, remote, archive=zipped) == SyncResult("Updated", 1, "full")
+
+
+def test_lease_is_renewed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "LEASE", 0.9)
+    cat = Catalogue(spark, str(tmp_path / "cat"))
+    with cat.single_flight() as mine:
+        for _ in range(6):
+            time.sleep(0.4)
+            with pytest.raises(catalogue.Busy), cat.single_flight():
+                pass
+        mine.set_meta("still", "mine")
+    with cat.single_flight():
+        assert cat.meta("still") == "mine"
+
+
+def test_sweep_spares_what_is_being_written(spark, tmp_path, monkeypatch):
+    """Folders of a writer that goes on stay; one whose claim ran out is deleted, and its writer can't commit it."""
+    cat = Catalogue(spark, str(tmp_path / "cat"))
+    cat.upsert(songs(spark, ("1-a.ttml", "a")))
+    folders = lambda: {p.name.split("-")[0] for k in ("data", "index") for p in (tmp_path / f"cat/{k}").iterdir()}
+    monkeypatch.setattr(catalogue.Catalogue, "_renewed", lambda self, renew: contextlib.nullcontext())
+    old = time.time() - 2 * catalogue.LEASE
+    real = cat._with_delta
+
+    def age(*a):
+        for k in ("data", "index"):
+            for p in (tmp_path / f"cat/{k}").iterdir():
+                os.utime(p, (old, old))
+
+    def swept(state, seen, entry, written, batch, lapse=False):
+        age()
+        if lapse:
+            other = Catalogue(spark, cat.root)
+            other._update(lambda s: {**s, "claims": dict.fromkeys(s["claims"], time.time() - 1)})
+            state = other._state()
+        Catalogue(spark, cat.root)._sweep()
+        return real(Catalogue(spark, cat.root)._state(), seen, entry, written, batch)
+
+    cat._with_delta = swept
+    cat.upsert(songs(spark, ("2-b.ttml", "b")))
+    assert {r["lyric_text"] for r in cat.read().collect()} == {"a", "b"}
+    before = folders()
+    cat._with_delta = lambda *a: swept(*a, lapse=True)
+    with pytest.raises(catalogue.Fenced):
+        cat.upsert(songs(spark, ("3-c.ttml", "c")))
+    assert folders() == before and {r["lyric_text"] for r in cat.read().collect()} == {"a", "b"}
 
 
 def test_folder(spark, tmp_path):
@@ -162,7 +284,7 @@ def test_folder(spark, tmp_path):
     assert [r["filename"] for r in files.read_folder(spark, str(tmp_path)).collect()] == ["1-a.ttml"]
 
 
-def test_stream(spark, tmp_path):
+def test_stream(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     zipped = archive(tmp_path / "all.zip", ["1-a.ttml", "2-b.ttml", "3-c.ttml"])
     cat = Catalogue(spark, str(tmp_path / "cat"))
@@ -172,4 +294,29 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/i2.jsonl").write_text("\n".join(LINES[8:]))
     for _ in range(2):
         ingest_stream(spark, str(tmp_path / "in"), cat, zipped, str(tmp_path / "ckpt"))
-    assert cat.count() == 3
+    assert cat.count() == 3 and cat.batch(str(tmp_path / "ckpt")) == 1
+    # A crash after the commit of the catalogue, before that of the stream: the batch comes again and is known by its number.
+    for p in (tmp_path / "ckpt/commits").glob("*1*"):
+        p.unlink()
+    monkeypatch.setattr(catalogue, "_sync", None)
+    before = cat._newest()
+    ingest_stream(spark, str(tmp_path / "in"), cat, zipped, str(tmp_path / "ckpt"))
+    assert cat._newest() == before and list((tmp_path / "ckpt/commits").glob("1"))
+
+
+def test_batches_are_taken_once(spark, tmp_path):
+    """The state that takes a batch's rows knows its number, so it can't be taken again, in whatever order writers come."""
+    cat = Catalogue(spark, str(tmp_path / "cat"))
+    assert cat.upsert(songs(spark, ("1-a.ttml", "first")), batch=("s", 0)) and cat.upsert(songs(spark, ("1-a.ttml", "second")), batch=("s", 1))
+    number = cat._newest()[0]
+    assert not cat.upsert(songs(spark, ("1-a.ttml", "first")), batch=("s", 0)) and cat._newest()[0] == number
+    late, real = Catalogue(spark, cat.root), cat._with_delta
+
+    def overtaken(state, *a):
+        cat._with_delta = real
+        late.upsert(songs(spark, ("1-a.ttml", "third")), batch=("s", 2))
+        return real(late._state(), *a)
+
+    cat._with_delta = overtaken
+    assert not cat.upsert(songs(spark, ("1-a.ttml", "third")), batch=("s", 2))
+    assert [r["lyric_text"] for r in cat.read().collect()] == ["third"] and cat.batch("s") == 2 and cat.batch("t") is None and len(cat._state()["deltas"]) == 2

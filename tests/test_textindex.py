@@ -1,0 +1,117 @@
+"""The text index of a catalogue against the form that reads all texts, through upserts and merges."""
+
+import random
+
+import pytest
+from helpers import frame, song
+from pyspark.sql import functions as F
+
+from strophe.operators import fulltext, textindex
+from strophe.operators.textindex import TextIndex, bucket_of, codes
+from strophe.schema import CATALOGUE
+from strophe.sources.catalogue import Catalogue
+
+PHRASES = ("the", "The rain", "aaa", "aaaa", "rain\nin", "ß und", "ÜBER", "日本語", "zzz", "he", "🙂 x", "  a", "the rain in the rain")
+
+
+def texts(seed, n):
+    rng = random.Random(seed)
+    words = ["the", "rain", "in", "Spain", "aaaaaa", "aa", "Über", "ß", "und", "日本語の歌", "🙂 x", "of", "\n", "stays"]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
+def rows(spark, ids, seed):
+    main, bg = texts(seed, len(ids)), texts(seed + 1, len(ids))
+    return frame(spark, *[song(f"{i}-s.ttml", i, lyric=m, bg=b if i % 3 == 0 else "") for i, m, b in zip(ids, main, bg)])
+
+
+def same(spark, cat, part):
+    index, docs = cat.text_index(), cat.read().cache()
+    for phrase in PHRASES[part::4]:
+        want = [tuple(r) for r in fulltext.search(docs, phrase, 7).collect()]
+        got = [tuple(r) for r in fulltext.search(docs, phrase, 7, index=index).collect()]
+        assert [r[0] for r in got] == [r[0] for r in want], phrase
+        assert [r[3:] for r in got] == [r[3:] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+    assert index.docs == docs.count()
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_upserts_and_merges(spark, tmp_path, monkeypatch, small):
+    """After each upsert and merge the index finds what the texts have, new ones included and replaced ones not."""
+    monkeypatch.setattr(textindex, "SMALL", small)
+    monkeypatch.setattr(textindex, "LARGE", 10)
+    cat = Catalogue(spark, str(tmp_path / "cat"))
+    cat.upsert(rows(spark, range(30), 1))
+    same(spark, cat, 0)
+    cat.upsert(rows(spark, [3, 4, 5, 40], 5))
+    cat.upsert(rows(spark, [4, 40, 41], 9))
+    cat.upsert(frame(spark, song("7-s.ttml", 7, lyric="a phrase that is new")))
+    assert [d["replaced"][0] for d in cat._state()["deltas"]] == [3, 2, 1]
+    same(spark, cat, 1)
+    found = lambda p: [r["id"] for r in fulltext.search(cat.read(), p, 5, index=cat.text_index()).collect()]
+    assert len(found("phrase that is new")) == 1
+    cat.upsert(frame(spark, song("7-s.ttml", 7, lyric="another text")))
+    assert found("phrase that is new") == [] and len(found("another text")) == 1
+    before = cat.text_index()
+    cat.compact(whole=False)
+    state = cat._state()
+    assert len(state["deltas"]) == 1 and state["deltas"][0]["replaced"][0] == 4 and cat.text_index()[1:] == before[1:]
+    same(spark, cat, 2)
+    cat.compact()
+    assert cat._state()["deltas"] == [] and cat.text_index()[1:] == before[1:]
+    same(spark, cat, 3)
+
+
+def test_texts_of_others_are_not_read(spark, tmp_path):
+    """Hits and ranks come from the postings: texts changed behind the index's back change no hit, only what is shown of one."""
+    docs = rows(spark, range(40), 3)
+    segment = textindex.write_segment(docs, str(tmp_path / "i"))
+    index = TextIndex((segment,), segment.docs, segment.length)
+    hits = {r["id"] for r in index.hits(spark, "Spain").collect()}
+    assert 0 < len(hits) < 40
+    others = docs.withColumn("lyric_text", F.when(F.col("id").isin(sorted(hits)), F.col("lyric_text")).otherwise(F.lit("Spain Spain Spain")))
+    want = [tuple(r) for r in fulltext.search(docs, "Spain", 40).collect()]
+    got = [tuple(r) for r in fulltext.search(others, "Spain", 40, index=index).collect()]
+    assert [r[0] for r in got] == [r[0] for r in want] and [r[4] for r in got] == [r[4] for r in want]
+    plan = fulltext.search(docs, "Spain", 3, index=index)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count") == 0
+    stored = str(tmp_path / "d")
+    docs.write.parquet(stored)
+    scan = fulltext.search(spark.read.parquet(stored), "Spain", 3, index=index)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(id" in scan  # of the texts only the best hits' row groups are read
+
+
+def test_folders(spark, tmp_path, monkeypatch):
+    """The number of folders follows the texts, and a search reads those of its trigrams."""
+    monkeypatch.setattr(textindex, "FOLDER_GRAMS", 500)
+    monkeypatch.setattr(textindex, "FILE_ROWS", 20)
+    docs = rows(spark, range(60), 4)
+    segment = textindex.write_segment(docs, str(tmp_path / "i"))
+    few = textindex.write_segment(docs.limit(2), str(tmp_path / "i"))
+    assert segment.buckets >= 16 > few.buckets and segment.buckets & (segment.buckets - 1) == 0
+    index = TextIndex((segment,), segment.docs, segment.length)
+    read = index.postings(spark, codes("spain").tolist()).inputFiles()
+    wanted = {f"bucket={bucket_of(g, segment.buckets)}" for g in codes("spain").tolist()}
+    plan = index.postings(spark, codes("spain").tolist())._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and wanted and read
+    hits = {r["id"] for r in index.hits(spark, "Spain").collect()}
+    assert hits == {r["id"] for r in docs.filter(F.lower("lyric_text").contains("spain") | F.lower("bg_vocal_text").contains("spain")).collect()}
+    merged = textindex.merge_segments(spark, index, str(tmp_path / "m"))
+    assert merged[1:] == segment[1:]
+    assert {r["id"] for r in TextIndex((merged,), merged.docs, merged.length).hits(spark, "Spain").collect()} == hits
+
+
+def test_long_texts_in_slices(spark, tmp_path, monkeypatch):
+    """Places count from the beginning of the text, across the slices in which it is cut."""
+    monkeypatch.setattr(textindex, "SLICE", 7)
+    docs = frame(spark, song("1-s.ttml", lyric="over and over and over again", bg=""), song("2-s.ttml", lyric="ove", bg="over"), song("3-s.ttml", lyric="", bg=""))
+    segment = textindex.write_segment(docs, str(tmp_path / "i"))
+    found = {r["in_main"] + 10 * r["in_bg"] for r in TextIndex((segment,), 3, segment.length).hits(spark, "over").collect()}
+    assert found == {3, 10}
+    assert [r["in_main"] for r in TextIndex((segment,), 3, segment.length).hits(spark, "over and over").collect()] == [2]
+
+
+def test_empty(spark, tmp_path):
+    none = textindex.write_segment(spark.createDataFrame([], CATALOGUE), str(tmp_path / "i"))
+    assert none[1:] == (1, 0, 0) and TextIndex((none,), 0, 0).top(spark, "any", 5) == [] and TextIndex((), 0, 0).hits(spark, "any").collect() == []
+    assert len(codes("ab")) == 0 and codes("abc").tolist() == [ord("a") << 42 | ord("b") << 21 | ord("c")]
