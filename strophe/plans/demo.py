@@ -84,7 +84,7 @@ def _norm(names: str) -> str:
     return f"list_transform({names}, lambda x: trim(regexp_replace({inner}, '\\s+', ' ', 'g')))"
 
 
-_HASH = """list_reduce(
+HASH_SQL = """list_reduce(
   list_prepend(5239054864098085::BIGINT, list_transform(range(1, length(filename) + 1), lambda i: ascii(filename[i])::BIGINT)),
   lambda h, b: ((xor(h, b) & 8191) * 1099511627776 + xor(h, b) * 435) & 9007199254740991)"""
 
@@ -105,7 +105,7 @@ raw AS (
   LEFT JOIN benchmark b ON b.item_id = d.doc_id % nb AND d.doc_id % 10 = 0
 ),
 songs AS (
-  SELECT *, {_HASH} AS id, {_norm("track_names")} AS normalized_track_names,
+  SELECT *, {HASH_SQL} AS id, {_norm("track_names")} AS normalized_track_names,
          {_norm("artist_names")} AS normalized_artist_names, {_norm("album_names")} AS normalized_album_names
   FROM raw
 )"""

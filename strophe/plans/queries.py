@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,11 @@ from ..operators.metadata import SearchQuery
 from ..operators.paging import Pagination
 from ..schema import SONG_COLUMNS
 from ..sources import index as index_source
-from ..sources.ttml import parse
+from ..sources.archive import read_archive, write_archives
+from ..sources.ttml import build_catalogue, parse
 from . import oracle as o
 from . import service
-from .demo import SONGS_SQL, catalogue, engine
+from .demo import HASH_SQL, SONGS_SQL, catalogue, engine, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -427,6 +430,39 @@ def ttml_format(spark, sf_dir):
     return f.select("doc_id", F.col("f.plain_lyrics").alias("plain"), F.col("f.synced_lyrics").alias("synced"), F.col("f.duration").alias("duration"))
 
 
+def _generated_files(spark, sf_dir):
+    """A lyric file for each document; every eighth is broken."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    d = F.col("doc_id").cast("string")
+    raw = F.concat(
+        F.lit('<tt xmlns="http://www.w3.org/ns/ttml" xmlns:m="http://www.w3.org/ns/ttml#metadata" xmlns:x="urn:x"><head><metadata><x:meta key="musicName" value="Tune [Live] '), d,
+        F.lit('"/><x:meta key="artists" value="Singer '), d, F.lit('"/><x:meta key="artists" value="Choir"/></metadata></head><body><div><p begin="1" end="3">first '), d,
+        F.lit('<span m:role="x-bg" begin="2" end="3">echo '), d, F.lit('</span></p><p begin="4" end="5">last</p></div></body></tt>'),
+    )
+    name = F.concat((1704067200000 + F.col("doc_id")).cast("string"), F.lit("-"), d, F.lit(".ttml"))
+    return docs.select(name.alias("filename"), F.when(F.col("doc_id") % 8 == 5, F.substring(raw, 1, 200)).otherwise(raw).alias("content"))
+
+
+@query(
+    f"WITH names AS (SELECT doc_id, (1704067200000 + doc_id) || '-' || doc_id || '.ttml' AS filename FROM documents WHERE doc_id % 8 <> 5 AND doc_id % 3 <> 0)"
+    f" SELECT {HASH_SQL} AS id, filename, 1704067200000 + doc_id AS timestamp, 'Tune [Live] ' || doc_id AS tracks, 'tune (live) ' || doc_id AS normalized, 'Singer ' || doc_id || '|Choir' AS artists,"
+    " 'first ' || doc_id || chr(10) || 'last' AS lyric, 'echo ' || doc_id AS background FROM names",
+    with_songs=False,
+)
+def archive_catalogue(spark, sf_dir):
+    """Files are packed into archives, read by ranges of entries, kept if the index asks for them, and built into catalogue rows."""
+    made = _generated_files(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/strophe-demo/archives-{uuid.uuid4().hex}"
+    write_archives(made, folder)
+    wanted = made.filter(F.regexp_extract("filename", r"-(\d+)\.ttml$", 1).cast("long") % 3 != 0).select("filename")
+    built = build_catalogue(read_archive(spark, folder).join(wanted, "filename", "left_semi"))
+    join = lambda c: F.array_join(c, "|")
+    return built.select(
+        "id", "filename", "timestamp", join("track_names").alias("tracks"), join("normalized_track_names").alias("normalized"), join("artist_names").alias("artists"),
+        F.col("lyric_text").alias("lyric"), F.col("bg_vocal_text").alias("background"),
+    )
+
+
 @query('SELECT id, track_names[1] AS name, track_names[1] AS "trackName", artist_names[1] AS "artistName", album_names[1] AS "albumName", 0.0::DOUBLE AS duration, false AS instrumental, NULL::VARCHAR AS "plainLyrics", NULL::VARCHAR AS "syncedLyrics" FROM songs')
 def lrclib_projection(cat):
     return projection.lrclib_item(cat.withColumn("formatted", F.lit(None).cast("struct<plain_lyrics:string,synced_lyrics:string,duration:double>")))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.textindex import Segment, TextIndex, merge_segments, write_segment
 from ..schema import CATALOGUE
 from . import files, index
+from .archive import read_archive
 from .ttml import build_catalogue
 
 log = logging.getLogger(__name__)
@@ -394,7 +395,7 @@ def _sync(catalogue: Catalogue, remote: DataFrame, commit, archive, fetch, limit
         elif full:
             if archive is None:
                 raise ValueError("a full sync needs an archive")
-            found = files.read_archive(catalogue.spark, archive).join(wanted, "filename", "left_semi")
+            found = read_archive(catalogue.spark, archive).join(wanted, "filename", "left_semi")
             result = _store(catalogue, found, remote, "full", batch)
         else:
             try:
@@ -402,7 +403,7 @@ def _sync(catalogue: Catalogue, remote: DataFrame, commit, archive, fetch, limit
             except Exception:
                 if archive is None:
                     raise
-                result = _store(catalogue, files.read_archive(catalogue.spark, archive).join(wanted, "filename", "left_semi"), remote, "full", batch)
+                result = _store(catalogue, read_archive(catalogue.spark, archive).join(wanted, "filename", "left_semi"), remote, "full", batch)
     finally:
         wanted.unpersist()
     if commit is not None:

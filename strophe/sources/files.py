@@ -1,10 +1,8 @@
-"""Lyric files from folders and zip archives as ``filename, content``."""
+"""Lyric files from folders and from a fetching function as ``filename, content``."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,31 +18,6 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), text.alias("content")).filter("content is not null")
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for content in b.column("content"):
-            with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                names, texts, held = [], [], 0
-                for info in z.infolist():
-                    if info.is_dir() or not info.filename.lower().endswith(".ttml"):
-                        continue
-                    try:
-                        texts.append(z.read(info).decode("utf-8"))
-                    except (UnicodeDecodeError, zipfile.BadZipFile):
-                        continue
-                    names.append(info.filename)
-                    held += info.file_size
-                    if held > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts)], names=["filename", "content"])
-                        names, texts, held = [], [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["filename", "content"])
-
-
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The ``.ttml`` entries of zip archives, an archive a task; directories and unreadable entries are dropped."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_entries, SCHEMA)
-
-
 def fetch_files(names: DataFrame, fetch: Callable[[str], str | None], partitions: int = 20) -> DataFrame:
     """Files by name through a caller's function, a few at a time; names it can't fetch are dropped."""
 
