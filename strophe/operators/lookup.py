@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import lyric_id_of
 from ..schema import PLATFORM_COLUMNS, POSTING_COLUMNS
+from .songindex import SongIndex
 
 
 @dataclass(frozen=True)
@@ -46,8 +47,13 @@ def last_by(df: DataFrame, key: str, seq: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("row")).select(key, *[F.col("row")[c].alias(c) for c in rest])
 
 
-def find_by_ids(songs: DataFrame, query: IdQuery, seq: str | None = None) -> DataFrame:
-    """Songs that match; with ``seq`` (load order) the last of songs that share an id."""
+def find_by_ids(songs: DataFrame, query: IdQuery, seq: str | None = None, index: SongIndex | None = None) -> DataFrame:
+    """Songs that match; with ``seq`` (load order) the last of songs that share an id.
+
+    With the ``index`` of the songs, platform ids are looked up in its folders; the arrays are tested on what that finds.
+    """
+    if index is not None and not query.is_exact:
+        songs = songs.join(index.with_all(songs.sparkSession, {c: list(getattr(query, c)) for c in PLATFORM_COLUMNS}), "id", "left_semi")
     out = songs.filter(id_predicate(query))
     return last_by(out, "id", seq) if seq and query.is_exact else out
 
@@ -67,17 +73,6 @@ def postings(songs: DataFrame) -> DataFrame:
     return songs.select("id", F.inline(F.array_distinct(entries)))
 
 
-def find_by_postings(index: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
-    """Ids that have every wanted value, from the inverted index; for indices partitioned by kind and value."""
-    pairs = [(k, v) for k, vs in wanted.items() for v in dict.fromkeys(vs)]
-    if not pairs:
-        return index.select("id").limit(0)
-    hit = F.lit(False)
-    for k, v in pairs:
-        hit = hit | ((F.col("kind") == k) & (F.col("value") == v))
-    return index.filter(hit).groupBy("id").agg(F.count_distinct("kind", "value").alias("n")).filter(F.col("n") == len(pairs)).select("id")
-
-
 def raw_text(catalogue: DataFrame, filename: str) -> DataFrame:
     """The stored file of a name; no row if it is missing or empty. The name filter reaches the scan."""
     return catalogue.filter((F.col("filename") == filename) & (F.col("raw_ttml") != "")).select("raw_ttml")

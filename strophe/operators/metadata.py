@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import score_fields, score_keyword
 from ..functions.text import any_contains, contains_ascii_ci, normalize_text, simplify_text
 from ..schema import NO_MATCH, PERFECT, SONG_COLUMNS
+from .songindex import SongIndex
 
 
 @dataclass(frozen=True)
@@ -90,19 +91,25 @@ def author_candidates(songs: DataFrame, query: SearchQuery) -> DataFrame:
     return songs.filter(out)
 
 
-def search_hits(songs: DataFrame, query: SearchQuery) -> DataFrame:
-    """Unordered hits with ``score``; without text fields every candidate is perfect."""
+def search_hits(songs: DataFrame, query: SearchQuery, index: SongIndex | None = None) -> DataFrame:
+    """Unordered hits with ``score``; without text fields every candidate is perfect.
+
+    With the ``index`` of the songs, only those whose names have the query's pieces are tested and scored.
+    """
     query = query.prepared()
+    few = None if index is None else index.candidates(songs.sparkSession, query.q, {"track": query.track, "artist": query.artist, "album": query.album})
+    if few is not None:
+        songs = songs.join(few, "id", "left_semi")
     found = author_candidates(songs, query)
     if not query.has_text:
         return found.withColumn("score", F.lit(PERFECT))
     return found.filter(rough_match(query)).withColumn("score", score(query)).filter(F.col("score") > NO_MATCH)
 
 
-def search_by_fields(songs: DataFrame, query: SearchQuery) -> DataFrame:
+def search_by_fields(songs: DataFrame, query: SearchQuery, index: SongIndex | None = None) -> DataFrame:
     """Hits by score, then newest, then smallest id."""
     columns = [c for c in songs.columns if c in SONG_COLUMNS]
-    return search_hits(songs.select(*columns), query).orderBy(F.desc("score"), F.desc("timestamp"), F.asc("id"))
+    return search_hits(songs.select(*columns), query, index).orderBy(F.desc("score"), F.desc("timestamp"), F.asc("id"))
 
 
 #: Queries of a batch that go into one scan of the songs.

@@ -77,9 +77,9 @@ def lookup_by_filename(cat):
     return _brief(lookup.find_by_ids(_songs(cat), IdQuery(filename=_filename(77))))
 
 
-@query(f"SELECT {_BRIEF} FROM songs WHERE list_contains(ncm_music_ids, '7') AND list_contains(spotify_ids, 'sp7')")
-def platform_and(cat):
-    return _brief(lookup.find_by_ids(_songs(cat), IdQuery(ncm_music_ids=("7",), spotify_ids=("sp7",))))
+@query(f"SELECT {_BRIEF} FROM songs WHERE list_contains(ncm_music_ids, '7') AND list_contains(spotify_ids, 'sp7')", with_engine=True)
+def platform_and(cat, stored):
+    return _brief(lookup.find_by_ids(_songs(cat), IdQuery(ncm_music_ids=("7",), spotify_ids=("sp7",)), index=stored.song_index()))
 
 
 @query(f"SELECT {_BRIEF} FROM songs WHERE list_contains(ncm_music_ids, '7') ORDER BY timestamp DESC, id LIMIT 1")
@@ -98,9 +98,10 @@ def posting_index(cat):
     return lookup.postings(_songs(cat))
 
 
-@query("SELECT id FROM songs WHERE list_contains(ncm_music_ids, '3') AND list_contains(author_ids, '3')")
-def posting_lookup(cat):
-    return lookup.find_by_postings(lookup.postings(_songs(cat)), {"ncm_music_ids": ["3"], "author_ids": ["3"]})
+@query("SELECT id FROM songs WHERE list_contains(ncm_music_ids, '3') AND list_contains(author_ids, '3')", with_engine=True)
+def posting_lookup(cat, stored):
+    """From the stored postings alone."""
+    return stored.song_index().with_all(cat.sparkSession, {"ncm_music_ids": ["3"], "author_ids": ["3"]})
 
 
 @query("SELECT id, timestamp, 7::BIGINT AS score FROM songs WHERE list_contains(author_usernames, 'src3')")
@@ -238,9 +239,15 @@ _HITS_SQL = (
 )
 
 
-@query(f"{_HITS_SQL} SELECT id, timestamp, score::BIGINT AS score FROM hits")
-def metadata_search(cat):
-    return metadata.search_by_fields(_songs(cat), _SEARCH).select("id", "timestamp", _long("score"))
+@query(f"{_HITS_SQL} SELECT id, timestamp, score::BIGINT AS score FROM hits", with_engine=True)
+def metadata_search(cat, stored):
+    return metadata.search_by_fields(_songs(cat), _SEARCH, stored.song_index()).select("id", "timestamp", _long("score"))
+
+
+@query(f"{o.keyword_scores(_KEYWORD, f'(SELECT * FROM songs WHERE {o.rough_keyword(_KEYWORD)})')} SELECT id, timestamp, score::BIGINT AS score FROM scored WHERE score > 0", with_engine=True)
+def keyword_search(cat, stored):
+    """A keyword through the index of names: within the names, or around a track and an artist."""
+    return metadata.search_by_fields(_songs(cat), SearchQuery(q=_KEYWORD), stored.song_index()).select("id", "timestamp", _long("score"))
 
 
 _TRACK_SQL = f"hits AS (SELECT * FROM (SELECT id, timestamp, {o.score_fields('red plate', None, None)} AS score FROM songs WHERE {o.any_contains('normalized_track_names', o.s('red plate'))}) WHERE score > 0)"
@@ -326,7 +333,7 @@ def _merged(hits: DataFrame) -> DataFrame:
 
 def _both(cat: DataFrame, stored, explicit: bool, page: Pagination = Pagination()) -> DataFrame:  # noqa: B008
     songs = _songs(cat)
-    meta = metadata.search_hits(songs, SearchQuery(track="red plate"))
+    meta = metadata.search_hits(songs, SearchQuery(track="red plate"), stored.song_index())
     lyric = fulltext.search(cat, _PHRASE, page.lyric_window, index=stored.text_index())
     return ranking.merge(songs, meta, lyric, explicit)
 
@@ -347,13 +354,13 @@ def hybrid_explicit(cat, stored):
 @query(f"{_LYRIC_SQL}, united AS (SELECT id, timestamp, 7 AS score, rank, field, snippet FROM lyric) {_MERGED} FROM united", with_engine=True)
 def hybrid_lyric_only(cat, stored):
     """Lyrics alone: every song is a perfect metadata hit, so rank orders the lyric hits."""
-    return _merged(service.search_lyric(cat, SearchQuery(lyric_text=_PHRASE), Pagination(), stored.text_index()))
+    return _merged(service.search_lyric(cat, SearchQuery(lyric_text=_PHRASE), Pagination(), stored.text_index(), names=stored.song_index()))
 
 
 @query(f"{_LYRIC_SQL}, united AS (SELECT id, timestamp, 0 AS score, rank, field, snippet FROM lyric) {_MERGED} FROM united", with_engine=True)
 def hybrid_weak_keyword(cat, stored):
     """A keyword that no name meets falls through to the lyrics."""
-    return _merged(service.search_lyric(cat, SearchQuery(q=_PHRASE), Pagination(), stored.text_index()))
+    return _merged(service.search_lyric(cat, SearchQuery(q=_PHRASE), Pagination(), stored.text_index(), names=stored.song_index()))
 
 
 @query(f"{_UNITED}, p AS ({_MERGED} FROM united) SELECT priority, count(*) AS hits FROM p GROUP BY priority", with_engine=True)

@@ -18,6 +18,7 @@ from ..functions.lyrics import formatted
 from ..operators import fulltext, lookup, projection, ranking
 from ..operators.metadata import SearchQuery, search_by_fields, search_hits
 from ..operators.paging import Pagination
+from ..operators.songindex import SongIndex
 from ..schema import MEDIUM, SONG_COLUMNS
 from ..sources.ttml import parse
 from . import dialect
@@ -73,16 +74,17 @@ NO_LYRICS = "id long, timestamp long, rank double, field string, snippet string"
 
 
 def search_lyric(
-    catalogue: DataFrame, query: SearchQuery, page: Pagination, index: fulltext.TextIndex | None = None, held: list | None = None, lyrics: bool = True
-) -> DataFrame:
+    catalogue: DataFrame, query: SearchQuery, page: Pagination, index: fulltext.TextIndex | None = None, held: list | None = None, lyrics: bool = True,
+    names: SongIndex | None = None,
+) -> DataFrame:
     """All merged hits of a hybrid search for a page, ordered; lyric hits are limited by the page's window.
 
-    ``index`` is the catalogue's text index. Metadata hits are scored once; to keep them for the
+    ``index`` is the catalogue's text index, ``names`` its index of songs. Metadata hits are scored once; to keep them for the
     merge they are persisted, and appended to ``held`` for the caller to release. Without ``held`` they are
     scored again. Without ``lyrics`` no lyric is a hit.
     """
     songs = catalogue.select(*SONG_COLUMNS)
-    meta = search_hits(songs, query).select("id", "timestamp", "score")
+    meta = search_hits(songs, query, names).select("id", "timestamp", "score")
     if held is not None:
         held.append(meta.persist())
     explicit = query.lyric_text is not None
@@ -97,7 +99,7 @@ def search_lyric(
     return ranking.ordered(ranking.merge(songs, meta, lyric, explicit, full))
 
 
-def search_page(catalogue: DataFrame, query: SearchQuery, page: Pagination, index: fulltext.TextIndex | None = None) -> tuple[DataFrame, dict]:
+def search_page(catalogue: DataFrame, query: SearchQuery, page: Pagination, index: fulltext.TextIndex | None = None, names: SongIndex | None = None) -> tuple[DataFrame, dict]:
     """Native items of a page, in order, and the page's description.
 
     If the lyric search fails, the page has metadata hits only.
@@ -105,14 +107,14 @@ def search_page(catalogue: DataFrame, query: SearchQuery, page: Pagination, inde
     held: list[DataFrame] = []
     try:
         try:
-            hits = search_lyric(catalogue, query, page, index, held).persist()
+            hits = search_lyric(catalogue, query, page, index, held, names=names).persist()
             held.append(hits)
             info = page.info(hits.count())
         except (PySparkException, Py4JError):
             if query.lyric_text is None and query.q is None:
                 raise
             log.exception("lyric search failed")
-            hits = search_lyric(catalogue, query, page, None, held, lyrics=False).persist()
+            hits = search_lyric(catalogue, query, page, None, held, lyrics=False, names=names).persist()
             held.append(hits)
             info = page.info(hits.count())
         top = page.slice(ranking.ordered(hits)).withColumn("place", F.monotonically_increasing_id())
@@ -125,16 +127,16 @@ def search_page(catalogue: DataFrame, query: SearchQuery, page: Pagination, inde
             df.unpersist()
 
 
-def search_response(catalogue: DataFrame, query: str, index: fulltext.TextIndex | None = None) -> str:
+def search_response(catalogue: DataFrame, query: str, index: fulltext.TextIndex | None = None, names: SongIndex | None = None) -> str:
     asked, page = dialect.parse_search(query)
-    items, info = search_page(catalogue, asked, page, index)
+    items, info = search_page(catalogue, asked, page, index, names)
     rows = [json.loads(r["json"]) for r in projection.to_json(items).collect()]
     return _json({"status": 200, "data": {"items": rows, "pagination": info}})
 
 
-def get_response(catalogue: DataFrame, query: str, fetch: Callable[[str], str | None] | None = None) -> str:
+def get_response(catalogue: DataFrame, query: str, fetch: Callable[[str], str | None] | None = None, names: SongIndex | None = None) -> str:
     """The newest song that an id query finds, with its file, or ``fetch``'s if that isn't stored."""
-    found = lookup.pick_latest(lookup.find_by_ids(catalogue.select(*SONG_COLUMNS), dialect.parse_get(query)))
+    found = lookup.pick_latest(lookup.find_by_ids(catalogue.select(*SONG_COLUMNS), dialect.parse_get(query), index=names))
     row = found.first()
     if row is None:
         raise NotFound
@@ -180,15 +182,15 @@ def _compatible(catalogue: DataFrame, hits: DataFrame, fetch: Fetch | None, stri
     return projection.lrclib_item(items.orderBy("place"))
 
 
-def lrclib_search(catalogue: DataFrame, query: str, fetch: Fetch | None = None) -> DataFrame:
+def lrclib_search(catalogue: DataFrame, query: str, fetch: Fetch | None = None, names: SongIndex | None = None) -> DataFrame:
     """Compatibility items of a page; lyrics that are neither stored nor fetched are null."""
     asked, page = dialect.parse_search(query, dialect.LRCLIB_SEARCH)
-    return _compatible(catalogue, page.slice(search_by_fields(catalogue.select(*SONG_COLUMNS), asked)), fetch, strict=False)
+    return _compatible(catalogue, page.slice(search_by_fields(catalogue.select(*SONG_COLUMNS), asked, names)), fetch, strict=False)
 
 
-def lrclib_get(catalogue: DataFrame, query: str, fetch: Fetch | None = None) -> DataFrame:
+def lrclib_get(catalogue: DataFrame, query: str, fetch: Fetch | None = None, names: SongIndex | None = None) -> DataFrame:
     """The best hit's compatibility item, if it is of medium tier at least; a file that can't be had is an error."""
-    hits = search_by_fields(catalogue.select(*SONG_COLUMNS), dialect.parse_exact(query)).limit(1).filter(F.col("score") >= MEDIUM)
+    hits = search_by_fields(catalogue.select(*SONG_COLUMNS), dialect.parse_exact(query), names).limit(1).filter(F.col("score") >= MEDIUM)
     return _compatible(catalogue, hits, fetch, strict=True)
 
 

@@ -15,6 +15,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.songindex import SongIndex, SongSegment, write_songs
 from ..operators.textindex import Segment, TextIndex, merge_segments, write_segment
 from ..schema import CATALOGUE
 from . import files, index
@@ -221,9 +222,15 @@ class Catalogue:
         segments = tuple(Segment(f"{self.root}/index/{e['segment'][0]}", *e["segment"][1:]) for e in entries)
         return TextIndex(segments, *(sum(s[k] - e["replaced"][i] for s, e in zip(segments, entries, strict=True)) for i, k in enumerate((2, 3))))
 
-    def _entry(self, folder: str, segment: Segment, replaced: tuple[int, int]) -> dict:
-        name = segment.path.removeprefix(f"{self.root}/index/")
-        return {"folder": folder, "rows": segment.docs, "segment": [name, *segment[1:]], "replaced": list(replaced)}
+    def song_index(self, state: dict | None = None) -> SongIndex:
+        """Postings of ids, authors and names of the base and the deltas, as of the newest state."""
+        state = state or self._state()
+        return SongIndex(tuple(SongSegment(f"{self.root}/index/{e['songs'][0]}", *e["songs"][1:]) for e in (state["base"], *state["deltas"]) if e))
+
+    def _entry(self, folder: str, written: DataFrame, segment: Segment, replaced: tuple[int, int]) -> dict:
+        songs = write_songs(written, f"{self.root}/index/{folder}-songs")
+        name = lambda s: [s.path.removeprefix(f"{self.root}/index/"), *s[1:]]
+        return {"folder": folder, "rows": segment.docs, "segment": name(segment), "songs": name(songs), "replaced": list(replaced)}
 
     def _write(self, rows: DataFrame, folder: str) -> DataFrame:
         path = f"{self.root}/data/{folder}"
@@ -263,7 +270,7 @@ class Catalogue:
                 ids = self.read(seen).select("filename", F.col("id").alias("old_id"))
                 written = self._write(rows.join(ids, "filename", "left").withColumn("id", F.coalesce("old_id", "id")), folder)
                 segment = write_segment(written, f"{self.root}/index/{folder}-text")
-                entry = self._entry(folder, segment, self._replaced(seen, written))
+                entry = self._entry(folder, written, segment, self._replaced(seen, written))
                 try:
                     state = self._update(lambda s: self._with_delta(s, seen, entry, written, batch))
                 except _Changed:
@@ -303,7 +310,7 @@ class Catalogue:
             merged = self.text_index(part)
             segment = merge_segments(self.spark, merged, f"{self.root}/index/{folder}-text")
             docs, length = (sum(d["segment"][k] - d["replaced"][i] for d in seen["deltas"]) for i, k in enumerate((2, 3)))
-            entry = self._entry(folder, segment, (0, 0) if whole else (segment.docs - docs, segment.length - length))
+            entry = self._entry(folder, written, segment, (0, 0) if whole else (segment.docs - docs, segment.length - length))
             gone = [d["folder"] for d in seen["deltas"]]
 
             def swap(state: dict) -> dict | None:
@@ -316,7 +323,6 @@ class Catalogue:
                 return {**state, "base": entry, "deltas": rest} if whole else {**state, "deltas": [entry, *rest]}
 
             self._update(swap)
-            del written
         self._sweep()
 
     @contextmanager
