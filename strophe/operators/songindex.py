@@ -12,6 +12,7 @@ pieces of the text. So songs that a search by names could find are told from the
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from typing import NamedTuple
@@ -107,6 +108,11 @@ def places_of(bits: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), 8 * F.octet_length(bits) - 1), lambda p: _bit(bits, p))
 
 
+def _listed(values) -> str:
+    """Values as SQL literals: one expression for all, for a call for each would take longer than the lookup."""
+    return ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
 def _pieces_of(text: str, sizes) -> list[str]:
     return list(dict.fromkeys(text[i : i + k] for k in sizes for i in range(len(text) - k + 1)))
 
@@ -132,11 +138,9 @@ class SongIndex(NamedTuple):
         kinds: dict[str, list[str]] = {}
         for k, v in wanted:
             kinds.setdefault(k, []).append(v)
-        hit = F.lit(False)
-        for k, vs in kinds.items():
-            hit = hit | ((F.col("kind") == k) & F.col("value").isin(vs))
-        folders = sorted({bucket_of(k, v, s.buckets) for k, v in wanted})
-        return spark.read.schema(_SCHEMA).parquet(f"{s.path}/postings").filter(F.col("bucket").isin(folders) & F.col("value").isin(sorted({v for _, v in wanted})) & hit)
+        hit = " or ".join(f"(kind = '{k}' and value in ({_listed(vs)}))" for k, vs in kinds.items())
+        folders, values = sorted({bucket_of(k, v, s.buckets) for k, v in wanted}), sorted({v for _, v in wanted})
+        return spark.read.schema(_SCHEMA).parquet(f"{s.path}/postings").filter(f"bucket in ({_listed(folders)}) and value in ({_listed(values)}) and ({hit})")
 
     def _ids(self, spark: SparkSession, number: int, places: DataFrame) -> DataFrame:
         """Ids of ``block, places`` rows, without songs that newer segments replace."""
@@ -191,14 +195,14 @@ class SongIndex(NamedTuple):
 
         def keys(kind: str, values: list[str]) -> Column:
             wanted.update((kind, v) for v in values)
-            return F.array(*[F.lit(f"{kind}\n{v}") for v in values])
+            return F.from_json(F.lit(json.dumps([f"{kind}\n{v}" for v in values])), "array<string>")
 
         def places(key: Column) -> Column:
             return F.coalesce(F.element_at("sets", key), F.array().cast("array<int>"))
 
         def every(kind: str, values: list[str]) -> Column:
             wanted.add((kind, values[0]))
-            return F.aggregate(keys(kind, values[1:]).cast("array<string>"), places(F.lit(f"{kind}\n{values[0]}")), lambda have, k: F.array_intersect(have, places(k)))
+            return F.aggregate(keys(kind, values[1:]), places(F.lit(f"{kind}\n{values[0]}")), lambda have, k: F.array_intersect(have, places(k)))
 
         def some(kind: str, values: list[str]) -> Column:
             return F.array_distinct(F.flatten(F.transform(keys(kind, values), places)))
