@@ -17,7 +17,7 @@ from ..operators import fulltext, lookup, metadata, projection, ranking
 from ..operators.lookup import IdQuery
 from ..operators.metadata import SearchQuery
 from ..operators.paging import Pagination
-from ..schema import SONG_COLUMNS
+from ..schema import MEDIUM, SONG_COLUMNS
 from ..sources import index as index_source
 from ..sources.archive import read_archive, write_archives
 from ..sources.ttml import build_catalogue, parse
@@ -574,3 +574,10 @@ _BATCH_SQL = " UNION ALL ".join(
 def batch_search(cat):
     queries = cat.sparkSession.createDataFrame([(i, t, a, None) for i, t, a in _BATCH], "query_id long, track string, artist string, album string")
     return metadata.search_batch(_songs(cat), queries, 20).select("query_id", "id", _long("score"), _long("place"))
+
+
+@query(f"b AS ({_BATCH_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, timestamp DESC, id) AS place FROM b WHERE score > 0) SELECT query_id, id, score FROM r WHERE place = 1 AND score >= 3")
+def best_hit_gate(cat):
+    """The best hit of each query, if it is of medium tier at least."""
+    queries = cat.sparkSession.createDataFrame([(i, t, a, None) for i, t, a in _BATCH], "query_id long, track string, artist string, album string")
+    return metadata.search_batch(_songs(cat), queries, 1).filter(F.col("score") >= MEDIUM).select("query_id", "id", _long("score"))
