@@ -87,6 +87,23 @@ def test_folders_and_sink(spark, tmp_path):
         read_archive(spark, str(tmp_path / "e")).collect()
 
 
+def test_archives_of_a_few_bytes(spark, tmp_path):
+    """An archive without entries ends before places that are looked at in larger ones; partitions without contents leave none."""
+    (tmp_path / "z").mkdir()
+    with zipfile.ZipFile(tmp_path / "z/none.zip", "w"):
+        pass
+    with zipfile.ZipFile(tmp_path / "z/one.zip", "w") as z:
+        z.writestr("a.ttml", "a")
+    assert [tuple(r) for r in read_archive(spark, str(tmp_path / "z")).collect()] == [("a.ttml", "a")]
+    assert read_archive(spark, str(tmp_path / "z/none.zip")).collect() == []
+    rows = spark.createDataFrame([("b.ttml", "b"), ("c.ttml", None)], archive.SCHEMA).repartition(1).union(spark.createDataFrame([], archive.SCHEMA))
+    paths = write_archives(rows, str(tmp_path / "w"))
+    assert [str(p) for p in (tmp_path / "w").iterdir()] == paths and len(paths) == 1
+    write_archives(rows, str(tmp_path / "w"))  # as by a task that ran twice: only the paths that were returned count
+    assert [tuple(r) for r in read_archive(spark, paths).collect()] == [("b.ttml", "b")]
+    assert read_archive(spark, []).collect() == []
+
+
 class Sparse(io.RawIOBase):
     """A file of which only some stretches are not zero."""
 
