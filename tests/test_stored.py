@@ -1,0 +1,19 @@
+"""What queries store before they answer."""
+
+from pathlib import Path
+
+import pytest
+
+from strophe.plans import demo
+from strophe.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", ["lyric_id_hash", "filename_timestamps", "metadata_overlay", "merge_all_buckets", "batch_search", "artist_lists"])
+def test_nothing_is_stored_without_an_index(spark, monkeypatch, name):
+    """Queries that look up no index take the songs from the tables."""
+    monkeypatch.setattr(demo, "Catalogue", None)
+    monkeypatch.setattr(demo, "_STORED", {})
+    assert QUERIES[name](spark, SF).count() > 0
