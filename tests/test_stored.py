@@ -17,3 +17,19 @@ def test_nothing_is_stored_without_an_index(spark, monkeypatch, name):
     monkeypatch.setattr(demo, "Catalogue", None)
     monkeypatch.setattr(demo, "_STORED", {})
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize(("name", "texts"), [("metadata_search", False), ("fts_bm25_topk", True)])
+def test_only_wanted_postings_are_stored(spark, monkeypatch, name, texts):
+    """A search by names stores no postings of texts, a search in texts none of names; intermediate tables are gone."""
+    monkeypatch.setattr(demo, "_STORED", {})
+    QUERIES[name](spark, SF).count()
+    (path,) = demo._STORED.values()
+    kept = {"texts" if p.parent.parent.name.endswith("-text") else "songs" for p in Path(path).glob("index/*/*/postings")}
+    assert kept == ({"texts"} if texts else {"songs"}) and not list(Path(path).glob("index/*/*/found"))
+    stored = demo.engine(spark, SF, ("texts",) if texts else ("songs",))
+    assert stored.root == path
+    with pytest.raises(ValueError, match="keeps no postings"):
+        stored.song_index() if texts else stored.text_index().hits(spark, "the").count()
+    stored.compact()
+    assert stored.count() == stored.read().count() and len(stored._state()["deltas"]) == 0
