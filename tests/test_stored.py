@@ -33,3 +33,10 @@ def test_only_wanted_postings_are_stored(spark, monkeypatch, name, texts):
         stored.song_index() if texts else stored.text_index().hits(spark, "the").count()
     stored.compact()
     assert stored.count() == stored.read().count() and len(stored._state()["deltas"]) == 0
+
+
+@pytest.mark.parametrize("name", ["hybrid_implicit", "hybrid_explicit", "hybrid_lyric_only", "hybrid_weak_keyword", "priority_buckets"])
+def test_one_hybrid_search_stores_no_postings_of_texts(spark, monkeypatch, name):
+    QUERIES[name](spark, SF)
+    at = {k: p for k, p in demo._STORED.items() if k[2] != ("texts",)}
+    assert at and not any(p.parent.parent.name.endswith("-text") for path in at.values() for p in Path(path).glob("index/*/*/postings"))
