@@ -16,8 +16,8 @@ cut once more by the same argument over parts of the other bits, so no link is l
 differ in about ten of 64 bits, too many for blocks. There the lead keys are bands of minima of the shingle
 hashes; two texts at 0.8 share a band with a probability of 0.99997. The sets of shingle hashes travel to the index
 with the rows, once for each group of texts that share bands. The search goes through the tree at growing
-distances, and each pair that it finds is settled at once with the sets: only pairs that are alike join their
-components, so what is rejected hides nothing.
+distances, at last without a limit, and each pair that it finds is settled at once with the sets: only pairs that are alike
+join their components, so what is rejected hides nothing. Lead keys that many texts share are dealt into parts of which every two meet.
 
 Components come from alternating large-star and small-star rounds.
 """
@@ -45,11 +45,11 @@ LEAF, FAN, CHUNK, FRONTIER = 16, 8, 2048, 1 << 20
 CUTS = 4
 #: Rows of a task that are indexed together; a lead key is never cut.
 SEGMENT = 1 << 17
-#: near_copies: words of a shingle, least similarity, bands and their rows, distances at which fingerprints are joined.
-COPY_SHINGLE, SIMILARITY, BANDS, ROWS, RADII = 5, 0.8, 20, 4, (0, 2, 4, 6, 8, 10, 12, 14, 16, 20)
-#: near_copies: bands that are combined with a crowded one; shingles of a text up to which its set is whole, beyond it a part
-#: by hash, of this size at least half; shingles under a lead key beyond which it is dealt out.
-SECOND, SET, KEY_SHINGLES = 5, 1 << 14, 1 << 23
+#: near_copies: words of a shingle, least similarity, bands and their rows, distances at which fingerprints are joined, at last any.
+COPY_SHINGLE, SIMILARITY, BANDS, ROWS, RADII = 5, 0.8, 20, 4, (0, 2, 4, 6, 8, 10, 12, 14, 16, 20, 64)
+#: near_copies: shingles of a text up to which its set is whole, beyond it a part by hash, of this size at least half; shingles
+#: under a lead key beyond which it is dealt out.
+SET, KEY_SHINGLES = 1 << 14, 1 << 23
 #: Sets of up to so many shingles are exact in 32 bits; the margins around the threshold in which texts decide about others, by
 #: standard deviations of a part and for chance equality of hashes.
 EXACT, SIGMAS, CHANCE = 4096, 4, 0.002
@@ -562,34 +562,16 @@ def _dealt(rows: DataFrame, hot: int) -> DataFrame:
     return met.filter("parts = 1").select("node", "fp", "size", "route").unionByName(shared)
 
 
-def _shared(sketches: DataFrame, hot: int, bands: int) -> DataFrame:
-    """``node, fp, size, route`` rows under which all pairs that share a band can meet.
-
-    A band's key with over ``hot`` nodes is combined with the keys of the next SECOND bands: two texts that
-    share five of 20 bands share a pair of these.
-    """
-    counts = materialise(sketches.groupBy("route").agg(F.count(F.lit(1)).alias("count")).filter("count > 1"), "route-counts")
-    few = sketches.join(counts.filter(F.col("count") <= hot), "route", "left_semi").select("node", "fp", "size", "route")
-    crowded = counts.filter(F.col("count") > hot).select("route")
-    if crowded.isEmpty():
-        return _dealt(few, hot)
-    first = sketches.join(crowded, "route", "left_semi")
-    second = sketches.select("node", F.col("band").alias("band2"), F.col("route").alias("route2"))
-    step = F.pmod(F.col("band2") - F.col("band"), F.lit(bands))
-    pairs = first.join(second, "node").filter((step > 0) & (step <= SECOND)).select("node", "fp", "size", F.xxhash64("route", "route2").alias("route"))
-    return _dealt(materialise(few.unionByName(pairs), "route-rows"), hot)
-
-
 def copy_edges(texts: DataFrame, shingle: int = COPY_SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:
     """Edges ``u, v`` between nodes of ``node, text`` rows (equal nodes have equal texts) whose similarity is ``least`` or more.
 
-    They connect what all such pairs would connect, but for pairs that share no band or differ in more than the
-    last of RADII. Sets of over EXACT shingles that come close to the threshold are settled by the texts.
+    They connect what all such pairs would connect, but for pairs that share no band: of those that do, whatever
+    number of texts share it, none is passed over. Sets of over EXACT shingles that come close to the threshold are settled by the texts.
     """
     sketches = materialise(in_batches(texts.select("node", "text")).mapInArrow(_sketch_batches(shingle, bands, rows), "node long, fp long, size long, band int, route long"), "sketches")
     single = sketches.filter("band = 0").groupBy("node").count().filter("count > 1").isEmpty()
     sketches = sketches if single else materialise(sketches.dropDuplicates(["node", "band"]), "sketches")
-    shared = materialise(_shared(sketches, hot, bands), "lead-keys")
+    shared = materialise(_dealt(sketches.select("node", "fp", "size", "route"), hot), "lead-keys")
     wanted = materialise(shared.select("node").distinct(), "wanted")
     sets = in_batches(sieved(texts, "node", wanted).select("node", "text")).mapInArrow(_set_batches(shingle), "set_node long, part binary")
     sets = sets if single else sets.dropDuplicates(["set_node"])

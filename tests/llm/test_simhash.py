@@ -308,3 +308,25 @@ def test_settling_by_sets(monkeypatch, size):
     sizes = [len(x) for x in sets]
     assert not test(np.array([0]), np.array([sizes.index(max(sizes))])).any()  # sizes alone tell
     assert len(doubtful) == 0 if size > 100 else len(doubtful) < len(a) / 2
+
+
+def test_copies_far_apart_in_bits(spark):
+    """Short texts can be alike at 0.8 and differ in more than 20 bits."""
+    rng = random.Random(11)
+    far = []
+    while len(far) < 3:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+        a, b = " ".join(words[:8]), " ".join(words)
+        x, y = shingle_set(a, 5), shingle_set(b, 5)
+        if (simhash.majority([x]) ^ simhash.majority([y])).bit_count() > 20:
+            far.append((a, b))
+    docs = spark.createDataFrame([(2 * i + k, t) for i, pair in enumerate(far) for k, t in enumerate(pair)], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in near_copies(docs).collect()) == [0, 0, 2, 2, 4, 4]
+
+
+def test_crowded_band_that_is_shared_alone(spark):
+    """Of texts that share one band only, and that with many others, each pair is settled."""
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"end{i}"])) for i in range(12)], "doc_id long, text string")
+    for hot in (2, 5, 100):
+        assert [r["component_id"] for r in near_copies(docs, bands=1, rows=1, hot=hot).collect()] == [0] * 12
