@@ -73,7 +73,7 @@ class WordBpe:
 
     def stretch(self, s: str) -> bytes:
         parts = []
-        for w in _WORD.findall(s):
+        for w in (s,) if s.isalpha() else _WORD.findall(s):  # letters alone are one word
             ids = self.words.get(w)
             if ids is None:
                 mapped = w if w.isascii() else self.level.pre_tokenize_str(w)[0][0]
@@ -103,19 +103,22 @@ class WordBpe:
         if odd or not unicodedata.is_normalized("NFC", text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, cache = text.lower().split(), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
+        parts = list(map(cache.get, words))
+        if None in parts:
             if self.held > CACHE_BYTES:
                 cache.clear()
                 self.words.clear()
                 self.held = 0
             own = {}
-            for w in words:
-                if w not in cache and w not in own:
-                    own[w] = self.stretch(w)
-                    self.keep(cache, w, own[w])
-            return b"".join([own[w] if w in own else cache[w] for w in words])
+            for at, ids in enumerate(parts):
+                if ids is None:
+                    w = words[at]
+                    ids = own.get(w)
+                    if ids is None:
+                        ids = own[w] = self.stretch(w)
+                        self.keep(cache, w, ids)
+                    parts[at] = ids
+        return b"".join(parts)
 
 
 class Pool:
